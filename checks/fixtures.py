@@ -96,7 +96,7 @@ SELECT event_id AS doc_id,
       WHEN 4 THEN '.txt' WHEN 5 THEN '.md' WHEN 6 THEN '.Doc' WHEN 7 THEN '.xls' WHEN 8 THEN '.ppt'
       WHEN 9 THEN '.csv' WHEN 10 THEN '.rtf' WHEN 11 THEN '.odt' WHEN 12 THEN '.ods' WHEN 13 THEN '.odp'
       WHEN 14 THEN '' ELSE '.tar.gz' END END AS relative_path,
-  CAST(value * 1000 AS BIGINT) AS size_bytes, ts AS modified_at
+  CAST(round(value * 1000) AS BIGINT) AS size_bytes, ts AS modified_at
 FROM {events}
 """
 

@@ -49,7 +49,7 @@ def text_fp(col: str) -> str:
 PHONE = "len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: regexp_full_match(x, '1[3-9][0-9]{9}')))"
 ID = """len(list_filter(regexp_extract_all(text, '[0-9]+[Xx]?'), lambda r:
   length(rtrim(r, 'Xx')) = 15 OR (length(r) = 18 AND length(rtrim(r, 'Xx')) >= 17 AND
-  substr('10X98765432', list_sum(list_transform(range(1, 18), lambda i: CAST(substr(rtrim(r, 'Xx'), i, 1) AS INT) *
+  substr('10X98765432', list_sum(list_transform(range(1, 18), lambda i: TRY_CAST(substr(rtrim(r, 'Xx'), i, 1) AS INT) *
   [7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2][i]))::INT % 11 + 1, 1) = upper(substr(r, 18, 1)))))"""
 EMAIL = r"len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?:[^A-Za-z0-9_.-]|$)'))"
 SECRECY = (

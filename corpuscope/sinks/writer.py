@@ -53,8 +53,7 @@ def write_checked(df: DataFrame, path: str, overwrite: bool = False) -> int:
 
 def verify_output(df: DataFrame, path: str, expected: int) -> int:
     back = df.sparkSession.read.parquet(path)
-    columns = [(f.name, f.dataType) for f in df.schema.fields]
-    if [(f.name, f.dataType) for f in back.schema.fields] != columns:
+    if back.schema.simpleString() != df.schema.simpleString():
         raise OutputError(f"{path}: schema differs from what was written")
     rows = back.count()
     if rows != expected:
