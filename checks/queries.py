@@ -728,18 +728,19 @@ def _(spark, folder):
 # --- topics ------------------------------------------------------------------------
 
 
-def _scores() -> Column:
-    return topics.topic_scores(c("folded_anchor"), c("folder_text"), c("folded_stem"), c("body_hits"), PACK)
-
-
 @query("topic_scores", o.sql("topics", "SELECT doc_id, topic, CAST(score AS BIGINT) AS score FROM scores"))
 def _(spark, folder):
-    return measured(spark, folder).select("doc_id", _by_topic(_scores(), "score"))
+    scored = topics.with_topic_scores(measured(spark, folder), PACK)
+    return scored.select("doc_id", _by_topic(c("scores"), "score"))
+
+
+def _chosen(spark, folder) -> DataFrame:
+    return topics.with_topic_choice(topics.with_topic_scores(measured(spark, folder), PACK), PACK)
 
 
 @query("choose_topic", o.sql("topics", "SELECT doc_id, topic FROM chosen"))
 def _(spark, folder):
-    return measured(spark, folder).select("doc_id", topics.choose_topic(_scores(), PACK).alias("topic"))
+    return _chosen(spark, folder).select("doc_id", "topic")
 
 
 @query(
@@ -752,8 +753,9 @@ def _(spark, folder):
 )
 def _(spark, folder):
     anchor = F.when(c("doc_id") % 3 == 0, "华东经销商").when(c("doc_id") % 3 == 1, "门店销售助手").otherwise("销售")
-    topic = topics.choose_topic(_scores(), PACK)
-    return measured(spark, folder).select("doc_id", topics.specialise_topic(topic, anchor, PACK).alias("topic"))
+    return _chosen(spark, folder).select(
+        "doc_id", topics.specialise_topic(c("topic"), anchor, PACK).alias("topic")
+    )
 
 
 def _line_topics(spark, folder, topic: str) -> DataFrame:

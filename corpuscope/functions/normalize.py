@@ -8,6 +8,7 @@ code point); only text with any other character goes through an Arrow UDF.
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
 import pandas as pd
@@ -18,20 +19,23 @@ from pyspark.sql.types import StringType
 # Everything str.isspace() accepts, which is also what \s means for Python text.
 SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+REPLACEMENT = "\ufffd"
 
+# Assigned characters only; U+FFFD is the only one that counts as garbled.
 JVM_RANGES = (
-    (0x00, 0x7F),
-    (0x4E00, 0x9FFF),
-    (0x3400, 0x4DBF),
-    (0xFF01, 0xFF5E),
-    (0x3000, 0x3029),
+    (0x20, 0x7E),
+    (0x4E00, 0x9FA5),
+    (0x09, 0x0D),
     (0xC0, 0xFF),
+    (0x3000, 0x3029),
+    (0xFF01, 0xFF5E),
+    (0x3400, 0x4DB5),
     (0x2012, 0x2016),
     (0x2018, 0x2022),
     (0xFFFD, 0xFFFD),
     (0xFFE5, 0xFFE5),
     (0xA1, 0xA7),
-    (0xAB, 0xAE),
+    (0xAB, 0xAC),
     (0xB0, 0xB1),
     (0xB6, 0xB7),
     (0xBB, 0xBB),
@@ -44,9 +48,10 @@ JVM_RANGES = (
     (0x30A1, 0x30FE),
     (0xAC00, 0xD7A3),
     (0x1F300, 0x1F64F),
-    (0x1F680, 0x1F6FF),
-    (0x1F900, 0x1F9FF),
 )
+# The only white space inside JVM_RANGES.
+JVM_SPACES = (" ", "\n", "\r", "\t", "\x0b", "\x0c", "\u3000")
+EMPTY_DIGEST = hashlib.sha256(b"").hexdigest()
 _FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000\uffe5"
 _HALF = "".join(chr(c) for c in range(0x21, 0x7F)) + " \u00a5"
 
@@ -55,8 +60,19 @@ def _java_class(ranges) -> str:
     return "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in ranges)
 
 
-ODD_PATTERN = f"[^{_java_class(JVM_RANGES)}]"
-_FULL_PATTERN = r"[\x{ff01}-\x{ff5e}\x{3000}\x{ffe5}]"
+def _outside(ranges) -> str:
+    """Class of the characters outside all ranges. Nesting to the right makes the
+    first range the first test, so a frequent character costs one."""
+    head, rest = ranges[:1], ranges[1:]
+    own = f"[^{_java_class(head)}]"
+    if len(ranges) <= 6:
+        return f"[^{_java_class(ranges)}]"
+    return f"[{own}&&{_outside(rest)}]"
+
+
+ODD_PATTERN = _outside(JVM_RANGES)
+SPACE_PATTERN = rf"[[^!-~]&&[[^\x{{3400}}-\x{{d7ff}}]&&[{SPACE_CLASS}]]]"
+_FULL_WORD = r"[\x{ff10}-\x{ff19}\x{ff21}-\x{ff3a}\x{ff41}-\x{ff5a}]"
 
 
 def python_fold(value: str) -> str:
@@ -74,20 +90,40 @@ def is_odd(text: Column) -> Column:
     return text.rlike(ODD_PATTERN)
 
 
-def narrow_lower(text: Column) -> Column:
-    """The one-to-one part of ``fold_jvm``; it keeps every character's position."""
-    low = F.lower(text)
-    return F.when(low.rlike(_FULL_PATTERN), F.translate(low, _FULL, _HALF)).otherwise(low)
+def _has_full_width(text: Column) -> Column:
+    """Byte search for the two UTF-8 prefixes of the full-width block, the
+    ideographic space and the full-width yen sign."""
+    raw = text.cast("binary")
+    hits = [F.contains(raw, F.unhex(F.lit(p))) for p in ("EFBC", "EFBD", "E38080", "EFBFA5")]
+    return hits[0] | hits[1] | hits[2] | hits[3]
+
 
+def to_half_width(text: Column) -> Column:
+    """Full-width forms to ASCII, one character for one."""
+    return F.when(_has_full_width(text), F.translate(text, _FULL, _HALF)).otherwise(text)
 
-def spell_out(narrow: Column) -> Column:
-    """The rest of ``fold_jvm``: the only character that becomes two."""
-    return F.replace(narrow, F.lit("ß"), F.lit("ss"))
+
+def words_to_half_width(text: Column) -> Column:
+    """``to_half_width`` only where it matters for words: full-width letters or digits."""
+    wide = _has_full_width(text) & text.rlike(_FULL_WORD)
+    return F.when(wide, F.translate(text, _FULL, _HALF)).otherwise(text)
+
+
+def spell_out(lower: Column) -> Column:
+    """The only character of JVM_RANGES whose folding is longer than one."""
+    return F.replace(lower, F.lit("ß"), F.lit("ss"))
+
+
+def drop_jvm_spaces(text: Column) -> Column:
+    """``drop_spaces`` for text inside JVM_RANGES, by byte searches."""
+    for space in JVM_SPACES:
+        text = F.replace(text, F.lit(space), F.lit(""))
+    return text
 
 
 def fold_jvm(text: Column) -> Column:
     """Folding of text for which ``is_odd`` is false."""
-    return spell_out(narrow_lower(text))
+    return spell_out(to_half_width(F.lower(text)))
 
 
 def fold_odd(odd_text: Column) -> Column:
@@ -106,10 +142,13 @@ def strip(text: Column) -> Column:
 
 
 def drop_spaces(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{SPACE_CLASS}]+", "")
+    return F.regexp_replace(text, SPACE_PATTERN + "+", "")
+
+
+def digest_of_bare(bare: Column) -> Column:
+    """SHA-256 of folded text that holds no white space; '' when it is empty."""
+    return F.replace(F.sha2(bare, 256), F.lit(EMPTY_DIGEST), F.lit(""))
 
 
 def digest_of_folded(folded: Column) -> Column:
-    """SHA-256 of folded text without white space; '' when nothing is left."""
-    packed = drop_spaces(folded)
-    return F.when(packed == "", F.lit("")).otherwise(F.sha2(packed, 256))
+    return digest_of_bare(drop_spaces(folded))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .normalize import SPACE_CLASS, digest_of_folded, fold, strip
+from .normalize import REPLACEMENT, SPACE_CLASS, digest_of_folded, drop_spaces, fold, strip
 
 CONTENT_CLASS = r"A-Za-z0-9\x{3400}-\x{9fff}"
-# Left to right evaluation: common characters leave the class at once.
+# Nested to the right: a common character leaves the class at the first test.
 _SUSPICIOUS = (
-    r"[[^ -~\t-\r\xa0-\x{24f}\x{4e00}-\x{9fa5}]&&[\x{fffd}\p{Cc}\p{Co}\p{Cs}\p{Cn}]&&[^" + SPACE_CLASS + r"]]"
+    r"[^ -~]&&[[^\x{4e00}-\x{9fa5}]&&[[^\t-\r\xa0-\x{24f}]&&[[\x{fffd}\p{Cc}\p{Co}\p{Cs}\p{Cn}]&&[^"
+    + SPACE_CLASS
+    + r"]]]]"
 )
 
 
@@ -26,10 +28,22 @@ def content_length(text: Column) -> Column:
 
 def garbled_ratio(text: Column) -> Column:
     """Share of replacement, control, private-use and unassigned characters
-    among the non-space ones; 0 for blank text."""
-    considered = count_of_class(text, "^" + SPACE_CLASS)
-    suspicious = F.regexp_count(text, F.lit(_SUSPICIOUS))
-    return F.when(considered > 0, suspicious / considered).otherwise(F.lit(0.0))
+    among the non-space ones; 0 for blank text. The non-space characters are
+    only counted in texts that have a suspicious one."""
+    suspicious = count_of_class(text, _SUSPICIOUS)
+    return F.get(
+        F.transform(
+            F.array(suspicious),
+            lambda n: F.when(n > 0, n / F.length(drop_spaces(text))).otherwise(F.lit(0.0)),
+        ),
+        F.lit(0),
+    )
+
+
+def replacement_ratio(text: Column, bare: Column) -> Column:
+    """``garbled_ratio`` of text inside JVM_RANGES, given it without white space."""
+    marks = F.length(text) - F.length(F.replace(text, F.lit(REPLACEMENT), F.lit("")))
+    return F.when(F.length(bare) > 0, marks / F.length(bare)).otherwise(F.lit(0.0))
 
 
 def text_fingerprint(text: Column) -> Column:

@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import python_fold
 from ..rulepack import PENDING, RulePack
 
-_CJK = r"[\x{3400}-\x{9fff}]"
-
-
 def _is_word(keyword: str) -> bool:
     return keyword.isascii() and keyword.isalnum()
 
 
+def _sql_array(values) -> str:
+    return "array(" + ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) + ")"
+
+
 def _literals(values) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    """Constant string array, built in one call."""
+    return F.expr(_sql_array(values)).cast("array<string>")
+
+
+def _nested_literals(lists) -> Column:
+    return F.expr("array(" + ", ".join(_sql_array(v) for v in lists) + ")").cast("array<array<string>>")
+
+
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once, even where ``body`` uses it
+    inside nested lambdas (the optimizer would otherwise inline it there)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def keyword_match(folded: Column, keyword: str) -> Column:
@@ -27,36 +41,52 @@ def keyword_match(folded: Column, keyword: str) -> Column:
     return folded.contains(key)
 
 
+def _split_keywords(pack: RulePack) -> tuple[list[list[str]], list[list[str]]]:
+    folded = [[python_fold(k) for k in t.keywords] for t in pack.topics]
+    words = [[k for k in ks if _is_word(k)] for ks in folded]
+    phrases = [[k for k in ks if not _is_word(k)] for ks in folded]
+    return words, phrases
+
+
+def _keyword_pattern(words: list[str], phrases: list[str]) -> str:
+    """Zero-width pattern whose group is the longest keyword starting there. A test
+    of the first character guards each list, so most positions cost one range test."""
+    options = []
+    if words:
+        firsts = "".join(sorted({w[0] for w in words}))
+        options.append(f"(?=[{firsts}])(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])")
+    ordered = sorted(phrases, key=lambda k: (-len(k), k))
+    cjk = [k for k in ordered if "㐀" <= k[0] <= "鿿"]
+    rest = [k for k in ordered if not "㐀" <= k[0] <= "鿿"]
+    if cjk:
+        exact = "".join(sorted({k[0] for k in cjk}))
+        options.append(rf"(?=[\x{{3400}}-\x{{9fff}}&&[{exact}]])(?:{'|'.join(map(re.escape, cjk))})")
+    options += [re.escape(k) for k in rest]
+    return f"(?=({'|'.join(options)}))"
+
+
 def keyword_hits(folded: Column, pack: RulePack) -> Column:
     """``ARRAY<INT>``: per topic, how many of its keywords occur in the text.
 
-    ASCII words of all topics are found by one scan. Ideographic keywords are
-    only looked for in text that holds an ideograph at all."""
-    keywords = [[python_fold(k) for k in t.keywords] for t in pack.topics]
-    words = sorted({k for ks in keywords for k in ks if _is_word(k)})
-    if words:
-        pattern = f"(?<![a-z0-9])({'|'.join(words)})(?![a-z0-9])"
-        seen = F.array_distinct(F.regexp_extract_all(folded, F.lit(pattern), F.lit(1)))
-    has_cjk = folded.rlike(_CJK)
-
-    def has_ideograph(k: str) -> bool:
-        return any("㐀" <= c <= "鿿" for c in k)
-
-    def topic_hits(ks: list[str]) -> Column:
-        word = [k for k in ks if _is_word(k)]
-        cjk = [k for k in ks if not _is_word(k) and has_ideograph(k)]
-        rest = [k for k in ks if not _is_word(k) and not has_ideograph(k)]
-        count = F.lit(0)
-        if cjk:
-            found = F.size(F.filter(_literals(cjk), lambda k: F.contains(folded, k)))
-            count = count + F.when(has_cjk, found).otherwise(F.lit(0))
-        if rest:
-            count = count + F.size(F.filter(_literals(rest), lambda k: F.contains(folded, k)))
-        if word:
-            count = count + F.size(F.array_intersect(_literals(word), seen))
-        return count
-
-    return F.array(*[topic_hits(ks) for ks in keywords])
+    One scan collects, at every position, the longest keyword that starts there.
+    A keyword occurs exactly if one of the collected ones contains it."""
+    words, phrases = _split_keywords(pack)
+    all_words = sorted({k for ks in words for k in ks})
+    all_phrases = sorted({k for ks in phrases for k in ks})
+    pattern = _keyword_pattern(all_words, all_phrases)
+    found = F.array_distinct(F.regexp_extract_all(folded, F.lit(pattern), F.lit(1)))
+
+    def count(seen: Column) -> Column:
+        per_word = F.transform(
+            _nested_literals(words), lambda ws: F.size(F.array_intersect(ws, seen))
+        )
+        per_phrase = F.transform(
+            _nested_literals(phrases),
+            lambda ks: F.size(F.filter(ks, lambda k: F.exists(seen, lambda s: F.contains(s, k)))),
+        )
+        return F.zip_with(per_word, per_phrase, lambda a, b: a + b)
+
+    return _bind(found, count)
 
 
 def anchor_of(root: Column, folded_root: Column, parts: Column, pack: RulePack) -> Column:
@@ -71,41 +101,42 @@ def folder_text(folded_folders: Column, pack: RulePack) -> Column:
     return F.array_join(F.filter(folded_folders, lambda f: ~F.array_contains(generic, f)), " ")
 
 
-def topic_scores(anchor: Column, folders: Column, stem: Column, body_hits: Column, pack: RulePack) -> Column:
-    """``ARRAY<INT>`` in pack order; inputs are folded text and the body's hits."""
-    a, f, s = (keyword_hits(c, pack) for c in (anchor, folders, stem))
-    return F.transform(
-        F.arrays_zip(a.alias("a"), f.alias("f"), s.alias("s"), body_hits.alias("b")),
+def with_topic_scores(docs: DataFrame, pack: RulePack) -> DataFrame:
+    """Adds ``scores`` (``ARRAY<INT>`` in pack order) from the folded names and the
+    body's hits."""
+    a, f, s = (keyword_hits(F.col(n), pack) for n in ("folded_anchor", "folder_text", "folded_stem"))
+    weighted = F.transform(
+        F.arrays_zip(a.alias("a"), f.alias("f"), s.alias("s"), F.col("body_hits").alias("b")),
         lambda z: z["a"] * pack.anchor_weight
         + z["f"] * pack.folder_weight
         + z["s"] * pack.stem_weight
         + F.least(z["b"], F.lit(pack.body_cap)),
     )
+    return docs.withColumn("scores", weighted)
 
 
-def choose_topic(scores: Column, pack: RulePack) -> Column:
-    """Best topic (ties by name); pending when weak, or tied and not strong."""
+def with_topic_choice(docs: DataFrame, pack: RulePack) -> DataFrame:
+    """``scores`` to ``topic``: the best one (ties by name), or pending when it is
+    weak, or tied and not strong."""
     names = [t.name for t in pack.topics]
-    rank = {name: i for i, name in enumerate(sorted(names))}
-    order = F.array(*[F.lit(-rank[n]) for n in names])
+    ordered = sorted(names)
+    order = F.expr("array(" + ", ".join(str(-ordered.index(n)) for n in names) + ")")
     ranked = F.sort_array(
-        F.transform(scores, lambda s, i: F.struct(s.alias("score"), F.get(order, i).alias("o"))),
+        F.transform(F.col("scores"), lambda s, i: F.struct(s.alias("score"), F.get(order, i).alias("o"))),
         asc=False,
     )
-    best = F.get(ranked, F.lit(0))
-    second = F.get(ranked, F.lit(1))["score"]
-    label = F.get(_literals(sorted(names)), -best["o"])
+    best, second = F.get("ranked", F.lit(0)), F.get("ranked", F.lit(1))["score"]
     weak = best["score"] < pack.min_topic_score
-    tied = (best["score"] == second) & (best["score"] < pack.min_tied_score)
-    return F.when(weak | F.coalesce(tied, F.lit(False)), F.lit(PENDING)).otherwise(label)
+    tied = F.coalesce((best["score"] == second) & (best["score"] < pack.min_tied_score), F.lit(False))
+    topic = F.when(weak | tied, F.lit(PENDING)).otherwise(F.get(_literals(ordered), -best["o"]))
+    return docs.withColumn("ranked", ranked).withColumn("topic", topic).drop("scores", "ranked")
 
 
 def specialise_topic(topic: Column, folded_anchor: Column, pack: RulePack) -> Column:
-    out = topic
-    for keyword, special in reversed(pack.special_topics):
-        hit = (topic == pack.special_base) & keyword_match(folded_anchor, keyword)
-        out = F.when(hit, F.lit(special.name)).otherwise(out)
-    return out
+    out = F.when(topic != pack.special_base, topic)
+    for keyword, special in pack.special_topics:
+        out = out.when(keyword_match(folded_anchor, keyword), F.lit(special.name))
+    return out.otherwise(topic)
 
 
 def topic_counts(docs: DataFrame) -> DataFrame:

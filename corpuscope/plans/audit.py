@@ -106,19 +106,33 @@ def _measure_text(docs: DataFrame, pack: RulePack) -> DataFrame:
         F.array_join(paths.folders_of(F.col("relative_path")), "\x00"),
     )
     kept = [c for c in docs.columns if c != "text"]
+    odd = F.col("odd")
     flagged = docs.select("*", normalize.is_odd(body).alias("odd"), names.alias("names"))
-    flagged = flagged.withColumn("low", F.when(~F.col("odd"), normalize.narrow_lower(body)))
-    low = F.col("low")
-    low_head = F.substring(low, 1, pack.body_chars) if pack.body_chars else low
+    # Case mapping keeps positions and counted characters; white space goes once
+    # for the fingerprint, the content length and the garbled ratio.
+    flagged = flagged.select(
+        "*",
+        F.when(~odd, F.lower(body)).alias("low"),
+        risks.has_digit_run(body, odd).alias("digit_run"),
+    )
+    low, bare, low_head = F.col("low"), F.col("bare"), F.col("low_head")
+    flagged = flagged.select(
+        "*",
+        normalize.drop_jvm_spaces(low).alias("bare"),
+        (F.substring(low, 1, pack.body_chars) if pack.body_chars else low).alias("low_head"),
+    )
+    head_words = normalize.spell_out(normalize.words_to_half_width(low_head))
     measured = flagged.select(
         *kept,
-        text.content_length(body).alias("content_length"),
-        text.garbled_ratio(body).alias("garbled"),
-        risks.risk_counts(body).alias("risk_counts"),
-        normalize.digest_of_folded(normalize.spell_out(low)).alias("jvm_fp"),
-        F.when(low.isNotNull(), topics.keyword_hits(normalize.spell_out(low_head), pack)).alias("jvm_hits"),
-        F.when(F.col("odd"), body).alias("odd_text"),
-        F.when(F.col("odd") & (head != body), head).alias("odd_head"),
+        F.when(odd, text.content_length(body)).otherwise(text.content_length(bare)).alias("content_length"),
+        F.when(odd, text.garbled_ratio(body))
+        .otherwise(text.replacement_ratio(low, bare))
+        .alias("garbled"),
+        risks.risk_counts(body, F.col("digit_run")).alias("risk_counts"),
+        normalize.digest_of_bare(normalize.spell_out(normalize.to_half_width(bare))).alias("jvm_fp"),
+        F.when(~odd, topics.keyword_hits(head_words, pack)).alias("jvm_hits"),
+        F.when(odd, body).alias("odd_text"),
+        F.when(odd & (head != body), head).alias("odd_head"),
         "names",
         normalize.is_odd(F.col("names")).alias("names_odd"),
     )
@@ -212,12 +226,9 @@ def extract_features(
     optionally, root_name, root_path, content or content_sha256, parse_status,
     parse_issue, document_scale, scale_unit, layout_warnings."""
     base = document_features(docs, pack)
-    scores = topics.topic_scores(
-        F.col("folded_anchor"), F.col("folder_text"), F.col("folded_stem"), F.col("body_hits"), pack
-    )
-    topic = topics.choose_topic(scores, pack)
+    base = topics.with_topic_choice(topics.with_topic_scores(base, pack), pack)
     dropped = {"suffix", "garbled", "bad_name", "layout_warnings", "root_name", "root_path"}
-    dropped |= {"folded_stem", "folded_anchor", "folder_text", "body_hits"}
+    dropped |= {"folded_stem", "folded_anchor", "folder_text", "body_hits", "topic"}
     kind = classify_file(F.col("suffix"))
     return base.select(
         *[c for c in base.columns if c not in dropped],
@@ -226,7 +237,7 @@ def extract_features(
         kind["scan_note"].alias("scan_note"),
         F.coalesce(F.nullif("suffix", F.lit("")), F.lit(rp.NO_EXTENSION)).alias("extension"),
         rules.fired(document_rules(as_timestamp(as_of), pack)).alias("findings"),
-        topics.specialise_topic(topic, F.col("folded_anchor"), pack).alias("topic"),
+        topics.specialise_topic(F.col("topic"), F.col("folded_anchor"), pack).alias("topic"),
     )
 
 
