@@ -809,9 +809,7 @@ FROM plan JOIN {o.DESCRIPTIONS} ON x.topic = plan.topic LEFT JOIN main_issues ON
 on_audit("topic_plan", reports.topic_plan, _PLAN_SQL, "plan")
 on_audit(
     "situation",
-    lambda r: reports._topic_facts(r, PACK).select(
-        "topic", reports.situation(c("ready"), c("blocked"), c("document_count")).alias("situation")
-    ),
+    reports.topic_situation,
     f"SELECT topic, {o.SITUATION} AS situation FROM plan",
     "plan",
 )
@@ -858,8 +856,14 @@ on_audit("length_note", reports.length_note, _NOTE_SQL.replace("{source}", "reco
     ),
 )
 def _(spark, folder):
-    pages = elements.page_rules(table(spark, folder, "pages"))
-    return reports.length_note(pages.withColumn("display_type", F.lit("PDF")))
+    files = table(spark, folder, "pages").select(
+        "doc_id", F.format_string("%d.pdf", "doc_id").alias("relative_path"), F.lit(1).alias("size_bytes"), F.lit(AS_OF).cast("timestamp").alias("modified_at")
+    )
+    kept = ("parse_status", "parse_issue", "document_scale")
+    pages = elements.page_rules(table(spark, folder, "pages")).select("doc_id", *kept)
+    records = inventory.record_projection(files.distinct()).drop(*kept).join(pages, "doc_id")
+    keyed = records.withColumn("path_key", c("relative_path")).withColumn("name_key", c("file_name"))
+    return reports.length_note(keyed)
 
 
 on_audit(

@@ -46,9 +46,8 @@ def duplicate_members(docs: DataFrame, pack: RulePack, hot_rows: int = HOT_ROWS)
     A shared signature is represented by its smallest doc_id. Most documents
     see one representative and are done; only those whose two signatures have
     different representatives contribute an edge to the components step."""
-    linked = split_join(
-        signatures(docs, pack), signature_groups(docs, pack), ["signature"], "n", hot_rows=hot_rows
-    )
+    shared = materialize(signature_groups(docs, pack), "shared")
+    linked = split_join(signatures(docs, pack), shared, ["signature"], "n", hot_rows=hot_rows)
     members = materialize(
         linked.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")),
         "members",

@@ -16,6 +16,7 @@ from .. import rulepack as rp
 from ..functions import display
 from ..operators import groups
 from ..rulepack import DEFAULT_PACK, RulePack
+from ..session import materialize
 
 ORDER = groups.ORDER
 
@@ -47,33 +48,86 @@ def type_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("display_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _facts(records: DataFrame) -> DataFrame:
-    """One row with every count the metrics and conclusions use.
+class Rollup:
+    """Every count the report shows, one row per topic (see ``rollup``)."""
 
-    Groups are numbered 1…n, so the largest number is their count and no
-    distinct aggregation is needed."""
-    parse, use = F.col("parse_status"), F.col("use_status")
-    grouped = (F.col("duplicate_group") != "") | (F.col("version_group") != "")
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+
+def rollup(records: DataFrame, pack: RulePack = DEFAULT_PACK) -> DataFrame:
+    """One pass over the verdicts: conditional aggregates per topic.
+
+    All of them add up (or take a minimum or maximum) over topics, so one result of
+    a few rows serves every chart, metric, plan and sentence of the report."""
+    parse, use, issues = F.col("parse_status"), F.col("use_status"), F.col("issues")
+    place = F.struct(*ORDER)
+    kind = display.document_kind(F.col("display_type"))
+    direct = parse == rp.DIRECT
+    scanned = F.col("display_type").startswith("PDF") & F.col("parse_issue").contains("疑似扫描文件")
 
     def top(column: str) -> Column:
         number = F.regexp_extract(column, r"(\d+)$", 1).cast("long")
         return F.coalesce(F.max(F.when(F.col(column) != "", number)), F.lit(0))
 
-    return records.agg(
+    counts = {
+        "direct": direct,
+        "special": parse == rp.SPECIAL,
+        "unavailable": parse == rp.UNAVAILABLE,
+        "ready": use == rp.READY,
+        "work": use == rp.NEEDS_WORK,
+        "blocked": use == rp.NOT_READY,
+        "duplicates": (F.col("duplicate_group") != "") | (F.col("version_group") != ""),
+        "scanned": scanned,
+    }
+    counts |= {f"k{i}": kind == k for i, k in enumerate(rp.DOCUMENT_KINDS)}
+    bin_label = length_bin(F.col("content_length"), pack)
+    counts |= {f"b{i}": direct & (bin_label == b[0]) for i, b in enumerate(pack.length_bins)}
+    counts |= {
+        f"r{i}": (issues != "") & (F.col("priority") == p) for i, (p, _) in enumerate(rp.PRIORITY_NOTES)
+    }
+    counts |= {f"p{i}": _any_marker(issues, p.markers) for i, p in enumerate(pack.problems)}
+    votes = [(i, _any_marker(issues, x.markers)) for i, x in enumerate(pack.main_issues)]
+    return records.groupBy(F.col("suggested_knowledge_base").alias("topic")).agg(
         F.count(F.lit(1)).alias("total"),
         F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"),
-        F.count_if(parse == rp.DIRECT).alias("direct"),
-        F.count_if(parse == rp.SPECIAL).alias("special"),
-        F.count_if(parse == rp.UNAVAILABLE).alias("unavailable"),
-        F.count_if(use == rp.READY).alias("ready"),
-        F.count_if(use == rp.NEEDS_WORK).alias("work"),
-        F.count_if(use == rp.NOT_READY).alias("blocked"),
-        F.count_if(grouped).alias("duplicates"),
-        (top("duplicate_group") + top("version_group")).alias("groups"),
+        F.coalesce(F.sum(F.when(scanned, F.col("document_scale"))), F.lit(0)).alias("pages"),
+        F.min(place).alias("first"),
+        # Groups are numbered 1…n, so their largest number is their count.
+        top("duplicate_group").alias("duplicate_groups"),
+        top("version_group").alias("version_groups"),
+        *[F.count_if(test).alias(name) for name, test in counts.items()],
+        *[F.count_if(hit).alias(f"n{i}") for i, hit in votes],
+        *[F.min(F.when(hit, place)).alias(f"f{i}") for i, hit in votes],
     )
 
 
-def key_metrics(records: DataFrame) -> DataFrame:
+def _topics(data: DataFrame | Rollup, pack: RulePack) -> DataFrame:
+    return data.table if isinstance(data, Rollup) else rollup(data, pack)
+
+
+def _totals(data: DataFrame | Rollup, pack: RulePack) -> DataFrame:
+    """The rollup over all topics: one row, also for an empty corpus."""
+    table = _topics(data, pack)
+    keep_max = ("duplicate_groups", "version_groups")
+    sums = [c for c, t in table.dtypes if t == "bigint" and c not in keep_max]
+    return table.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums],
+        *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in keep_max],
+    )
+
+
+def _listed(totals: DataFrame, labels: list[tuple[str, Column]], keep_zero: bool) -> DataFrame:
+    """(ord, label, n) of labelled counts of the one-row totals, in list order."""
+    rows = [
+        F.struct(F.lit(i).alias("ord"), F.lit(label).alias("label"), n.alias("n"))
+        for i, (label, n) in enumerate(labels, start=1)
+    ]
+    listed = totals.select(F.inline(F.array(*rows)))
+    return listed if keep_zero else listed.filter(F.col("n") > 0)
+
+
+def key_metrics(data: DataFrame | Rollup, pack: RulePack = DEFAULT_PACK) -> DataFrame:
     """(ord, metric, value, note): six headline numbers."""
     total = F.col("total")
 
@@ -91,7 +145,7 @@ def key_metrics(records: DataFrame) -> DataFrame:
         (
             F.lit("疑似重复文档"),
             docs("duplicates"),
-            F.concat(F.lit("涉及"), display.grouped(F.col("groups")), F.lit("组重复或多版本资料")),
+            F.concat(F.lit("涉及"), display.grouped(F.col("duplicate_groups") + F.col("version_groups")), F.lit("组重复或多版本资料")),
         ),
         (F.lit("暂无法解析"), docs("unavailable"), share("unavailable")),
     ]
@@ -99,7 +153,7 @@ def key_metrics(records: DataFrame) -> DataFrame:
         F.struct(F.lit(i).alias("ord"), m.alias("metric"), v.alias("value"), n.alias("note"))
         for i, (m, v, n) in enumerate(rows, start=1)
     ]
-    return _facts(records).select(F.inline(F.array(*structs)))
+    return _totals(data, pack).select(F.inline(F.array(*structs)))
 
 
 def _donut(counts: DataFrame, total: Column) -> DataFrame:
@@ -125,19 +179,10 @@ def _bars(counts: DataFrame) -> DataFrame:
     return counts.withColumn("of_max", F.when(largest > 0, F.col("n") / largest).otherwise(F.lit(0.0)))
 
 
-def _labelled_counts(df: DataFrame, label: Column, labels, keep_zero: bool) -> DataFrame:
-    """Counts per label of a fixed list, in list order."""
-    dim = _rows(df, [(i, x) for i, x in enumerate(labels, start=1)], "ord int, label string")
-    counts = df.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    joined = F.broadcast(dim).join(counts, "label", "left" if keep_zero else "inner")
-    return joined.select("ord", "label", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-def format_distribution(records: DataFrame) -> DataFrame:
+def format_distribution(data: DataFrame | Rollup, pack: RulePack = DEFAULT_PACK) -> DataFrame:
     """(ord, label, n): five document kinds and the rest, empty ones dropped."""
-    return _labelled_counts(
-        records, display.document_kind(F.col("display_type")), rp.DOCUMENT_KINDS, keep_zero=False
-    )
+    counts = [(k, F.col(f"k{i}")) for i, k in enumerate(rp.DOCUMENT_KINDS)]
+    return _listed(_totals(data, pack), counts, keep_zero=False)
 
 
 def length_bin(length: Column, pack: RulePack = DEFAULT_PACK) -> Column:
@@ -147,25 +192,18 @@ def length_bin(length: Column, pack: RulePack = DEFAULT_PACK) -> Column:
     return out
 
 
-def length_distribution(records: DataFrame, pack: RulePack = DEFAULT_PACK) -> DataFrame:
+def length_distribution(data: DataFrame | Rollup, pack: RulePack = DEFAULT_PACK) -> DataFrame:
     """(ord, label, n): every bin, also empty, then the uncountable ones if any."""
-    label = F.when(
-        F.col("parse_status") == rp.DIRECT, length_bin(F.col("content_length"), pack)
-    ).otherwise(F.lit(rp.UNCOUNTED_BIN))
-    labels = [b[0] for b in pack.length_bins] + [rp.UNCOUNTED_BIN]
-    counts = _labelled_counts(records, label, labels, keep_zero=True)
-    return counts.filter((F.col("label") != rp.UNCOUNTED_BIN) | (F.col("n") > 0))
+    counts = [(b[0], F.col(f"b{i}")) for i, b in enumerate(pack.length_bins)]
+    counts.append((rp.UNCOUNTED_BIN, F.col("total") - F.col("direct")))
+    rows = _listed(_totals(data, pack), counts, keep_zero=True)
+    return rows.filter((F.col("label") != rp.UNCOUNTED_BIN) | (F.col("n") > 0))
 
 
-def length_note(records: DataFrame) -> DataFrame:
+def length_note(data: DataFrame | Rollup, pack: RulePack = DEFAULT_PACK) -> DataFrame:
     """(note): one sentence on what the length chart leaves out."""
-    scanned = F.col("display_type").startswith("PDF") & F.col("parse_issue").contains("疑似扫描文件")
-    facts = records.agg(
-        F.count_if(scanned).alias("scanned"),
-        F.coalesce(F.sum(F.when(scanned, F.col("document_scale"))), F.lit(0)).alias("pages"),
-        F.count_if(F.col("parse_status") != rp.DIRECT).alias("uncounted"),
-    )
-    return facts.select(
+    uncounted = F.col("total") - F.col("direct")
+    return _totals(data, pack).select(
         F.when(
             F.col("scanned") > 0,
             F.format_string(
@@ -175,10 +213,10 @@ def length_note(records: DataFrame) -> DataFrame:
             ),
         )
         .when(
-            F.col("uncounted") > 0,
+            uncounted > 0,
             F.format_string(
                 "有%,d份资料暂时无法可靠统计字数，已单独列出。其余篇幅按工具能够读取到的文字统计。",
-                "uncounted",
+                uncounted,
             ),
         )
         .otherwise("篇幅根据工具能够读取到的文字统计，仅用于了解资料的大致情况。")
@@ -186,24 +224,33 @@ def length_note(records: DataFrame) -> DataFrame:
     )
 
 
-def status_distribution(records: DataFrame) -> DataFrame:
+def _status_counts(data: DataFrame | Rollup, pack: RulePack) -> DataFrame:
+    counts = list(zip(rp.USE_STATUSES, (F.col("ready"), F.col("work"), F.col("blocked"))))
+    return _listed(_totals(data, pack), counts, keep_zero=True)
+
+
+def _total(data: DataFrame | Rollup, pack: RulePack) -> Column:
+    return _totals(data, pack).select("total").scalar()
+
+
+def status_distribution(data: DataFrame | Rollup, pack: RulePack = DEFAULT_PACK) -> DataFrame:
     """(ord, label, n, percent): the three use statuses, empty ones kept."""
-    counts = _labelled_counts(records, F.col("use_status"), rp.USE_STATUSES, keep_zero=True)
-    total = records.agg(F.count(F.lit(1))).scalar()
-    return counts.withColumn("total", total).select(
-        "ord", "label", "n", display.percent(F.col("n"), F.col("total")).alias("percent")
+    return (
+        _status_counts(data, pack)
+        .withColumn("total", _total(data, pack))
+        .select("ord", "label", "n", display.percent(F.col("n"), F.col("total")).alias("percent"))
     )
 
 
-def chart_series(records: DataFrame, pack: RulePack = DEFAULT_PACK) -> DataFrame:
+def chart_series(data: DataFrame | Rollup, pack: RulePack = DEFAULT_PACK) -> DataFrame:
     """(chart, ord, label, n, percent, share, offset, of_max): the format and status
     charts show shares of the whole, the length and problem charts bars."""
-    total = records.agg(F.count(F.lit(1))).scalar()
+    total = _total(data, pack)
     charts = {
-        "format": _donut(format_distribution(records), total),
-        "status": _donut(status_distribution(records).drop("percent"), total),
-        "length": _bars(length_distribution(records, pack)),
-        "problem": _bars(top_problems(records, pack).drop("advice")),
+        "format": _donut(format_distribution(data, pack), total),
+        "status": _donut(_status_counts(data, pack), total),
+        "length": _bars(length_distribution(data, pack)),
+        "problem": _bars(top_problems(data, pack).drop("advice")),
     }
     named = [df.select(F.lit(name).alias("chart"), "*") for name, df in charts.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
@@ -254,28 +301,22 @@ def example_detail(label: Column, pack: RulePack = DEFAULT_PACK) -> Column:
     )
 
 
-def problem_counts(records: DataFrame, pack: RulePack = DEFAULT_PACK) -> DataFrame:
-    """(label, n, advice): documents per problem, as conditional counts in one pass."""
-    counts = records.agg(
-        *[
-            F.count_if(_any_marker(F.col("issues"), p.markers)).alias(f"p{i}")
-            for i, p in enumerate(pack.problems)
-        ]
-    )
+def problem_counts(data: DataFrame | Rollup, pack: RulePack = DEFAULT_PACK) -> DataFrame:
+    """(label, n, advice): documents per problem, zero ones dropped."""
     rows = F.array(
         *[
             F.struct(F.lit(p.label).alias("label"), F.col(f"p{i}").alias("n"), F.lit(p.advice).alias("advice"))
             for i, p in enumerate(pack.problems)
         ]
     )
-    return counts.select(F.inline(rows)).filter(F.col("n") > 0)
+    return _totals(data, pack).select(F.inline(rows)).filter(F.col("n") > 0)
 
 
-def top_problems(records: DataFrame, pack: RulePack = DEFAULT_PACK) -> DataFrame:
+def top_problems(data: DataFrame | Rollup, pack: RulePack = DEFAULT_PACK) -> DataFrame:
     """(ord, label, n, advice): the largest problems; the forced one replaces the
     last when it would not be among them. Windows run over the problem labels."""
     whole = Window.partitionBy(F.lit(0))
-    ranked = problem_counts(records, pack).withColumn(
+    ranked = problem_counts(data, pack).withColumn(
         "rn", F.row_number().over(whole.orderBy(F.desc("n"), "label"))
     )
     forced = F.max(F.when(F.col("label") == pack.forced_problem, F.col("rn"))).over(whole)
@@ -297,11 +338,13 @@ def _first_per_label(rows: DataFrame, label: str, limit: int) -> DataFrame:
     return rows.withColumn("ord", rank).filter(F.col("ord") <= limit)
 
 
-def problem_examples(records: DataFrame, pack: RulePack = DEFAULT_PACK) -> DataFrame:
+def problem_examples(
+    records: DataFrame, pack: RulePack = DEFAULT_PACK, data: Rollup | None = None
+) -> DataFrame:
     """(label, ord, relative_path, detail, remaining): first documents per problem."""
     shown = _first_per_label(affected_records(records, pack), "label", pack.problem_examples)
     shown = shown.select("label", "ord", "relative_path", example_detail(F.col("label"), pack).alias("detail"))
-    counts = problem_counts(records, pack).select("label", "n")
+    counts = problem_counts(data or records, pack).select("label", "n")
     limit = pack.problem_examples
     return shown.join(F.broadcast(counts), "label").select(
         "label",
@@ -326,7 +369,9 @@ def status_detail() -> Column:
     ).otherwise(detail)
 
 
-def status_examples(records: DataFrame, pack: RulePack = DEFAULT_PACK) -> DataFrame:
+def status_examples(
+    records: DataFrame, pack: RulePack = DEFAULT_PACK, data: Rollup | None = None
+) -> DataFrame:
     """(use_status, ord, relative_path, detail, remaining) of the two statuses that
     need work."""
     pending = records.filter(F.col("use_status").isin(*rp.STATUS_SUFFIX))
@@ -339,7 +384,7 @@ def status_examples(records: DataFrame, pack: RulePack = DEFAULT_PACK) -> DataFr
         "relative_path",
         F.concat(status_detail(), F.lit("，"), suffix, F.lit("。")).alias("detail"),
     )
-    counts = pending.groupBy("use_status").agg(F.count(F.lit(1)).alias("n"))
+    counts = _status_counts(data or records, pack).select(F.col("label").alias("use_status"), "n")
     return shown.join(F.broadcast(counts), "use_status").select(
         "use_status",
         "ord",
@@ -360,27 +405,6 @@ def situation(ready: Column, blocked: Column, total: Column) -> Column:
     )
 
 
-def _topic_facts(records: DataFrame, pack: RulePack) -> DataFrame:
-    """One row per topic: counts, and per issue label its count and first document.
-
-    Conditional aggregates instead of exploding each document into its labels."""
-    place = F.struct(*ORDER)
-    votes = []
-    for i, label in enumerate(pack.main_issues):
-        hit = _any_marker(F.col("issues"), label.markers)
-        votes += [
-            F.count_if(hit).alias(f"n{i}"),
-            F.min(F.when(hit, place)).alias(f"f{i}"),
-        ]
-    return records.groupBy(F.col("suggested_knowledge_base").alias("topic")).agg(
-        F.count(F.lit(1)).alias("document_count"),
-        F.count_if(F.col("use_status") == rp.READY).alias("ready"),
-        F.count_if(F.col("use_status") == rp.NOT_READY).alias("blocked"),
-        F.min(place).alias("first"),
-        *votes,
-    )
-
-
 def _main_issue(pack: RulePack) -> Column:
     """Most frequent label; ties go to the label met first in inventory order."""
     labels = [
@@ -408,9 +432,15 @@ def _main_issue(pack: RulePack) -> Column:
     ).otherwise(rp.NO_MAIN_ISSUE)
 
 
-def main_issue(records: DataFrame, pack: RulePack = DEFAULT_PACK) -> DataFrame:
+def topic_situation(data: DataFrame | Rollup, pack: RulePack = DEFAULT_PACK) -> DataFrame:
+    """(topic, situation)."""
+    state = situation(F.col("ready"), F.col("blocked"), F.col("total"))
+    return _topics(data, pack).select("topic", state.alias("situation"))
+
+
+def main_issue(data: DataFrame | Rollup, pack: RulePack = DEFAULT_PACK) -> DataFrame:
     """(topic, main_issue)."""
-    return _topic_facts(records, pack).select("topic", _main_issue(pack).alias("main_issue"))
+    return _topics(data, pack).select("topic", _main_issue(pack).alias("main_issue"))
 
 
 def category_lookup(topics: DataFrame, pack: RulePack = DEFAULT_PACK) -> DataFrame:
@@ -420,17 +450,17 @@ def category_lookup(topics: DataFrame, pack: RulePack = DEFAULT_PACK) -> DataFra
     return topics.join(F.broadcast(dim), "topic", "left")
 
 
-def topic_plan(records: DataFrame, pack: RulePack = DEFAULT_PACK) -> DataFrame:
+def topic_plan(data: DataFrame | Rollup, pack: RulePack = DEFAULT_PACK) -> DataFrame:
     """(ord, name, description, document_count, current_situation, main_issue): the
     proposed collections by size, pending documents included."""
-    facts = category_lookup(_topic_facts(records, pack), pack)
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("document_count"), "first")
-    state = situation(F.col("ready"), F.col("blocked"), F.col("document_count"))
+    facts = category_lookup(_topics(data, pack), pack)
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("total"), "first")
+    state = situation(F.col("ready"), F.col("blocked"), F.col("total"))
     return facts.select(
         F.row_number().over(order).alias("ord"),
         F.col("topic").alias("name"),
         "description",
-        "document_count",
+        F.col("total").alias("document_count"),
         F.when(F.col("topic") == rp.PENDING, rp.PENDING_SITUATION).otherwise(state).alias("current_situation"),
         _main_issue(pack).alias("main_issue"),
     )
@@ -449,11 +479,11 @@ def _joined(rows: DataFrame, text: Column, empty: str) -> Column:
     ).scalar()
 
 
-def conclusions(records: DataFrame, pack: RulePack = DEFAULT_PACK) -> DataFrame:
+def conclusions(data: DataFrame | Rollup, pack: RulePack = DEFAULT_PACK) -> DataFrame:
     """(ord, paragraph): five sentences."""
-    top = top_problems(records, pack).filter(F.col("ord") <= 3)
-    plan = topic_plan(records, pack).filter(F.col("name") != rp.PENDING)
-    facts = _facts(records).select(
+    top = top_problems(data, pack).filter(F.col("ord") <= 3)
+    plan = topic_plan(data, pack).filter(F.col("name") != rp.PENDING)
+    facts = _totals(data, pack).select(
         "*",
         _joined(top, F.concat("label", F.lit("（"), display.grouped(F.col("n")), F.lit("份）")), rp.NO_MAIN_ISSUE).alias(
             "problem_text"
@@ -487,20 +517,22 @@ def conclusions(records: DataFrame, pack: RulePack = DEFAULT_PACK) -> DataFrame:
     return facts.select(F.inline(F.array(*rows)))
 
 
-def use_standards(records: DataFrame) -> DataFrame:
+def use_standards(data: DataFrame | Rollup, pack: RulePack = DEFAULT_PACK) -> DataFrame:
     """(ord, label, n, percent, description): what each status means."""
-    dim = _rows(records, list(rp.STATUS_STANDARDS), "label string, description string")
-    return status_distribution(records).join(F.broadcast(dim), "label").select(
-        "ord", "label", "n", "percent", "description"
-    )
+    return _described(status_distribution(data, pack), rp.STATUS_STANDARDS)
 
 
-def priority_overview(records: DataFrame) -> DataFrame:
+def priority_overview(data: DataFrame | Rollup, pack: RulePack = DEFAULT_PACK) -> DataFrame:
     """(ord, label, n, description) over the documents with issues."""
-    problematic = records.filter(F.col("issues") != "")
-    dim = _rows(records, list(rp.PRIORITY_NOTES), "label string, description string")
-    counts = _labelled_counts(problematic, F.col("priority"), [p[0] for p in rp.PRIORITY_NOTES], True)
-    return counts.join(F.broadcast(dim), "label").select("ord", "label", "n", "description")
+    counts = [(p, F.col(f"r{i}")) for i, (p, _) in enumerate(rp.PRIORITY_NOTES)]
+    return _described(_listed(_totals(data, pack), counts, keep_zero=True), rp.PRIORITY_NOTES)
+
+
+def _described(rows: DataFrame, notes) -> DataFrame:
+    text = F.lit("")
+    for label, description in notes:
+        text = F.when(F.col("label") == label, F.lit(description)).otherwise(text)
+    return rows.withColumn("description", text)
 
 
 def rectification_list(records: DataFrame) -> DataFrame:
@@ -559,21 +591,25 @@ def summary_json(summary: DataFrame) -> DataFrame:
 
 
 def build_report(records: DataFrame, pack: RulePack = DEFAULT_PACK) -> dict[str, DataFrame]:
-    """All report datasets by name (``records`` as returned by ``analyze``)."""
+    """All report datasets by name (``records`` as returned by ``analyze``).
+
+    Runs one job for the rollup; besides it only the two example lists read the
+    verdicts again."""
+    data = Rollup(materialize(rollup(records, pack), "rollup"))
     return {
-        "conclusions": conclusions(records, pack),
-        "key_metrics": key_metrics(records),
-        "format_distribution": format_distribution(records),
-        "length_distribution": length_distribution(records, pack),
-        "length_note": length_note(records),
-        "status_distribution": status_distribution(records),
-        "use_standards": use_standards(records),
-        "status_examples": status_examples(records, pack),
-        "top_problems": top_problems(records, pack),
-        "problem_examples": problem_examples(records, pack),
-        "chart_series": chart_series(records, pack),
-        "topic_plan": topic_plan(records, pack),
-        "priority_overview": priority_overview(records),
+        "conclusions": conclusions(data, pack),
+        "key_metrics": key_metrics(data, pack),
+        "format_distribution": format_distribution(data, pack),
+        "length_distribution": length_distribution(data, pack),
+        "length_note": length_note(data, pack),
+        "status_distribution": status_distribution(data, pack),
+        "use_standards": use_standards(data, pack),
+        "status_examples": status_examples(records, pack, data),
+        "top_problems": top_problems(data, pack),
+        "problem_examples": problem_examples(records, pack, data),
+        "chart_series": chart_series(data, pack),
+        "topic_plan": topic_plan(data, pack),
+        "priority_overview": priority_overview(data, pack),
     }
 
 
