@@ -54,10 +54,12 @@ SALARY = (
     f"(?U)(?:{'|'.join(SALARY_TERMS)})"
     + rf"[^\n。；;]{{0,20}}(?:\d[\d,.]*{_S}(?:元|万元|人民币|{_RMB}|￥|¥))"
 )
+# Possessive white space: neighbouring runs would otherwise retry each other.
+_P = _S + "+"
 CONTRACT = (
     f"(?U)(?:{'|'.join(CONTRACT_TERMS)})"
-    + rf"{_S}(?:为|是|[:：=]){_S}(?:人民币{_S})?(?:{_RMB}{_S})?[￥¥]?{_S}"
-    + rf"(?:\d[\d,.]*{_S}(?:万元|元)|[￥¥]{_S}\d[\d,.]*)"
+    + rf"{_P}(?:为|是|[:：=]){_P}(?:人民币{_P})?(?:{_RMB}{_P})?[￥¥]?{_P}"
+    + rf"(?:\d[\d,.]*{_P}(?:万元|元)|[￥¥]{_P}\d[\d,.]*)"
 )
 
 _DIGITS = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Nd" and c > 0x7F]

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Batches to Python are cut by bytes, since a few of the rows may be whole texts.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 
