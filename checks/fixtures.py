@@ -1,14 +1,15 @@
 """Document, page, cell, range and shape tables derived from the given tables.
 
-The same text serves Spark and DuckDB. Every table uses all rows and the whole
-texts of its source; what a rule needs to see is added to the rows.
+The same text serves Spark and DuckDB. Every table holds all rows and the whole
+texts of its source; what a rule needs to see is added to the texts, and short, empty
+or blank cases are rows of their own, made from ``supplier``, ``nation`` and ``events``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscope.sources.tables import read_table, spread
+from corpuscope.sources.tables import read_table
 
 AS_OF = "2024-01-01 00:00:00"
 
@@ -16,7 +17,7 @@ CORPUS = """
 SELECT d.doc_id, d.root_name, d.folder || '/' || d.file_name AS relative_path, d.file_name, d.extension,
        CAST(length(d.body) AS BIGINT) AS size_bytes,
        CAST(DATE '2024-01-01' - CAST((d.doc_id * 37) % 2600 AS INT) AS TIMESTAMP) AS modified_at,
-       CASE WHEN d.extension IN ('.doc', '.csv') THEN '' ELSE d.body END AS text,
+       d.body AS text,
        {content}
 FROM (
   SELECT doc_id, '公司资料' AS root_name, e.extension,
@@ -26,9 +27,7 @@ FROM (
          WHEN doc_id % 10 = 2 THEN '附件-' || e.slug
          WHEN doc_id % 10 = 3 THEN '备份-IT系统-' || e.slug
          ELSE 'memo-' || e.slug END || e.extension AS file_name,
-    CASE WHEN doc_id % 20 = 4 THEN ''
-         WHEN doc_id % 20 = 5 THEN '简短通知 ' || source || ' ' || e.slug
-         WHEN doc_id % 20 = 6 THEN repeat('会议纪要，' || source || ' ', 8) || e.slug
+    CASE WHEN lang = 'zh' THEN text
          WHEN doc_id % 20 = 7 THEN repeat('�', CAST(length(text) AS INT)) || text
          WHEN doc_id % 20 = 8 THEN repeat('�', CAST((length(text) - length(text) % 6) / 6 AS INT)) || text
          WHEN doc_id % 20 = 9 THEN text || ' 手机13800138000，备用13900139000 '
@@ -37,29 +36,36 @@ FROM (
          WHEN doc_id % 20 = 12 THEN text || ' 邮箱 a.b@example.com, c@example.org. '
          WHEN doc_id % 20 = 13 THEN text || chr(10) || '密级：机密' || chr(10) || '禁止外传'
          WHEN doc_id % 20 = 14 THEN text || ' 月薪约8,000元；本合同总金额为人民币￥100,000元 '
-         WHEN doc_id % 20 = 15 THEN '同一份制度正文，用于重复检测。员工考勤与休假管理办法，适用于全体员工。版本' || CAST(doc_id % 3 AS STRING)
          WHEN doc_id % 20 = 16 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')
          ELSE text END AS body
   FROM (SELECT *, translate(CAST(doc_id AS STRING), '0123456789', 'abcdefghij') AS slug,
           CASE CAST(doc_id AS INT) % 8 WHEN 0 THEN '.docx' WHEN 1 THEN '.pdf' WHEN 2 THEN '.xlsx' WHEN 3 THEN '.pptx'
                WHEN 4 THEN '.txt' WHEN 5 THEN '.md' WHEN 6 THEN '.doc' ELSE '.csv' END AS extension
-        FROM {documents}) e
+        FROM (
+          SELECT doc_id, text, lang, source FROM {documents}
+          UNION ALL
+          SELECT 1000000000 + s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN '' WHEN 1 THEN '简短通知 ' || s_name
+            WHEN 2 THEN repeat('会议纪要，', 8) || s_name WHEN 3 THEN repeat('会议纪要内容。', 20) || s_name
+            ELSE '同一份制度正文，用于重复检测。员工考勤与休假管理办法，适用于全体员工。版本' || CAST(s_suppkey % 3 AS STRING) END,
+            'zh', 'src' || CAST(s_nationkey AS STRING) FROM {supplier}) t) e
 ) d
 """
 
 PAGES = """
 SELECT conv_id AS doc_id, CAST(turn AS INT) AS page_no,
-  CASE WHEN conv_id % 5 = 0 THEN role WHEN (conv_id + turn) % 11 = 0 THEN '' ELSE text END AS text,
-  (conv_id + turn) % 11 = 0 AS failed, conv_id % 13 = 0 AS encrypted FROM {conversations}
+  text, (conv_id + turn) % 11 = 0 AS failed, conv_id % 13 = 0 AS encrypted FROM {conversations}
+UNION ALL
+SELECT 1000000000 + n_nationkey, 1, n_name, n_nationkey % 4 = 0, n_nationkey % 7 = 0 FROM {nation}
 """
 
 CELLS = """
-SELECT l_orderkey AS doc_id, l_linestatus AS sheet, CAST(l_linenumber AS INT) AS row_no, 1 AS col_no,
+SELECT l_orderkey AS doc_id, l_linestatus AS sheet, CASE l_linestatus WHEN 'O' THEN 1 ELSE 2 END AS sheet_no,
+  CAST(l_linenumber AS INT) AS row_no, 1 AS col_no,
   CASE WHEN l_linenumber = 1 AND l_orderkey % 3 = 0 THEN NULL ELSE l_returnflag END AS value,
   false AS is_formula
 FROM {lineitem}
 UNION ALL
-SELECT l_orderkey, l_linestatus, CAST(l_linenumber AS INT), 2,
+SELECT l_orderkey, l_linestatus, CASE l_linestatus WHEN 'O' THEN 1 ELSE 2 END, CAST(l_linenumber AS INT), 2,
   CASE WHEN l_linenumber > 1 OR l_orderkey % 5 = 0 THEN
     CASE WHEN l_orderkey % 4 = 0 THEN '=SUM(A1)' ELSE l_returnflag END END,
   l_orderkey % 4 = 0 AND (l_linenumber > 1 OR l_orderkey % 5 = 0)
@@ -76,8 +82,11 @@ FROM {lineitem}
 SHAPES = """
 SELECT user_id AS doc_id, CAST(event_id % 12 AS INT) AS slide_no, event_id AS shape_no,
   CASE event_type WHEN 'view' THEN 'picture' WHEN 'error' THEN 'table' ELSE 'text' END AS kind,
-  CASE WHEN event_id % 9 = 0 THEN '  ' ELSE props END AS text
+  props AS text
 FROM {events}
+UNION ALL
+SELECT user_id, CAST(event_id % 12 AS INT), 1000000000 + event_id, 'text', '　' || chr(10) || chr(9)
+FROM {events} WHERE event_id % 3 > 0
 """
 
 ELEMENTS = """
@@ -104,23 +113,30 @@ SPARK_CONTENT = "CAST(d.body AS BINARY) AS content"
 DUCK_CONTENT = "encode(d.body) AS content"
 
 _SOURCES = {
-    "corpus": (CORPUS.replace("{content}", SPARK_CONTENT), "documents"),
-    "pages": (PAGES, "conversations"),
-    "cells": (CELLS, "lineitem"),
-    "merges": (MERGES, "lineitem"),
-    "shapes": (SHAPES, "events"),
-    "elements": (ELEMENTS, "conversations"),
-    "manifest": (MANIFEST, "events"),
+    "corpus": (CORPUS.replace("{content}", SPARK_CONTENT), ("documents", "supplier")),
+    "pages": (PAGES, ("conversations", "nation")),
+    "cells": (CELLS, ("lineitem",)),
+    "merges": (MERGES, ("lineitem",)),
+    "shapes": (SHAPES, ("events",)),
+    "elements": (ELEMENTS, ("conversations",)),
+    "manifest": (MANIFEST, ("events",)),
 }
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows over all cores: the given tables are files of one row group, which no
+    scan can split as it splits a table of real size."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    query, source = _SOURCES[name]
-    return spark.sql(query, **{source: spread(read_table(spark, folder, source))})
+    query, sources = _SOURCES[name]
+    return spark.sql(query, **{x: dealt(read_table(spark, folder, x)) for x in sources})
 
 
 def duck_sql(name: str) -> str:
-    if name == "corpus":
-        return CORPUS.replace("{content}", DUCK_CONTENT).replace("{documents}", "documents").replace("AS STRING", "AS VARCHAR")
-    query, source = _SOURCES[name]
-    return query.replace("{" + source + "}", source).replace("AS STRING", "AS VARCHAR")
+    query, sources = _SOURCES[name]
+    query = query.replace(SPARK_CONTENT, DUCK_CONTENT)
+    for source in sources:
+        query = query.replace("{" + source + "}", source)
+    return query.replace("AS STRING", "AS VARCHAR")

@@ -333,7 +333,7 @@ ANCHOR = f"CASE WHEN root_name IN ({GENERIC}) THEN CASE WHEN len(folders) > 0 TH
 FOLDER_TEXT = f"array_to_string(list_filter(folders, lambda f: f NOT IN ({GENERIC})), ' ')"
 SCORES = (
     f"topic_src AS (SELECT doc_id, lower({ANCHOR}) AS anchor, lower({FOLDER_TEXT}) AS folder, fstem, "
-    f"translate(lower(substr(text, 1, 50000)), '{FULL}', '{HALF}') AS body FROM named),\n"
+    f"translate(lower(text), '{FULL}', '{HALF}') AS body FROM named),\n"
     "scores AS ("
     + " UNION ALL ".join(
         f"SELECT doc_id, anchor, {q(t.name)} AS topic, 20 * {_hits('anchor', t.keywords)} + 8 * {_hits('folder', t.keywords)} "

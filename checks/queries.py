@@ -26,10 +26,10 @@ from corpuscope.rulepack import DEFAULT_PACK as PACK
 from corpuscope.session import materialize, pin_session, scratch_root
 from corpuscope.sinks.writer import write_outputs
 from corpuscope.sources import content, inventory
-from corpuscope.sources.tables import read_table, spread
+from corpuscope.sources.tables import read_table
 
 from . import oracle as o
-from .fixtures import AS_OF, table
+from .fixtures import AS_OF, dealt, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -195,7 +195,7 @@ def _(spark, folder):
     "CASE WHEN doc_id % 4 = 3 THEN '需特殊处理' ELSE '可直接解析' END AS parse_status FROM documents",
 )
 def _(spark, folder):
-    docs = spread(read_table(spark, folder, "documents"))
+    docs = dealt(read_table(spark, folder, "documents"))
     kind, body = c("doc_id") % 4, c("text")
     utf8 = body.cast("binary")
     raw = (
@@ -253,13 +253,13 @@ def _(spark, folder):
     return elements.page_text(table(spark, folder, "pages"))
 
 
-_SHEET_PARTS = """, parts AS (SELECT DISTINCT doc_id, sheet, 0 AS row_no, 0 AS col_no, sheet AS value FROM cells
-  UNION ALL SELECT doc_id, sheet, row_no, col_no, value FROM cells WHERE value IS NOT NULL)"""
+_SHEET_PARTS = """, parts AS (SELECT DISTINCT doc_id, sheet_no, 0 AS row_no, 0 AS col_no, sheet AS value FROM cells
+  UNION ALL SELECT doc_id, sheet_no, row_no, col_no, value FROM cells WHERE value IS NOT NULL)"""
 
 
 @query(
     "sheet_text",
-    o.table_sql("cells", _joined_sql("parts", "sheet, row_no, col_no, value", "value"), _SHEET_PARTS),
+    o.table_sql("cells", _joined_sql("parts", "sheet_no, row_no, col_no, value", "value"), _SHEET_PARTS),
 )
 def _(spark, folder):
     return elements.sheet_text(table(spark, folder, "cells"))
@@ -295,7 +295,8 @@ def _(spark, folder):
     return elements.header_merges(table(spark, folder, "merges"))
 
 
-_SLIDES = """slides AS (SELECT doc_id, slide_no, count(*) FILTER (kind = 'text' AND trim(coalesce(text, '')) <> '') AS texts,
+_SLIDES = f"""slides AS (SELECT doc_id, slide_no,
+  count(*) FILTER (kind = 'text' AND regexp_replace(coalesce(text, ''), '{o.SPACE}', '', 'g') <> '') AS texts,
   count(*) FILTER (kind = 'picture') AS pictures, bool_or(kind IN ('table', 'chart', 'group')) AS structured FROM shapes GROUP BY ALL),
 decks AS (SELECT doc_id, count(*) AS slides, count(*) FILTER (structured) AS structured_slides,
   count(*) FILTER (texts >= 5) AS multi_text_slides, count(*) FILTER (pictures >= 2 AND texts >= 2) AS mixed_slides FROM slides GROUP BY doc_id)"""
@@ -469,9 +470,6 @@ on_features(
     "theme_anchor", lambda: {"anchor": c("folded_anchor")}, f"lower({o.ANCHOR}) AS anchor"
 )
 on_features("folder_text", lambda: {"folder_text": c("folder_text")}, f"lower({o.FOLDER_TEXT}) AS folder_text")
-on_corpus(
-    "body_prefix", lambda: F.sha2(F.substring("text", 1, PACK.body_chars), 256), "sha256(substr(text, 1, 50000))"
-)
 
 
 @query(
@@ -679,7 +677,8 @@ def _(spark, folder):
 
 @query("version_families", o.sql("versions", "SELECT parent_key, version_key, n FROM families"))
 def _(spark, folder):
-    return groups.version_families(extract_features(corpus(spark, folder), AS_OF), PACK).drop("first")
+    families = groups.version_families(extract_features(corpus(spark, folder), AS_OF), PACK)
+    return families.drop("first", "root_key")
 
 
 @query(

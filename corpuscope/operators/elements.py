@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rulepack as rp
+from ..functions.normalize import strip
 from ..functions.text import content_length, join_text_parts
 
 HEADER_ROWS = 10
@@ -66,15 +67,17 @@ def page_rules(pages: DataFrame) -> DataFrame:
 
 
 def sheet_text(cells: DataFrame) -> DataFrame:
-    """Excel: sheet title, then its non-null values row by row, sheet after sheet."""
-    titles = cells.select("doc_id", "sheet").distinct()
-    titles = titles.select(
-        "doc_id", "sheet", F.lit(0).alias("row_no"), F.lit(0).alias("col_no"), F.col("sheet").alias("value")
-    )
-    values = cells.filter(F.col("value").isNotNull()).select("doc_id", "sheet", "row_no", "col_no", "value")
-    return ordered_text(
-        titles.unionByName(values), [F.col("sheet"), F.col("row_no"), F.col("col_no")], F.col("value")
-    )
+    """Excel: sheet title, then its non-null values row by row, sheet after sheet.
+
+    Sheets come in workbook order (``sheet_no``); without that column, by title."""
+    if "sheet_no" not in cells.columns:
+        cells = cells.withColumn("sheet_no", F.lit(0))
+    sheet = ["doc_id", "sheet_no", "sheet"]
+    titles = cells.select(*sheet).distinct()
+    titles = titles.select(*sheet, F.lit(0).alias("row_no"), F.lit(0).alias("col_no"), F.col("sheet").alias("value"))
+    values = cells.filter(F.col("value").isNotNull()).select(*sheet, "row_no", "col_no", "value")
+    order = [F.col(c) for c in ("sheet_no", "sheet", "row_no", "col_no")]
+    return ordered_text(titles.unionByName(values), order, F.col("value"))
 
 
 def sheet_facts(cells: DataFrame) -> DataFrame:
@@ -146,7 +149,7 @@ def slide_rules(shapes: DataFrame) -> DataFrame:
     """PowerPoint: (doc_id, slide_no, shape_no, kind, text) to layout facts per deck.
 
     Kinds: text, table, chart, group, picture."""
-    is_text = (F.col("kind") == "text") & (F.trim(F.coalesce("text", F.lit(""))) != "")
+    is_text = (F.col("kind") == "text") & (strip(F.coalesce("text", F.lit(""))) != "")
     slides = shapes.groupBy("doc_id", "slide_no").agg(
         F.count_if(is_text).alias("texts"),
         F.count_if(F.col("kind") == "picture").alias("pictures"),
@@ -184,7 +187,8 @@ def extract_dispatch(suffix: Column, error_kind: Column, error_name: Column) ->
     """(parse_status, parse_issue) from the extension and the reader's failure, if any.
 
     ``error_kind``: null, 'encoding', 'permission', 'damaged' (unreadable
-    container, OS or value error) or anything else for an unexpected error."""
+    container, OS or value error), 'missing' (nothing has extracted the content)
+    or anything else for an unexpected error."""
     legacy = suffix.isin(*rp.LEGACY)
     unknown = ~suffix.isin(*rp.SUPPORTED) & ~legacy
     status = (
@@ -197,6 +201,7 @@ def extract_dispatch(suffix: Column, error_kind: Column, error_name: Column) ->
         .when(legacy, rp.ISSUE_LEGACY)
         .when(error_kind == "encoding", rp.ISSUE_ENCODING)
         .when(error_kind == "permission", rp.ISSUE_PERMISSION)
+        .when(error_kind == "missing", rp.ISSUE_NOT_EXTRACTED)
         .when(
             error_kind == "damaged", F.concat(F.lit("文件可能损坏或格式异常（"), error_name, F.lit("）"))
         )

@@ -15,6 +15,7 @@ from .components import star_components
 from .skew import HOT_ROWS, number_rows, split_join
 
 ORDER = ("path_key", "name_key", "doc_id")
+FAMILY = ("root_key", "parent_key", "version_key")
 
 
 def signatures(docs: DataFrame, pack: RulePack) -> DataFrame:
@@ -108,13 +109,13 @@ def duplicate_marks(docs: DataFrame, pack: RulePack, hot_rows: int = HOT_ROWS) -
 
 
 def version_families(docs: DataFrame, pack: RulePack) -> DataFrame:
-    """Families per (folder, title key). Two or more distinct values are told by
+    """Families per (root, folder, title key). Two or more distinct values are told by
     min <> max, so the aggregation combines on the map side without expanding."""
     fp = F.nullif("text_fp", F.lit(""))
     name = F.col("name_key")
     return (
         docs.filter(F.length("version_key") >= pack.min_version_key)
-        .groupBy("parent_key", "version_key")
+        .groupBy(*FAMILY)
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.bool_or("version_marker").alias("marked"),
@@ -129,7 +130,7 @@ def version_families(docs: DataFrame, pack: RulePack) -> DataFrame:
             & F.col("names_differ")
             & (F.col("no_text") | F.col("texts_differ"))
         )
-        .select("parent_key", "version_key", "n", "first")
+        .select(*FAMILY, "n", "first")
     )
 
 
@@ -137,10 +138,9 @@ def version_marks(docs: DataFrame, pack: RulePack, hot_rows: int = HOT_ROWS) ->
     """(doc_id, version_group)."""
     families = number_rows(version_families(docs, pack), [F.col("first")], "number")
     keys = families.select(
-        "parent_key", "version_key", "n", group_label(rp.VERSION_ID, F.col("number")).alias("version_group")
+        *FAMILY, "n", group_label(rp.VERSION_ID, F.col("number")).alias("version_group")
     )
-    rows = docs.select("doc_id", "parent_key", "version_key")
-    return split_join(rows, keys, ["parent_key", "version_key"], "n", hot_rows=hot_rows).select(
+    return split_join(docs.select("doc_id", *FAMILY), keys, list(FAMILY), "n", hot_rows=hot_rows).select(
         "doc_id", "version_group"
     )
 

@@ -50,7 +50,8 @@ def _split_keywords(pack: RulePack) -> tuple[list[list[str]], list[list[str]]]:
 
 def _keyword_pattern(words: list[str], phrases: list[str]) -> str:
     """Zero-width pattern whose group is the longest keyword starting there. A test
-    of the first character guards each list, so most positions cost one range test."""
+    of the first character guards each list, so most positions cost one range test.
+    No phrase may start with a letter or digit a word could start with."""
     options = []
     if words:
         firsts = "".join(sorted({w[0] for w in words}))
@@ -68,13 +69,19 @@ def _keyword_pattern(words: list[str], phrases: list[str]) -> str:
 def keyword_hits(folded: Column, pack: RulePack) -> Column:
     """``ARRAY<INT>``: per topic, how many of its keywords occur in the text.
 
-    One scan collects, at every position, the longest keyword that starts there.
-    A keyword occurs exactly if one of the collected ones contains it."""
+    One scan collects, at every position, the longest keyword that starts there; a
+    second one, if the pack has any, the phrases that start like a word, so that a word
+    and a phrase at one place are both seen. A keyword occurs exactly if one of the
+    collected ones contains it."""
     words, phrases = _split_keywords(pack)
     all_words = sorted({k for ks in words for k in ks})
     all_phrases = sorted({k for ks in phrases for k in ks})
-    pattern = _keyword_pattern(all_words, all_phrases)
-    found = F.array_distinct(F.regexp_extract_all(folded, F.lit(pattern), F.lit(1)))
+    wordlike = [k for k in all_phrases if re.match("[a-z0-9]", k)]
+    scans = [(all_words, [k for k in all_phrases if k not in wordlike]), ([], wordlike)]
+    hits = [
+        F.regexp_extract_all(folded, F.lit(_keyword_pattern(*scan)), F.lit(1)) for scan in scans if any(scan)
+    ]
+    found = F.array_distinct(F.concat(*hits) if hits else F.array().cast("array<string>"))
 
     def count(seen: Column) -> Column:
         per_word = F.transform(
@@ -199,11 +206,18 @@ def final_topics(docs: DataFrame, pack: RulePack) -> DataFrame:
 
 
 def assign_topics(docs: DataFrame, pack: RulePack, source: DataFrame | None = None) -> DataFrame:
-    """Adds ``suggested_knowledge_base`` and drops the raw ``topic``. ``source``
-    is a cheaper table with the same documents to count the topics on."""
+    """Adds ``suggested_knowledge_base``, which the cap on topics governs, and keeps
+    the document's own choice as ``chosen_topic``. ``source`` is a cheaper table with
+    the same documents to count the topics on."""
     final = final_topics(docs if source is None else source, pack)
     return (
         docs.join(F.broadcast(final), "topic", "left")
         .withColumnRenamed("final_topic", "suggested_knowledge_base")
-        .drop("topic")
+        .withColumnRenamed("topic", "chosen_topic")
     )
+
+
+def moved_by_cap(records: DataFrame) -> DataFrame:
+    """(chosen_topic, n): documents whose own topic is beyond the cap on topics."""
+    moved = (F.col("suggested_knowledge_base") == PENDING) & (F.col("chosen_topic") != PENDING)
+    return records.filter(moved).groupBy("chosen_topic").agg(F.count(F.lit(1)).alias("n"))

@@ -20,7 +20,7 @@ from ..operators import groups, topics
 from ..operators.elements import extract_dispatch
 from ..operators.skew import HOT_ROWS
 from ..rulepack import DEFAULT_PACK, RulePack
-from ..session import materialize
+from ..session import Scratch, materialize
 from ..sources.inventory import classify_file
 
 RECORD_COLUMNS = (
@@ -66,8 +66,9 @@ def _with_defaults(docs: DataFrame) -> DataFrame:
 
     file_name = paths.name_of(F.col("relative_path"))
     suffix = paths.suffix(file_name)
-    failure = F.lit(None).cast("string")
-    status, issue = extract_dispatch(suffix, failure, failure)
+    none = F.lit(None).cast("string")
+    missing = F.when(F.col("text").isNull(), F.lit("missing"))
+    status, issue = extract_dispatch(suffix, missing, none)
     if "content_sha256" in have:
         binary = F.when(F.col("size_bytes") > 0, F.col("content_sha256"))
     elif "content" in have:
@@ -97,7 +98,6 @@ def _measure_text(docs: DataFrame, pack: RulePack) -> DataFrame:
     """Everything that needs the text, computed in the JVM; the text column ends
     here, except for the few rows whose folding needs Python."""
     body = F.col("text")
-    head = F.substring(body, 1, pack.body_chars) if pack.body_chars else body
     # A NUL cannot occur in a path, so one string carries all names through folding.
     names = F.concat_ws(
         "\x00",
@@ -115,13 +115,9 @@ def _measure_text(docs: DataFrame, pack: RulePack) -> DataFrame:
         F.when(~odd, F.lower(body)).alias("low"),
         risks.has_digit_run(body, odd).alias("digit_run"),
     )
-    low, bare, low_head = F.col("low"), F.col("bare"), F.col("low_head")
-    flagged = flagged.select(
-        "*",
-        normalize.drop_jvm_spaces(low).alias("bare"),
-        (F.substring(low, 1, pack.body_chars) if pack.body_chars else low).alias("low_head"),
-    )
-    head_words = normalize.spell_out(normalize.words_to_half_width(low_head))
+    low, bare = F.col("low"), F.col("bare")
+    flagged = flagged.select("*", normalize.drop_jvm_spaces(low).alias("bare"))
+    words = normalize.spell_out(normalize.words_to_half_width(low))
     measured = flagged.select(
         *kept,
         F.when(odd, text.content_length(body)).otherwise(text.content_length(bare)).alias("content_length"),
@@ -130,15 +126,13 @@ def _measure_text(docs: DataFrame, pack: RulePack) -> DataFrame:
         .alias("garbled"),
         risks.risk_counts(body, F.col("digit_run")).alias("risk_counts"),
         normalize.digest_of_bare(normalize.spell_out(normalize.to_half_width(bare))).alias("jvm_fp"),
-        F.when(~odd, topics.keyword_hits(head_words, pack)).alias("jvm_hits"),
+        F.when(~odd, topics.keyword_hits(words, pack)).alias("jvm_hits"),
         F.when(odd, body).alias("odd_text"),
-        F.when(odd & (head != body), head).alias("odd_head"),
         "names",
         normalize.is_odd(F.col("names")).alias("names_odd"),
     )
     # One Python node for the rare rows; it sees nulls for all others.
     odd_folded = normalize.fold_odd(F.col("odd_text"))
-    head_folded = normalize.fold_odd(F.col("odd_head"))
     names_folded = normalize.fold_odd(F.when(F.col("names_odd"), F.col("names")))
     folded_rows = measured.select(
         *kept,
@@ -149,12 +143,10 @@ def _measure_text(docs: DataFrame, pack: RulePack) -> DataFrame:
         "jvm_hits",
         F.col("odd_text").isNotNull().alias("is_odd"),
         odd_folded.alias("odd_folded"),
-        F.when(F.col("odd_head").isNotNull(), head_folded).alias("odd_head_folded"),
         F.when(F.col("names_odd"), names_folded)
         .otherwise(normalize.fold_jvm(F.col("names")))
         .alias("names_folded"),
     )
-    odd_body = F.coalesce("odd_head_folded", "odd_folded")
     return folded_rows.select(
         *kept,
         "content_length",
@@ -163,7 +155,7 @@ def _measure_text(docs: DataFrame, pack: RulePack) -> DataFrame:
         F.when(F.col("is_odd"), normalize.digest_of_folded(F.col("odd_folded")))
         .otherwise(F.col("jvm_fp"))
         .alias("text_fp"),
-        F.when(F.col("is_odd"), topics.keyword_hits(odd_body, pack))
+        F.when(F.col("is_odd"), topics.keyword_hits(F.col("odd_folded"), pack))
         .otherwise(F.col("jvm_hits"))
         .alias("body_hits"),
         F.split("names_folded", "\x00").alias("folded"),
@@ -190,6 +182,7 @@ def _name_features(docs: DataFrame, pack: RulePack) -> DataFrame:
         paths.bad_name(F.col("file_name"), above, pack.bad_folders).alias("bad_name"),
         paths.version_key(folded_stem).alias("version_key"),
         paths.has_version_marker(folded_stem).alias("version_marker"),
+        F.lower(F.concat_ws("/", "root_path", "root_name")).alias("root_key"),
         paths.parent_key(F.col("relative_path")).alias("parent_key"),
         paths.looks_like_copy(F.col("file_name")).alias("copy_named"),
         F.lower("relative_path").alias("path_key"),
@@ -277,11 +270,17 @@ class Audit:
     pack: RulePack
     skipped: DataFrame | None = None
     errors: DataFrame | None = None
+    scratch: Scratch | None = None
 
     def table(self) -> DataFrame:
         """The audit row of every document, without the engine's sort keys."""
         return self.records.select(*RECORD_COLUMNS)
 
+    def close(self) -> None:
+        """Delete the audit's scratch tables; its records cannot be read afterwards."""
+        if self.scratch:
+            self.scratch.drop()
+
 
 def analyze(
     docs: DataFrame,
@@ -293,7 +292,8 @@ def analyze(
 
     Runs jobs: features, group tables and verdicts are written to the shared
     scratch area once each, so no later report reads a text again."""
-    features = materialize(extract_features(docs, as_of, pack), "features")
-    marks = groups.cross_document_marks(features, pack, hot_rows)
-    assigned = topics.assign_topics(finalize_verdicts(features, marks), pack, features)
-    return Audit(materialize(assigned, "verdicts"), pack)
+    with Scratch(docs.sparkSession) as scratch:
+        features = materialize(extract_features(docs, as_of, pack), "features")
+        marks = groups.cross_document_marks(features, pack, hot_rows)
+        assigned = topics.assign_topics(finalize_verdicts(features, marks), pack, features)
+        return Audit(materialize(assigned, "verdicts"), pack, scratch=scratch)

@@ -101,6 +101,7 @@ ISSUE_ENCODING = "文字编码异常，建议重新保存文件"
 ISSUE_ENCRYPTED = "文件已加密，需要提供可读取版本"
 ISSUE_SCANNED = "疑似扫描文件，需要先识别文字"
 ISSUE_PERMISSION = "文件无法访问，请检查权限或是否被占用"
+ISSUE_NOT_EXTRACTED = "缺少本地解析组件，请重新安装完整工具"
 BLOCKING_WORDS = ("损坏", "加密", "无法访问")
 
 WARN_MERGED = "前10行存在多处或跨行合并单元格，可能是多行表头"
@@ -359,7 +360,6 @@ class RulePack:
     folder_weight: int = 8
     stem_weight: int = 5
     body_cap: int = 5
-    body_chars: int | None = 50_000
     min_topic_score: int = 3
     min_tied_score: int = 8
     max_topics: int = 6

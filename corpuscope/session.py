@@ -51,6 +51,29 @@ def scratch_root(spark: SparkSession) -> str:
     return folder
 
 
+class Scratch:
+    """A folder of the scratch area for the tables written inside ``with``.
+
+    ``drop`` deletes them; nothing that still reads one may be used afterwards."""
+
+    _open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = f"{scratch_root(spark)}/corpuscope/run-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        Scratch._open.remove(self)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared scratch area and read it back.
 
@@ -58,6 +81,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     use it, and keeps column pruning (the reason for parquet over an RDD
     checkpoint)."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/corpuscope/{name}-{uuid.uuid4().hex}"
+    folder = Scratch._open[-1].folder if Scratch._open else f"{scratch_root(spark)}/corpuscope"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

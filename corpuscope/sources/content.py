@@ -15,7 +15,6 @@ from ..operators.elements import extract_dispatch
 
 BATCH_BYTES = 64 << 20
 TASK_BYTES = 256 << 20
-SNIFF_BYTES = 4096
 
 
 def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -24,7 +23,7 @@ def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         held, start, rows = 0, 0, []
         for position, path in enumerate(batch["path"]):
-            content, kind, name = b"", None, None
+            content, kind, name = None, None, None
             try:
                 with open(path, "rb") as stream:
                     content = stream.read()
@@ -33,7 +32,7 @@ def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             except (OSError, ValueError) as error:
                 kind, name = "damaged", type(error).__name__
             rows.append((content, kind, name))
-            held += len(content)
+            held += len(content or b"")
             if held >= BATCH_BYTES:
                 yield _with_content(batch.iloc[start : position + 1], rows)
                 held, start, rows = 0, position + 1, []
@@ -47,7 +46,8 @@ def _with_content(batch: pd.DataFrame, rows: list[tuple]) -> pd.DataFrame:
 
 
 def read_content(files: DataFrame) -> DataFrame:
-    """Adds (content, error_kind, error_name) to a listing.
+    """Adds (content, error_kind, error_name) to a listing; content is null if the
+    file could not be read, so it has no fingerprint.
 
     Files are opened where their row lives. Spark's binaryFile source would drop
     empty files and names starting with an underscore, and joining its content
@@ -83,9 +83,9 @@ def _bytes(hex_text: str) -> Column:
 
 
 def looks_binary(content: Column) -> Column:
-    """A NUL near the start without a UTF-16 byte order mark."""
+    """A NUL anywhere without a UTF-16 byte order mark."""
     utf16 = F.startswith(content, _bytes("FFFE")) | F.startswith(content, _bytes("FEFF"))
-    return F.contains(F.substring(content, 1, SNIFF_BYTES), _bytes("00")) & ~utf16
+    return F.contains(content, _bytes("00")) & ~utf16
 
 
 def decode_text(content: Column) -> Column:
@@ -102,11 +102,14 @@ def decode_text(content: Column) -> Column:
 
 def read_text(files: DataFrame) -> DataFrame:
     """Adds text, parse_status and parse_issue to rows with content. Text formats
-    are decoded here; other supported formats need their element tables."""
+    are decoded here; other supported formats need their element tables and until
+    then have the status of documents whose content was not extracted."""
     suffix = paths.suffix(paths.name_of(F.col("relative_path")))
     is_text = suffix.isin(".txt", ".md") & F.col("error_kind").isNull()
     decoded = files.withColumn("text", decode_text(F.when(is_text, F.col("content"))))
-    failed = F.when(is_text & F.col("text").isNull(), F.lit("encoding")).otherwise(F.col("error_kind"))
+    failed = F.when(is_text & F.col("text").isNull(), F.lit("encoding")).otherwise(
+        F.coalesce("error_kind", F.when(~is_text, F.lit("missing")))
+    )
     status, issue = extract_dispatch(suffix, failed, F.col("error_name"))
     return decoded.select(
         *[c for c in decoded.columns if c not in ("text", "error_kind", "error_name")],

@@ -191,7 +191,7 @@ class Listing:
 
 
 def scan_corpus(spark: SparkSession, root: str) -> Listing:
-    """Inventory of a file tree: (doc_id, root_path, path, relative_path,
+    """Inventory of a file tree: (doc_id, root_path, root_name, path, relative_path,
     size_bytes, modified_at) of the files, the skipped count and the errors."""
     root = root.rstrip("/")
     entries = list_tree(spark, root)
@@ -200,7 +200,8 @@ def scan_corpus(spark: SparkSession, root: str) -> Listing:
     dropped = is_ignored(name) & F.col("kind").isin("file", "dir") | (F.col("kind") == "dirlink")
     files = entries.filter((F.col("kind") == "file") & ~is_ignored(name)).select(
         F.monotonically_increasing_id().alias("doc_id"),
-        F.lit(root).alias("root_path"),
+        F.lit(os.path.dirname(root)).alias("root_path"),
+        F.lit(os.path.basename(root)).alias("root_name"),
         "path",
         relative.alias("relative_path"),
         "size_bytes",

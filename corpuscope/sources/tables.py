@@ -8,10 +8,3 @@ from pyspark.sql import DataFrame, SparkSession
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a source with fewer splits than cores.
-
-    A large table has thousands of splits and passes through unchanged."""
-    width = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(width) if df.rdd.getNumPartitions() < width else df
