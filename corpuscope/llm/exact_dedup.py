@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import Scratch, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
@@ -130,23 +130,32 @@ def repeated_fingerprints(signatures: DataFrame, rows: int, bits: int = 32) -> D
     return filters.groupBy("part").applyInPandas(merge, "fp long")
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, …) without text, plus keep_id, group_size, kept, text_sha256."""
-    carried = [c for c in docs.columns if c not in ("text", *RESULT)]
+def verified_groups(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """(_fp, text_sha256, keep_id, group_size) of the texts that occur more than once."""
     text = normalise(F.col("text"))
-    # the digest of the same bytes in the JVM: two 64-bit hashes would do, but the result shows it
-    signed = docs.select(*carried, F.xxhash64(text).alias("_fp"), F.sha2(text, 256).alias("text_sha256"))
-    signed = materialize(signed, "signatures")
     again = materialize(repeated_fingerprints(signed.select(F.col("_fp").alias("fp")), signed.count()), "repeated")
     routed = docs.select("doc_id", F.xxhash64(text).alias("fp"), text.alias("same")).join(again, "fp", "left_semi")
     # Written as it comes from the join, whose hot partitions can then be split; grouping
     # after the re-read combines the copies of each split before the shuffle.
     routed = materialize(routed, "routed")
     groups = routed.groupBy("fp", "same").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select(
+    return groups.select(
         F.col("fp").alias("_fp"), F.sha2("same", 256).alias("text_sha256"), "keep_id", "group_size"
     )
-    found = signed.join(materialize(groups, "groups"), ["_fp", "text_sha256"], "left")
+
+
+def exact_groups(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, …) without text, plus keep_id, group_size, kept, text_sha256."""
+    carried = [c for c in docs.columns if c not in ("text", *RESULT)]
+    text = normalise(F.col("text"))
+    # the digest of the same bytes in the JVM: two 64-bit hashes would do, but the result shows it
+    signed = docs.select(*carried, F.xxhash64(text).alias("_fp"), F.sha2(text, 256).alias("text_sha256"))
+    signed = materialize(signed, "signatures")
+    with Scratch(docs.sparkSession) as scratch:
+        groups = verified_groups(docs, signed)
+    groups = materialize(groups, "groups")
+    scratch.drop()
+    found = signed.join(groups, ["_fp", "text_sha256"], "left")
     single = F.col("group_size").isNull()
     return found.select(
         *carried,

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import Scratch, materialize
 
 
 @dataclass(frozen=True)
@@ -67,9 +67,8 @@ def boilerplate(lines: DataFrame, p: Spread = Spread()) -> DataFrame:
     return sure.unionByName(exact.filter(F.col("sites") >= p.sites))
 
 
-def dedup_lines(docs: DataFrame, p: Spread = Spread()) -> DataFrame:
-    """``docs`` with cleaned text, plus lines, removed_lines and removed (their places)."""
-    docs = docs.drop(*RESULT)
+def removed_places(docs: DataFrame, p: Spread) -> DataFrame:
+    """(doc_id, removed): the sorted places of the lines each document loses."""
     lines = materialize(lines_of(docs), "lines")
     spread = materialize(boilerplate(lines, p), "boilerplate").select("a", "b")
     hits = lines.filter(F.col("doc_id").isNotNull()).join(spread, ["a", "b"])
@@ -80,12 +79,21 @@ def dedup_lines(docs: DataFrame, p: Spread = Spread()) -> DataFrame:
     kept = (
         marked.filter(F.col("doc_id") == F.col("keeper")).groupBy("a", "b").agg(F.min("n").alias("first_n"))
     )
-    gone = (
+    return (
         marked.join(kept, ["a", "b"])
         .filter((F.col("doc_id") != F.col("keeper")) | (F.col("n") != F.col("first_n")))
         .groupBy("doc_id")
         .agg(F.array_sort(F.collect_set("n")).alias("removed"))
     )
+
+
+def dedup_lines(docs: DataFrame, p: Spread = Spread()) -> DataFrame:
+    """``docs`` with cleaned text, plus lines, removed_lines and removed (their places)."""
+    docs = docs.drop(*RESULT)
+    with Scratch(docs.sparkSession) as scratch:
+        gone = removed_places(docs, p)
+    gone = materialize(gone, "removed")
+    scratch.drop()
     # The text travels as its lines, which the cut below then reads in one pass.
     parted = docs.select(
         *[F.split("text", "\n", -1).alias("_parts") if c == "text" else F.col(c) for c in docs.columns]

@@ -20,9 +20,15 @@ Sets that share a key form a bucket. No bucket is expanded into all pairs: each
 first compared with the hub of its buckets, the member that shares most keys with others,
 and linked sets become one component. Only buckets that still hold several components are
 looked at again, against a new hub, until the pairs across components that remain are
-fewer than ``few`` times the rows of the buckets; these are then compared exactly. Every
+fewer than ``few`` times the sets in buckets, so that the work stays in proportion to the
+input; these are then compared tile by tile of at most ``tile`` x ``tile`` sets. Every
 candidate pair is thus compared, or its two sets are already known to be connected.
 
+A pair is compared in two steps. Each set has a bitmap of 2 to 4 bits per shingle, in which a
+shingle flips one bit; two bitmaps differ in no more bits than the sets in shingles, so a pair
+whose bitmaps differ in more than the threshold allows cannot link. Only the others bring
+their whole sets together for the exact count.
+
 Defined results: null text, and text without words, is the empty set, linked with nothing;
 with fewer words than a shingle the whole sequence is one shingle; rows that share an id
 are one node with the union of their links; rows with a null id get their own n_shingles
@@ -42,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import star_components
-from ..session import materialize
+from ..session import Scratch, materialize
 from .spans import LOWER, NOT_SPACE, SpanHasher, mix64, text_slices, word_spans
 
 
@@ -54,7 +60,9 @@ class Similarity:
     step: float = 1.5
     #: Cost of a pair met in an inverted list, in units of a key written and read.
     pair_cost: float = 4.0
-    few: int = 2
+    #: Pairs per set that may be compared in tiles, at some 50 ns each.
+    few: int = 4_096
+    tile: int = 1_024
     #: Smaller sets are light whatever the cost.
     heavy_least: int = 1_024
 
@@ -203,22 +211,64 @@ def similar_sizes(a: Column, b: Column, sim: Similarity) -> Column:
     return 100 * F.least(a, b) >= sim.percent * F.greatest(a, b)
 
 
-def linked_pairs(pairs: DataFrame, grams: DataFrame, sim: Similarity) -> DataFrame:
+def parity_bits(grams: np.ndarray) -> bytes:
+    """A bit per residue of the shingles: whether an odd number of them have it."""
+    size = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    flips = np.bincount((grams >> np.uint64(7)).astype(np.int64) & (size - 1), minlength=size)
+    return np.packbits((flips & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bitmaps: list[bytes]) -> np.ndarray:
+    """The bitmaps as rows of 64-bit words; longer ones are folded to the shortest."""
+    size = min(map(len, bitmaps))
+    return np.stack(
+        [np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, size // 8), axis=0) for x in bitmaps]
+    )
+
+
+def parity_distance(a: bytes, b: bytes) -> int:
+    """At most the size of the symmetric difference of the two sets."""
+    x, y = folded([a, b])
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def pairs_with(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """``pairs`` (id, other) with the column of both sets as x and y, and their sizes n, m."""
+    left = sets.select("id", F.col(column).alias("x"), "n")
+    right = sets.select(F.col("id").alias("other"), F.col(column).alias("y"), F.col("n").alias("m"))
+    return pairs.select("id", "other").join(left, "id").join(right, "other")
+
+
+def linked_pairs(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
+    """The pairs (id, other) that link, by bitmaps and then by whole sets; ``sets`` has
+    id, n, bits, grams."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(batch.column("n")) + np.asarray(batch.column("m"))
+            most = sizes * (100 - sim.percent) // (100 + sim.percent)
+            bits = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+            keep = np.fromiter((parity_distance(x, y) for x, y in bits), np.int64, batch.num_rows) <= most
+            yield batch.select(["id", "other"]).filter(pa.array(keep))
+
+    schema = "id long, other long"
+    likely = materialize(pairs_with(pairs, sets, "bits").mapInArrow(near, schema), "likely")
+    return exact_pairs(likely, sets, sim)
+
+
+def exact_pairs(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
     """The pairs (id, other) that link, by their whole sets."""
-    left = grams.select("id", F.col("grams").alias("left_grams"))
-    right = grams.select(F.col("id").alias("other"), F.col("grams").alias("right_grams"))
-    both = pairs.select("id", "other").join(left, "id").join(right, "other")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(batch.column("left_grams"), batch.column("right_grams"), strict=True)):
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 overlap = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = sim.links(overlap, len(x) + len(y) - overlap)
             yield batch.select(["id", "other"]).filter(pa.array(keep))
 
-    return both.mapInArrow(compare, "id long, other long")
+    return pairs_with(pairs, sets, "grams").mapInArrow(equal, "id long, other long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -232,7 +282,7 @@ def connect(buckets: DataFrame, grams: DataFrame, sim: Similarity) -> DataFrame:
     spark = buckets.sparkSession
     popularity = materialize(buckets.groupBy("id").agg(F.sum("c").alias("weight")), "popularity")
     current = materialize(buckets.join(popularity, "id"), "buckets").withColumn("component", F.col("id"))
-    edges = spark.createDataFrame([], "id long, other long")
+    edges, sets = spark.createDataFrame([], "id long, other long"), popularity.count()
     for turn in count():
         if current.isEmpty():
             return edges
@@ -240,7 +290,7 @@ def connect(buckets: DataFrame, grams: DataFrame, sim: Similarity) -> DataFrame:
             inner = current.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
             sizes = inner.groupBy("key").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
             total = sizes.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
-            if total[1] <= sim.few * total[0]:
+            if total[1] is None or total[1] <= sim.few * sets:
                 break
         # The hub of a bucket: the set of most shared keys not yet a hub; ties to the smaller id.
         hubs = current.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), "n", "component")).alias("h"))
@@ -261,17 +311,75 @@ def connect(buckets: DataFrame, grams: DataFrame, sim: Similarity) -> DataFrame:
         mixed = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
         mixed = mixed.filter(F.col("x") != F.col("y")).select("key")
         current = materialize(rest.join(mixed, "key", "left_semi"), "buckets")
-    left = current.select("key", "id", "n", "component")
-    right = left.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("component").alias("d"))
-    across = left.join(right, "key").filter(
-        (F.col("component") < F.col("d")) & similar_sizes(F.col("n"), F.col("m"), sim)
-    )
-    pairs = materialize(across.select("id", "other").distinct(), "pairs")
-    return edges.unionByName(linked_pairs(pairs, grams, sim))
+    pairs = materialize(pairs_in_tiles(current, grams, sim).distinct(), "pairs")
+    return edges.unionByName(exact_pairs(pairs, grams, sim))
+
+
+def pairs_in_tiles(buckets: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
+    """The pairs (id, other) of one bucket and two components that sizes and bitmaps allow.
+
+    A bucket above ``tile`` rows is dealt into blocks, and each pair of blocks is a tile."""
+    blocks = F.ceil(F.col("c") / sim.tile).cast("int")
+    rows = buckets.select("key", "id", "n", "component", "c").join(sets.select("id", "bits"), "id")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    rows = rows.withColumn("facing", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tile = [F.least("block", "facing").alias("low"), F.greatest("block", "facing").alias("high")]
+    rows = rows.select("key", *tile, "block", "id", "n", "component", "bits")
+    rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            tiles = np.stack([np.asarray(table.column(c)).astype(np.int64) for c in ("key", "low", "high")])
+            first = np.flatnonzero(np.r_[True, (tiles[:, 1:] != tiles[:, :-1]).any(axis=0)])
+            yield from compared(table, first)  # all but the last tile, which may go on
+            held = table.slice(int(first[-1]))
+        if held is not None and held.num_rows:
+            yield from compared(held, np.array([0, held.num_rows]))
+
+    def compared(table: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        low, block, ids, sizes, parts = (
+            np.asarray(table.column(c)) for c in ("low", "block", "id", "n", "component")
+        )
+        bits, found = table.column("bits"), []
+        for start, end in zip(first[:-1], first[1:], strict=True):
+            at = np.arange(start, end)
+            if len(np.unique(parts[at])) < 2:
+                continue
+            maps = folded([bits[int(i)].as_py() for i in at])
+            same = block[at] == low[at]
+            one, two = np.flatnonzero(same), np.flatnonzero(~same)
+            for k, i in enumerate(one):
+                j = two if len(two) else one[k + 1 :]
+                n, m = sizes[at[i]], sizes[at[j]]
+                ok = (parts[at[i]] != parts[at[j]]) & (100 * np.minimum(n, m) >= sim.percent * np.maximum(n, m))
+                j, m = j[ok], m[ok]
+                if len(j):
+                    apart = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64)
+                    j = j[apart <= (n + m) * (100 - sim.percent) // (100 + sim.percent)]
+                    found.append(np.stack([np.full(len(j), ids[at[i]]), ids[at[j]]]))
+        if found:
+            left, right = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["id", "other"]
+            )
+
+    return rows.mapInArrow(compare, "id long, other long")
 
 
 def ngram_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links) of every row."""
+    """doc_id, n_shingles, component_id (smallest id reachable by links) of every row.
+
+    Runs jobs; the result is a scratch table, those before it are deleted."""
+    with Scratch(docs.sparkSession) as scratch:
+        rows = components_of(docs, sim)
+    rows = materialize(rows, "ngram_components")
+    scratch.drop()
+    return rows
+
+
+def components_of(docs: DataFrame, sim: Similarity) -> DataFrame:
     sets = materialize(sketch_sets(docs, sim), "sets")
     some = sets.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     # Nodes are distinct sets, named by the smallest id that holds them.
@@ -286,10 +394,13 @@ def ngram_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataFra
         shingle = Shingler(sim.words)
         for batch in batches:
             digests = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)
-            grams = [g.tobytes() if set_digest(g) == d else None for g, d in zip(shingle(batch.column("text")), digests, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(grams, pa.binary())], ["id", "grams"])
+            found = [g if set_digest(g) == d else None for g, d in zip(shingle(batch.column("text")), digests, strict=True)]
+            sizes = pa.array([0 if g is None else len(g) for g in found], pa.int64())
+            bits = pa.array([None if g is None else parity_bits(g) for g in found], pa.binary())
+            grams = pa.array([None if g is None else g.tobytes() for g in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), sizes, bits, grams], ["id", "n", "bits", "grams"])
 
-    grams = texts.mapInArrow(listed, "id long, grams binary").filter(F.col("grams").isNotNull())
+    grams = texts.mapInArrow(listed, "id long, n long, bits binary, grams binary").filter(F.col("n") > 0)
     links = connect(buckets, materialize(grams, "grams"), sim).unionByName(same_ids(some, nodes))
     label = materialize(components(materialize(links, "links")), "components")
     return result_rows(sets, nodes, label)
