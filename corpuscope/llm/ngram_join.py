@@ -27,7 +27,7 @@ candidate pair is thus compared, or its two sets are already known to be connect
 A pair is compared in two steps. Each set has a bitmap of 2 to 4 bits per shingle, in which a
 shingle flips one bit; two bitmaps differ in no more bits than the sets in shingles, so a pair
 whose bitmaps differ in more than the threshold allows cannot link. Only the others bring
-their whole sets together for the exact count.
+their whole texts together for the exact count.
 
 Defined results: null text, and text without words, is the empty set, linked with nothing;
 with fewer words than a shingle the whole sequence is one shingle; rows that share an id
@@ -241,7 +241,7 @@ def pairs_with(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
 
 def linked_pairs(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
     """The pairs (id, other) that link, by bitmaps and then by whole sets; ``sets`` has
-    id, n, bits, grams."""
+    id, n, bits, text."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,18 +257,19 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFram
 
 
 def exact_pairs(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
-    """The pairs (id, other) that link, by their whole sets."""
+    """The pairs (id, other) that link, by their whole sets, made anew from the texts: a
+    text in a shuffle takes about a third of the bytes of its shingle hashes."""
 
     def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(sim.words)
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for i, (x, y) in enumerate(zip(shingle(batch.column("x")), shingle(batch.column("y")), strict=True)):
                 overlap = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = sim.links(overlap, len(x) + len(y) - overlap)
             yield batch.select(["id", "other"]).filter(pa.array(keep))
 
-    return pairs_with(pairs, sets, "grams").mapInArrow(equal, "id long, other long")
+    return pairs_with(pairs, sets, "text").mapInArrow(equal, "id long, other long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -277,7 +278,7 @@ def components(edges: DataFrame) -> DataFrame:
     return star_components(ordered.filter("lo < hi")).select(F.col("hi").alias("id"), F.col("lo").alias("component"))
 
 
-def connect(buckets: DataFrame, grams: DataFrame, sim: Similarity) -> DataFrame:
+def connect(buckets: DataFrame, held: DataFrame, sim: Similarity) -> DataFrame:
     """Edges (id, other) that connect all sets linked in the buckets (key, id, n, c)."""
     spark = buckets.sparkSession
     popularity = materialize(buckets.groupBy("id").agg(F.sum("c").alias("weight")), "popularity")
@@ -302,7 +303,7 @@ def connect(buckets: DataFrame, grams: DataFrame, sim: Similarity) -> DataFrame:
         if not turn:  # first, every set meets only the hub it shares most keys with
             best = pairs.groupBy("id").agg(F.max(F.struct("shared", (-F.col("other")).alias("minus"))).alias("b"))
             pairs = best.select("id", (-F.col("b.minus")).alias("other"))
-        edges = materialize(edges.unionByName(linked_pairs(pairs, grams, sim)), "edges")
+        edges = materialize(edges.unionByName(linked_pairs(pairs, held, sim)), "edges")
         label = components(edges)
         # Later rounds have compared every member with the hub of its bucket, which leaves it.
         rest = current.join(hubs, "key").filter(F.col("id") != F.col("other")) if turn else current
@@ -311,8 +312,8 @@ def connect(buckets: DataFrame, grams: DataFrame, sim: Similarity) -> DataFrame:
         mixed = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
         mixed = mixed.filter(F.col("x") != F.col("y")).select("key")
         current = materialize(rest.join(mixed, "key", "left_semi"), "buckets")
-    pairs = materialize(pairs_in_tiles(current, grams, sim).distinct(), "pairs")
-    return edges.unionByName(exact_pairs(pairs, grams, sim))
+    pairs = materialize(pairs_in_tiles(current, held, sim).distinct(), "pairs")
+    return edges.unionByName(exact_pairs(pairs, held, sim))
 
 
 def pairs_in_tiles(buckets: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
@@ -397,11 +398,12 @@ def components_of(docs: DataFrame, sim: Similarity) -> DataFrame:
             found = [g if set_digest(g) == d else None for g, d in zip(shingle(batch.column("text")), digests, strict=True)]
             sizes = pa.array([0 if g is None else len(g) for g in found], pa.int64())
             bits = pa.array([None if g is None else parity_bits(g) for g in found], pa.binary())
-            grams = pa.array([None if g is None else g.tobytes() for g in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), sizes, bits, grams], ["id", "n", "bits", "grams"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), sizes, bits, batch.column("text")], ["id", "n", "bits", "text"]
+            )
 
-    grams = texts.mapInArrow(listed, "id long, n long, bits binary, grams binary").filter(F.col("n") > 0)
-    links = connect(buckets, materialize(grams, "grams"), sim).unionByName(same_ids(some, nodes))
+    held = texts.mapInArrow(listed, "id long, n long, bits binary, text string").filter(F.col("n") > 0)
+    links = connect(buckets, materialize(held, "texts"), sim).unionByName(same_ids(some, nodes))
     label = materialize(components(materialize(links, "links")), "components")
     return result_rows(sets, nodes, label)
 
