@@ -1,16 +1,19 @@
 """URL filters: given site rules, then association rules mined from labelled URLs.
 
 A URL is a set of tokens: its host suffixes, path parts with digits folded, the words of
-its query and fragment. Spark's FP-growth mines the tokens of labelled URLs together with
-their label; rules whose consequent is a label and that reach the support and confidence
-are pruned to those that no shorter rule with at least their confidence covers. They match
+its query and fragment. Association rules from token sets to a label are mined level by
+level, sets of one token first. A rule needs ``least_pages`` labelled pages that bear it out,
+a count that does not rise with the table, and the confidence; rules are pruned to those
+that no shorter rule with at least their confidence covers. That leaves sets unextended
+whose pages all bear one label or are the pages of a smaller set, so tokens that always occur
+together (the suffixes of a host) do not multiply. Rules match
 through an inverted index: (token, rule, length of the rule); a rule fires when all its
 tokens are found. The firing rule with the highest confidence, then support, then fewest
 tokens gives the verdict, ``allow`` if none fires.
 
 Everything is column expressions, joins and aggregates. URLs with the same token set are
-decided once. The index is broadcast: frequent tokens number at most tokens per URL /
-``support``, and it is refused above ``index_rows``, where a shuffled join takes over.
+counted and decided once. The index is broadcast up to ``index_rows``; above, a shuffled
+join takes over.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, no rule and
 is decided by its tokens (none: allow). Rows repeat in the output as in the input; labels
@@ -21,7 +24,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,16 +33,14 @@ from .exact_dedup import LOWER, UPPER
 
 @dataclass(frozen=True)
 class Mining:
-    support: float = 0.02
+    #: Least share of all labelled pages, beside the count; a share above 0 hides small sites of a large table.
+    support: float = 0.0
     #: Fewer pages are no evidence, and would make every URL of a small table a rule.
     least_pages: int = 25
     confidence: float = 0.8
     index_rows: int = 100_000
 
 
-#: Marks of the consequents; no URL token holds a blank.
-BLOCK, ALLOW = "label block", "label allow"
-
 
 def host_of(url: Column) -> Column:
     rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
@@ -92,28 +92,60 @@ def site_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple
     return rule, verdict
 
 
+def frequent_sets(held: DataFrame, least: float) -> DataFrame:
+    """(first, last, n, bad) of the token sets in ``held`` with ``least`` pages of one label;
+    a set is its tokens in order, ``first`` without ``last``."""
+    sets = held.groupBy("first", "last").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    return sets.filter(F.greatest("bad", F.col("n") - F.col("bad")) >= least)
+
+
+def extendable(sets: DataFrame, smaller: DataFrame | None) -> DataFrame:
+    """The sets whose extensions can be rules that no shorter one covers: pages of both
+    labels, and fewer of them than every set with one token less, each itself extendable."""
+    sets = sets.filter((F.col("bad") > 0) & (F.col("bad") < F.col("n")))
+    if smaller is None:
+        return sets
+    tokens = F.array_append("first", F.col("last"))
+    parts = sets.select("first", "last", "n", F.explode(tokens).alias("out"))
+    parts = parts.withColumn("tokens", F.array_except(tokens, F.array("out")))
+    known = smaller.select(F.array_append("first", F.col("last")).alias("tokens"), F.col("n").alias("m"))
+    good = parts.join(known, "tokens").filter(F.col("n") < F.col("m")).groupBy("first", "last")
+    good = good.agg(F.count(F.lit(1)).alias("parts")).filter(F.col("parts") == F.size("first") + 1)
+    return sets.join(good, ["first", "last"], "left_semi")
+
+
 def mine(labelled: DataFrame, p: Mining = Mining()) -> DataFrame:
     """(tokens, verdict, confidence, support) of the kept rules; ``labelled`` has tokens, blocked."""
-    spark = labelled.sparkSession
-    mark = F.when(F.col("blocked"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))
-    baskets = labelled.filter(F.col("blocked").isNotNull() & F.col("tokens").isNotNull())
-    baskets = materialize(baskets.select(F.array_append("tokens", mark).alias("items")), "baskets")
-    empty = spark.createDataFrame([], "tokens array<string>, verdict string, confidence double, support double")
-    pages = baskets.count()
-    if pages < p.least_pages:
-        return empty
-    support = max(p.support, p.least_pages / pages)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=p.confidence).fit(baskets)
-    rules = model.associationRules
-    goal = F.element_at("consequent", 1)
-    marked = F.exists("antecedent", lambda x: x.isin(BLOCK, ALLOW))
-    rules = rules.filter(goal.isin(BLOCK, ALLOW) & ~marked).select(
-        F.array_sort("antecedent").alias("tokens"),
-        F.when(goal == BLOCK, F.lit("block")).otherwise(F.lit("allow")).alias("verdict"),
-        "confidence",
-        "support",
-    )
-    rules = materialize(rules, "rules")
+    bad = F.sum(F.col("blocked").cast("long")).alias("bad")
+    usable = labelled.filter(F.col("blocked").isNotNull() & F.col("tokens").isNotNull())
+    baskets = usable.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), bad)
+    baskets = materialize(baskets.withColumn("basket", F.monotonically_increasing_id()), "baskets")
+    pages = baskets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    held = baskets.select("basket", "n", "bad", F.explode("tokens").alias("last"), F.array().cast("array<string>").alias("first"))
+    levels = []
+    while True:
+        sets = materialize(frequent_sets(held, max(p.least_pages, p.support * pages)), "token-sets")
+        open_ = materialize(extendable(sets, levels[-1] if levels else None), "open-sets")
+        levels.append(sets)
+        if open_.isEmpty():
+            break
+        held = materialize(held.join(open_.select("first", "last"), ["first", "last"], "left_semi"), "held")
+        # Two sets of a basket that differ in their last token only make one of the next level.
+        more = held.select("basket", "first", F.col("last").alias("next"))
+        held = held.join(more, ["basket", "first"]).filter(F.col("last") < F.col("next"))
+        held = held.select("basket", "n", "bad", F.col("next").alias("last"), F.array_append("first", F.col("last")).alias("first"))
+    rules = None
+    for sets in levels:
+        for verdict, hits in (("block", F.col("bad")), ("allow", F.col("n") - F.col("bad"))):
+            found = sets.select(
+                F.array_append("first", F.col("last")).alias("tokens"),
+                F.lit(verdict).alias("verdict"),
+                (hits / F.col("n")).alias("confidence"),
+                (hits / F.lit(max(pages, 1))).alias("support"),
+                hits.alias("hits"),
+            ).filter((F.col("hits") >= max(p.least_pages, p.support * pages)) & (F.col("confidence") >= p.confidence))
+            rules = found if rules is None else rules.unionByName(found)
+    rules = materialize(rules.drop("hits"), "rules")
     # A rule goes if one with fewer of its tokens, the same verdict and no less confidence stays.
     parts = rules.select(
         "tokens", "verdict", "confidence", F.explode("tokens").alias("token"), F.size("tokens").alias("n")

@@ -170,6 +170,25 @@ def test_mined_rules_equal_brute_force(spark):
         assert verdicts[i] == (max(firing)[-1] if firing else "allow"), url
 
 
+def test_small_share_of_a_large_table_becomes_a_rule(spark):
+    """Production parameters: 40 of 4,000 labelled pages are one bad host, 24 another one."""
+    urls = [(i, f"http://host{i % 7}.net/en/{i}") for i in range(3_936)]
+    urls += [(10_000 + i, f"http://all.bad.win/en/{i}") for i in range(41)]
+    urls += [(20_000 + i, f"http://few.org/en/{i}") for i in range(25)]
+    labels = [(i, int(i % 10 > 0), 0) for i in range(3_936)]
+    labels += [(10_000 + i, 0, 0) for i in range(40)] + [(20_000 + i, 0, 0) for i in range(24)]
+    verdicts = {(host, v) for _, host, _, _, v in judged(spark, urls, labels)}
+    assert verdicts == {*((f"host{i}.net", "allow") for i in range(7)), ("all.bad.win", "block"), ("few.org", "allow")}
+
+
+def test_tokens_that_occur_together_do_not_multiply(spark):
+    """Thirty tokens on every page of a site of mixed labels: no set of two is extended."""
+    tokens = sorted(f"path:p{i:02}" for i in range(30))
+    rows = [(tokens, i % 8 == 0) for i in range(400)]
+    rules = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"))
+    assert sorted((r.tokens, r.verdict) for r in rules.collect()) == [([t], "allow") for t in tokens]
+
+
 # --- packing
 
 
