@@ -2,7 +2,7 @@
 
 toxicity and quality drop the documents their classifiers reject, the line stage removes
 repeated lines (and documents of which nothing remains), the n-gram join keeps one document
-of each group of near copies, packing puts what is left into bins. Every stage's result is
+of each group of near copies and then removes passages that the kept ones share, packing puts what is left into bins. Every stage's result is
 written as parquet below ``spark.checkpoint.dir`` and read again as the next one's input, so
 a lost executor costs at most one stage."""
 
@@ -19,6 +19,10 @@ from corpuscope.sources.tables import read_table
 #: Near copies in the pipeline: five words, similarity 0.8 or more.
 NEAR = ngram_join.Similarity(words=5, percent=80)
 
+#: Passages of 50 words or more are repeated from two sources on. They are looked for after
+#: the near copies have gone: before, copies would lose them and stay as unlike remainders.
+PASSAGES = line_dedup.Spread(sites=2, least_words=50)
+
 #: No table expresses the trained classifiers and the packing in SQL.
 ORACLE_SQL = None
 
@@ -37,10 +41,9 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, model).filter(F.col("score") >= GOOD_FROM).select(*docs.columns)
 
 
-def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; one that had text and lost all of it goes."""
-    pin_session(spark)
-    cleaned = line_dedup.dedup_lines(docs)
+def without_repeats(docs: DataFrame, p: line_dedup.Spread) -> DataFrame:
+    """``docs`` without repeated lines; one that had text and lost all of it goes."""
+    cleaned = line_dedup.dedup_lines(docs, p)
     emptied = (F.col("removed_lines") > 0) & (F.trim("text", F.lit(line_dedup.BLANKS + "\n")) == "")
     kept = cleaned.filter(~emptied)
     if "n_chars" in docs.columns:
@@ -49,12 +52,19 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns)
 
 
+def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated lines; one that had text and lost all of it goes."""
+    pin_session(spark)
+    return without_repeats(docs, line_dedup.Spread())
+
+
 def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies, the one with the smallest id, and of these
+    each shared passage once."""
     pin_session(spark)
     found = ngram_join.ngram_components(docs.select("doc_id", "text"), NEAR)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without_repeats(docs.join(gone, "doc_id", "left_anti").select(*docs.columns), PASSAGES)
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ aggregation, so a hot line is one row per partition. Lines whose estimate is far
 below ``Spread.sites`` are decided by it; for those near the threshold, within the factor
 ``Spread.margin``, the distinct sites are counted exactly. Lines that reach the threshold
 are boilerplate: each stays in the document with the smallest id that holds it, at its
-first place there, and is removed everywhere else.
+first place there, and is removed everywhere else. With ``Spread.least_words`` shorter lines are
+neither counted nor removed. A line that repeats within one site has spread 1 and stays.
 
 Lines are the parts between line feeds, compared without blanks around them. Only their
 hashes are shuffled (two independent 64-bit hashes, so that texts sharing a billion lines
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch, materialize
+from .packing import word_count
 
 
 @dataclass(frozen=True)
@@ -33,25 +35,35 @@ class Spread:
     margin: float = 2.0
     #: 2^10 registers at most: a standard error of 3 %; up to some dozen sites a sketch is a list.
     log2_registers: int = 10
+    least_words: int = 1
 
 
 BLANKS = " \t\r\x0b\x0c"
 RESULT = ("lines", "removed_lines", "removed")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, n, a, b): the place and hashes of every line that is not blank."""
+def lines_of(docs: DataFrame, p: Spread = Spread()) -> DataFrame:
+    """(doc_id, source, n, a, b): the place and hashes of every line that is not blank and
+    has ``p.least_words`` words."""
     rows = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
     rows = rows.withColumn("line", F.trim("line", F.lit(BLANKS))).filter(F.col("line") != "")
+    if p.least_words > 1:
+        # Words are counted only in lines with enough bytes for them and the blanks between.
+        roomy = F.octet_length("line") >= 2 * p.least_words - 1
+        rows = rows.filter(F.when(roomy, word_count(F.col("line")) >= p.least_words).otherwise(False))
     hashes = F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b")
     return rows.select("doc_id", "source", "n", *hashes)
 
 
 def boilerplate(lines: DataFrame, p: Spread = Spread()) -> DataFrame:
     """(a, b, sites) of the lines that occur on at least ``p.sites`` distinct sites."""
-    sketches = lines.filter(F.col("source").isNotNull()).groupBy("a", "b").agg(
-        F.hll_sketch_agg("source", p.log2_registers).alias("sketch")
-    )
+    sketch = F.hll_sketch_agg("source", p.log2_registers).alias("sketch")
+    known = lines.filter(F.col("source").isNotNull()).groupBy("a", "b")
+    if 1 < p.sites <= p.margin:
+        # Every line is near so low a threshold; nearly all have one site, which both ends tell.
+        sketches = known.agg(sketch, F.min("source").alias("low"), F.max("source").alias("high")).filter("low < high")
+    else:
+        sketches = known.agg(sketch)
     spread = sketches.select("a", "b", F.hll_sketch_estimate("sketch").alias("sites"))
     likely = materialize(spread.filter(F.col("sites") >= p.sites / p.margin), "spread")
     sure = likely.filter(F.col("sites") >= p.sites * p.margin)
@@ -69,7 +81,7 @@ def boilerplate(lines: DataFrame, p: Spread = Spread()) -> DataFrame:
 
 def removed_places(docs: DataFrame, p: Spread) -> DataFrame:
     """(doc_id, removed): the sorted places of the lines each document loses."""
-    lines = materialize(lines_of(docs), "lines")
+    lines = materialize(lines_of(docs, p), "lines")
     spread = materialize(boilerplate(lines, p), "boilerplate").select("a", "b")
     hits = lines.filter(F.col("doc_id").isNotNull()).join(spread, ["a", "b"])
     hits = materialize(hits.select("a", "b", "doc_id", "n"), "hits")

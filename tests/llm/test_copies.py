@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpuscope.llm import exact_dedup, line_dedup, ngram_join
 from corpuscope.llm.exact_dedup import CountingQuotientFilter
 
@@ -193,6 +194,26 @@ def test_line_spread(spark):
     assert counts[100] == (0, 0) and counts[101] == (1, 0) and counts[102] == (3, 0)
 
 
+def test_lines_of_few_words_can_be_left_alone(spark):
+    long, once, short = prose(21, 50), prose(22, 60), prose(23, 49)
+    rows = [(1, f"{long}\nown 1\n{short}", "s1"), (2, f"own 2\n  {long}\n{short}", "s2"), (3, f"{once}\n{long}", None)]
+    rows += [(4, f"{once}\nown 4", "s3"), (5, f"own 5\n{once}", "s3"), (6, f"{short}\n{long}", "s2")]
+    want = {1: rows[0][1], 2: f"own 2\n{short}", 3: once, 4: rows[3][1], 5: rows[4][1], 6: short}
+    for margin in (2.0, 1.0001):
+        got = line_dedup.dedup_lines(table(spark, rows), line_dedup.Spread(sites=2, margin=margin, least_words=50))
+        assert {r.doc_id: r.text for r in got.collect()} == want
+    assert line_dedup.dedup_lines(table(spark, rows)).filter("removed_lines > 0").count() == 0
+
+
+def test_pipeline_keeps_a_passage_of_two_sources_once(spark):
+    passage = prose(24, 55)
+    rows = [(i, f"{prose(30 + i, 120)}\n{passage}", f"s{i % 2}") for i in range(4)]
+    rows += [(9, f"{rows[0][1]} end", "s1")]  # a near copy goes as a whole
+    docs = corpus_pipeline.stage_lines(spark, table(spark, rows), "")
+    got = {r.doc_id: r.text for r in corpus_pipeline.stage_near_copies(spark, docs, "").collect()}
+    assert got == {0: rows[0][1], **{i: prose(30 + i, 120) for i in (1, 2, 3)}}
+
+
 def test_empty_tables(spark):
     empty = table(spark, [])
     assert exact_dedup.exact_groups(empty).count() == 0
