@@ -58,13 +58,31 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_repeats(docs, line_dedup.Spread())
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the row with the smallest id,
+    null last; ties go to the smaller hash of the text.
+
+    Rows are told apart by their id, or by a number if ids repeat or are null. Rows without
+    words are no copies and stay."""
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    if ids.filter((F.col("rows") > 1) | F.col("doc_id").isNull()).isEmpty():
+        found = ngram_join.ngram_components(docs.select("doc_id", "text"), NEAR)
+        gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = ngram_join.ngram_components(rows.select(F.col("_row").alias("doc_id"), "text"), NEAR)
+    found = found.select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
+    kept = found.join(rows.select("_row", order.alias("order")), "_row").groupBy("component_id")
+    kept = kept.agg(F.min("order")["_row"].alias("_row"))
+    return rows.join(kept.select("_row"), "_row", "left_semi").select(*docs.columns)
+
+
 def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id, and of these
+    """One row of each group of near copies, the one with the smallest id, and of these
     each shared passage once."""
     pin_session(spark)
-    found = ngram_join.ngram_components(docs.select("doc_id", "text"), NEAR)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return without_repeats(docs.join(gone, "doc_id", "left_anti").select(*docs.columns), PASSAGES)
+    return without_repeats(one_of_each(docs), PASSAGES)
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -214,6 +214,16 @@ def test_pipeline_keeps_a_passage_of_two_sources_once(spark):
     assert got == {0: rows[0][1], **{i: prose(30 + i, 120) for i in (1, 2, 3)}}
 
 
+def test_pipeline_keeps_one_row_of_repeated_and_null_ids(spark):
+    a, b, c, d = (prose(40 + i, 100) for i in range(4))
+    rows = [(5, a), (5, a), (5, b), (7, f"{b} end"), (None, c), (None, f"{c} end"), (None, a), (None, d), (8, d)]
+    rows += [(9, ""), (9, ""), (None, None)]
+    got = corpus_pipeline.stage_near_copies(spark, table(spark, rows), "").collect()
+    near = {c: "c", f"{c} end": "c", a: "a", b: "b", d: "d"}
+    want = [(5, "a"), (5, "b"), (None, "c"), (8, "d"), (9, ""), (9, ""), (None, None)]
+    assert sorted(((r.doc_id, near.get(r.text, r.text)) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_empty_tables(spark):
     empty = table(spark, [])
     assert exact_dedup.exact_groups(empty).count() == 0
