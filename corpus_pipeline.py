@@ -8,6 +8,9 @@ a lost executor costs at most one stage."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +26,30 @@ NEAR = ngram_join.Similarity(words=5, percent=80)
 #: the near copies have gone: before, copies would lose them and stay as unlike remainders.
 PASSAGES = line_dedup.Spread(sites=2, least_words=50)
 
+#: The columns of documents that the stages read.
+READ = ("doc_id", "text", "source", "n_chars")
+
 #: No table expresses the trained classifiers and the packing in SQL.
 ORACLE_SQL = None
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def own_columns(stage: Stage) -> Stage:
+    """``stage`` with every column it does not read under a name that no operator uses, so
+    that extra columns named like an operator's come back as they were given."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        given = docs.columns
+        apart = [c if c in READ else f"_given_{i}" for i, c in enumerate(given)]
+        return stage(spark, docs.toDF(*apart), sf_dir).toDF(*given)
+
+    return run_stage
+
+
+@own_columns
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below the threshold."""
     pin_session(spark)
@@ -34,6 +57,7 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.score(docs, model).filter(F.col("score") < TOXIC_FROM).select(*docs.columns)
 
 
+@own_columns
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score at or above the threshold."""
     pin_session(spark)
@@ -52,6 +76,7 @@ def without_repeats(docs: DataFrame, p: line_dedup.Spread) -> DataFrame:
     return kept.select(*docs.columns)
 
 
+@own_columns
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; one that had text and lost all of it goes."""
     pin_session(spark)
@@ -78,6 +103,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return rows.join(kept.select("_row"), "_row", "left_semi").select(*docs.columns)
 
 
+@own_columns
 def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, the one with the smallest id, and of these
     each shared passage once."""

@@ -5,6 +5,7 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks import compare
@@ -56,6 +57,17 @@ def test_stages_take_empty_tables_and_nulls(spark):
         assert stage(spark, odd, FOLDER).count() == 3
 
 
+def test_stages_give_extra_columns_back(spark):
+    docs = read_table(spark, FOLDER, "documents").limit(60)
+    extra = ["score", "label", "lines", "removed_lines", "removed", "_parts", "_bounds", "_row", "Score_2"]
+    docs = materialize(docs.select("*", *[F.concat(F.lit(c), "doc_id").alias(c) for c in extra]), "extra")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, FOLDER)
+        assert got.columns == docs.columns
+        for r in got.collect():
+            assert [r[c] for c in extra] == [f"{c}{r.doc_id}" for c in extra], name
+
+
 def test_entry_works_without_this_folder():
     code = (
         "import sys\n"
