@@ -316,16 +316,34 @@ def connect(buckets: DataFrame, held: DataFrame, sim: Similarity) -> DataFrame:
     return edges.unionByName(exact_pairs(pairs, held, sim))
 
 
+def tiled_rows(buckets: DataFrame, sim: Similarity) -> DataFrame:
+    """key, id, n, component, block, low, high: the rows of every tile (low, high).
+
+    The largest component of a bucket above ``tile`` rows has blocks of its own, after the
+    others', which face the blocks of the others only: rows are made in proportion to
+    the pairs across components."""
+    parts = buckets.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
+    parts = parts.groupBy("key").agg(F.sum("k").alias("all"), F.max(F.struct("k", "component")).alias("top"))
+    rows = buckets.select("key", "id", "n", "component").join(parts, "key").filter(F.col("all") > F.col("top.k"))
+    large = F.col("all") > sim.tile
+    main = large & (F.col("component") == F.col("top.component"))
+    others = F.when(large, F.ceil((F.col("all") - F.col("top.k")) / sim.tile)).otherwise(1).cast("int")
+    mains = F.when(large, F.ceil(F.col("top.k") / sim.tile)).otherwise(0).cast("int")
+    rows = rows.select("key", "id", "n", "component", main.alias("main"), others.alias("others"), mains.alias("mains"))
+    number = F.xxhash64("id")
+    block = F.when(F.col("main"), F.col("others") + F.pmod(number, F.col("mains"))).otherwise(F.pmod(number, F.col("others")))
+    last = F.when(F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    rows = rows.withColumn("block", block.cast("int")).withColumn("facing", F.explode(F.sequence(F.lit(0), last)))
+    tile = [F.least("block", "facing").alias("low"), F.greatest("block", "facing").alias("high")]
+    return rows.select("key", "id", "n", "component", "block", *tile)
+
+
 def pairs_in_tiles(buckets: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
     """The pairs (id, other) of one bucket and two components that sizes and bitmaps allow.
 
-    A bucket above ``tile`` rows is dealt into blocks, and each pair of blocks is a tile."""
-    blocks = F.ceil(F.col("c") / sim.tile).cast("int")
-    rows = buckets.select("key", "id", "n", "component", "c").join(sets.select("id", "bits"), "id")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    rows = rows.withColumn("facing", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tile = [F.least("block", "facing").alias("low"), F.greatest("block", "facing").alias("high")]
-    rows = rows.select("key", *tile, "block", "id", "n", "component", "bits")
+    A bucket above ``tile`` rows is dealt into blocks, and pairs of blocks are tiles."""
+    rows = tiled_rows(buckets, sim).join(sets.select("id", "bits"), "id")
+    rows = rows.select("key", "low", "high", "block", "id", "n", "component", "bits")
     rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -149,6 +149,29 @@ def test_heavy_and_light_sides_agree(spark, cost):
     assert sorted(map(tuple, got)) == brute_components(rows, 3, 90)
 
 
+def test_one_component_and_a_stray_make_no_square(spark):
+    """3,000 connected sets and two strays in a bucket, ten sets in a small one."""
+    rows = [(1, i, 50, 3002, 7) for i in range(3_000)] + [(1, 5_000 + i, 50, 3002, 5_000 + i) for i in range(2)]
+    rows += [(2, i, 50, 10, i % 3) for i in range(10)]
+    sim = ngram_join.Similarity(tile=32)
+    got = ngram_join.tiled_rows(spark.createDataFrame(rows, "key long, id long, n int, c long, component long"), sim).collect()
+    tiles = defaultdict(set)
+    for r in got:
+        tiles[r.key, r.low, r.high].add(r.id)
+    assert len(got) < 2 * len(rows)
+    for stray in (5_000, 5_001):
+        assert set().union(*(x for x in tiles.values() if stray in x)) == {*range(3_000), 5_000, 5_001}
+    assert tiles[2, 0, 0] == set(range(10)) and not [t for t in tiles if t[0] == 2 and t != (2, 0, 0)]
+
+
+@pytest.mark.parametrize("tile", [4, 1_024])
+def test_tiles_of_any_size_agree(spark, tile):
+    rows = near_copies(6, groups=6, copies=7)
+    sim = ngram_join.Similarity(tile=tile, few=1 << 40)
+    got = ngram_join.ngram_components(table(spark, rows), sim).collect()
+    assert sorted(map(tuple, got)) == brute_components(rows, 3, 90)
+
+
 def test_sets_of_one_id_are_one_node(spark):
     a, b, c = prose(1, 30), prose(2, 30), prose(3, 30)
     rows = [(1, a), (2, b), (2, c), (3, c + " end"), (4, c + " end"), (None, a), (None, "zz"), (2, b)]
