@@ -77,3 +77,63 @@ SELECT parts.doc_id, coalesce(c.lines, 0) AS lines, coalesce(c.removed_lines, 0)
   CASE WHEN parts.text IS NOT NULL THEN c.text END AS text
 FROM parts LEFT JOIN cleaned c ON parts.doc_id = c.doc_id
 """
+
+DECONTAMINATION = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS MATERIALIZED (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS gram
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+grams AS (SELECT DISTINCT gram, size FROM windows),
+places AS (
+  SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i
+  FROM d, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size),
+found AS MATERIALIZED (
+  SELECT r, i, p.size, gram FROM (SELECT r, i, size, array_to_string(w[i:i + size - 1], ' ') AS gram FROM places) p
+  JOIN grams USING (gram, size)),
+hit AS (SELECT r, count(DISTINCT x) AS n FROM (SELECT r, unnest(range(i, i + size)) AS x FROM found) GROUP BY r),
+held AS (
+  SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS items
+  FROM (SELECT DISTINCT r, gram FROM found) JOIN windows USING (gram) WHERE item_id IS NOT NULL GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON hit.r = d.r LEFT JOIN held ON held.r = d.r
+"""
+
+
+def lloyd(clusters: int, rounds: int) -> str:
+    """Lloyd's rounds as one chain of tables: a for assignments, c for centroids."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (
+  SELECT r, min(near * {clusters} + cluster) AS best FROM (
+    SELECT r, cluster, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS near
+    FROM kept, c{n}) GROUP BY r)""")
+        if n < rounds:
+            steps.append(f"""c{n + 1} AS MATERIALIZED (
+  SELECT cluster, CASE WHEN m.c IS NULL THEN o.c ELSE m.c END AS c FROM c{n} o LEFT JOIN (
+    SELECT cluster, list(((total - (total % n + n) % n) // n)::BIGINT ORDER BY dim) AS c FROM (
+      SELECT best % {clusters} AS cluster, dim, sum(x)::BIGINT AS total, count(*) AS n FROM (
+        SELECT best, unnest(v) AS x, unnest(range(len(v))) AS dim FROM a{n} JOIN kept USING (r)) GROUP BY ALL)
+    GROUP BY cluster) m USING (cluster))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, v, row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) AS r FROM (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+c0 AS MATERIALIZED (SELECT r - 1 AS cluster, v AS c FROM kept WHERE r <= {clusters}),
+{", ".join(steps)},
+rows AS (SELECT vec_id, best % {clusters} AS cluster, best // {clusters} AS distance FROM a{rounds} JOIN kept USING (r))
+SELECT vec_id, cluster::INTEGER AS cluster, distance::BIGINT AS distance,
+  sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM rows JOIN c{rounds} USING (cluster)
+"""

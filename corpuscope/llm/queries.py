@@ -12,11 +12,14 @@ from ..sources.tables import read_table
 from . import (
     block_ann,
     bpe,
+    decontamination,
     exact_dedup,
     line_dedup,
+    lloyd,
     ngram_join,
     oracles,
     packing,
+    period_runs,
     quality,
     sharding,
     toxicity,
@@ -148,3 +151,40 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"),
     )
+
+
+@query("op11_suffix_automaton", oracles.DECONTAMINATION)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.decontaminate(docs, read_table(spark, folder, "benchmark"))
+    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        digest(F.array_join(names, ",")).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op12_period_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    found = period_runs.find_runs(period_runs.planted(docs))
+    found = found.select("doc_id", "runs", "collapsed", period_runs.strongest(F.col("runs")).alias("best"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        digest(period_runs.run_lines(F.col("runs"))).alias("runs_sha256"),
+        digest(F.coalesce("collapsed", F.lit(""))).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_sharded_lloyd", oracles.lloyd(clusters=40, rounds=5))
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return lloyd.cluster_vectors(read_table(spark, folder, "embeddings").select("vec_id", "embedding"))
