@@ -4,11 +4,24 @@ import sys
 
 from pyspark import cloudpickle
 
+from .operators.assemble import Elements, assemble_documents
 from .plans.audit import Audit, analyze, extract_features
 from .plans.reports import build_report
+from .plans.runs import audit_folder, audit_manifest
 from .rulepack import DEFAULT_PACK, RulePack
 
-__all__ = ["Audit", "DEFAULT_PACK", "RulePack", "analyze", "build_report", "extract_features"]
+__all__ = [
+    "Audit",
+    "DEFAULT_PACK",
+    "Elements",
+    "RulePack",
+    "analyze",
+    "assemble_documents",
+    "audit_folder",
+    "audit_manifest",
+    "build_report",
+    "extract_features",
+]
 
 # The few functions that run in Python workers travel by value, so executors need
 # no copy of this package.

@@ -49,20 +49,31 @@ def page_rules(pages: DataFrame) -> DataFrame:
         F.bool_or("encrypted").alias("encrypted"),
         F.sum(content_length(readable)).alias("length"),
     )
-    locked = F.col("encrypted")
-    scanned = F.col("length") < F.greatest(F.lit(20), F.col("page_count") * 10)
-    failed = F.col("failed_pages") > 0
+    status, issue, scale, unit = page_verdict(
+        F.col("encrypted"), F.col("length"), F.col("page_count"), F.col("failed_pages")
+    )
     return facts.select(
         "doc_id",
-        F.when(locked | scanned | failed, rp.SPECIAL).otherwise(rp.DIRECT).alias("parse_status"),
-        F.when(locked, F.lit(0)).otherwise(F.col("length")).alias("content_length"),
-        F.when(locked, F.lit(0)).otherwise(F.col("page_count")).alias("document_scale"),
-        F.when(locked, "").otherwise("页").alias("scale_unit"),
+        status.alias("parse_status"),
+        F.when(F.col("encrypted"), F.lit(0)).otherwise(F.col("length")).alias("content_length"),
+        scale.alias("document_scale"),
+        unit.alias("scale_unit"),
+        issue.alias("parse_issue"),
+    )
+
+
+def page_verdict(locked: Column, length: Column, pages: Column, failed_pages: Column) -> tuple[Column, Column, Column, Column]:
+    """(parse_status, parse_issue, document_scale, scale_unit) of a PDF file."""
+    scanned = length < F.greatest(F.lit(20), pages * 10)
+    failed = failed_pages > 0
+    return (
+        F.when(locked | scanned | failed, rp.SPECIAL).otherwise(rp.DIRECT),
         F.when(locked, rp.ISSUE_ENCRYPTED)
         .when(scanned, rp.ISSUE_SCANNED)
-        .when(failed, F.format_string("有%d页文字读取异常，建议重新导出文件", "failed_pages"))
-        .otherwise("")
-        .alias("parse_issue"),
+        .when(failed, F.format_string("有%d页文字读取异常，建议重新导出文件", failed_pages))
+        .otherwise(""),
+        F.when(locked, F.lit(0)).otherwise(pages),
+        F.when(locked, "").otherwise("页"),
     )
 
 
@@ -88,16 +99,18 @@ def sheet_facts(cells: DataFrame) -> DataFrame:
         F.count_if(filled & (F.col("row_no") == i)).alias(f"r{i}") for i in range(1, HEADER_ROWS + 1)
     ]
     counted = cells.groupBy("doc_id", "sheet").agg(F.count_if("is_formula").alias("formulas"), *counters)
-    rows = F.array(
-        *[F.struct(F.lit(i).alias("row"), F.col(f"r{i}").alias("n")) for i in range(1, HEADER_ROWS + 1)]
-    )
+    flag = preheader(*[F.col(f"r{i}") for i in range(1, HEADER_ROWS + 1)])
+    return counted.select("doc_id", "sheet", "formulas", flag.alias("preheader"))
+
+
+def preheader(*filled: Column) -> Column:
+    """Whether something stands before a sheet's header, from the filled cells of its first
+    rows."""
+    rows = F.array(*[F.struct(F.lit(i).alias("row"), n.alias("n")) for i, n in enumerate(filled, 1)])
     used = F.filter(rows, lambda r: r["n"] > 0)
     first = F.get(used, F.lit(0))
     header_later = F.exists(F.slice(used, 2, 3), lambda r: r["n"] >= 2)
-    preheader = header_later & ((first["row"] > 1) | (first["n"] == 1))
-    return counted.select(
-        "doc_id", "sheet", "formulas", F.coalesce(preheader, F.lit(False)).alias("preheader")
-    )
+    return F.coalesce(header_later & ((first["row"] > 1) | (first["n"] == 1)), F.lit(False))
 
 
 def preheader_sheets(cells: DataFrame) -> DataFrame:
@@ -110,15 +123,20 @@ def formula_count(cells: DataFrame) -> DataFrame:
 
 def header_merges(merges: DataFrame) -> DataFrame:
     """Merged ranges (doc_id, sheet, ref) that start within the first ten rows."""
-    start = F.regexp_extract("ref", r"\A[A-Z]+(\d+):[A-Z]+\d+\z", 1).cast("long")
-    end = F.regexp_extract("ref", r"\A[A-Z]+\d+:[A-Z]+(\d+)\z", 1).cast("long")
-    early = start <= HEADER_ROWS
+    found = merge_bounds(F.col("ref"))
     return merges.groupBy("doc_id").agg(
-        F.count_if(early).alias("header_merges"),
-        F.coalesce(F.bool_or(early & (end > start)), F.lit(False)).alias("vertical_merge"),
+        F.count_if(found["early"]).alias("header_merges"),
+        F.coalesce(F.bool_or(found["early"] & found["vertical"]), F.lit(False)).alias("vertical_merge"),
     )
 
 
+def merge_bounds(ref: Column) -> dict[str, Column]:
+    """early: starts within the header rows; vertical: spans rows."""
+    start = F.regexp_extract(ref, r"\A[A-Z]+(\d+):[A-Z]+\d+\z", 1).try_cast("long")
+    end = F.regexp_extract(ref, r"\A[A-Z]+\d+:[A-Z]+(\d+)\z", 1).try_cast("long")
+    return {"early": start <= HEADER_ROWS, "vertical": end > start}
+
+
 def workbook_rules(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """(doc_id, sheets, preheader_sheets, formulas, header_merges, vertical_merge,
     layout_warnings) per workbook."""
@@ -134,15 +152,20 @@ def workbook_rules(cells: DataFrame, merges: DataFrame) -> DataFrame:
     joined = books.join(header_merges(merges), "doc_id", "left").fillna(
         {"header_merges": 0, "vertical_merge": False}
     )
-    merged = F.col("vertical_merge") | (F.col("header_merges") > F.col("preheader_sheets"))
-    warnings = F.array_compact(
+    return joined.withColumn("layout_warnings", workbook_warnings())
+
+
+def workbook_warnings(prefix: str = "") -> Column:
+    """From the columns vertical_merge, header_merges, preheader_sheets and formulas."""
+    sheets, formulas = F.col(f"{prefix}preheader_sheets"), F.col(f"{prefix}formulas")
+    merged = F.col(f"{prefix}vertical_merge") | (F.col(f"{prefix}header_merges") > sheets)
+    return F.array_compact(
         F.array(
             F.when(merged, rp.WARN_MERGED),
-            F.when(F.col("preheader_sheets") > 0, rp.WARN_PREHEADER),
-            F.when(F.col("formulas") > 0, F.format_string("包含%d个计算公式", "formulas")),
+            F.when(sheets > 0, rp.WARN_PREHEADER),
+            F.when(formulas > 0, F.format_string("包含%d个计算公式", formulas)),
         )
     )
-    return joined.withColumn("layout_warnings", warnings)
 
 
 def slide_rules(shapes: DataFrame) -> DataFrame:
@@ -161,19 +184,22 @@ def slide_rules(shapes: DataFrame) -> DataFrame:
         F.count_if(F.col("texts") >= 5).alias("multi_text_slides"),
         F.count_if((F.col("pictures") >= 2) & (F.col("texts") >= 2)).alias("mixed_slides"),
     )
+    return decks.withColumn("layout_warnings", deck_warnings())
+
+
+def deck_warnings(prefix: str = "") -> Column:
+    """From the columns structured_slides, multi_text_slides and mixed_slides."""
 
     def warn(count: str, text: str) -> Column:
-        return F.when(F.col(count) > 0, F.format_string(f"%d页{text}", count))
-
-    return decks.withColumn(
-        "layout_warnings",
-        F.array_compact(
-            F.array(
-                warn("structured_slides", "包含表格、图表或组合对象"),
-                warn("multi_text_slides", "包含较多独立文本框"),
-                warn("mixed_slides", "存在复杂图文混排"),
-            )
-        ),
+        number = F.col(f"{prefix}{count}")
+        return F.when(number > 0, F.format_string(f"%d页{text}", number))
+
+    return F.array_compact(
+        F.array(
+            warn("structured_slides", "包含表格、图表或组合对象"),
+            warn("multi_text_slides", "包含较多独立文本框"),
+            warn("mixed_slides", "存在复杂图文混排"),
+        )
     )
 
 

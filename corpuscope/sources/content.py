@@ -1,68 +1,164 @@
-"""File bytes and their decoding to text."""
+"""File contents: fingerprints and decoding, chunk by chunk."""
 
 from __future__ import annotations
 
-import math
+import codecs
+import hashlib
+import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import paths
 from ..operators.elements import extract_dispatch
+from ..session import materialize
+from .tree import open_file
 
+#: Files are read, hashed and decoded in pieces of this size.
+CHUNK_BYTES = 1 << 20
 BATCH_BYTES = 64 << 20
 TASK_BYTES = 256 << 20
-
-
-def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds content and the failure class; flushes by bytes so that a run of
-    large files never piles up in one batch."""
-    for batch in batches:
-        held, start, rows = 0, 0, []
-        for position, path in enumerate(batch["path"]):
-            content, kind, name = None, None, None
-            try:
-                with open(path, "rb") as stream:
-                    content = stream.read()
-            except PermissionError as error:
-                kind, name = "permission", type(error).__name__
-            except (OSError, ValueError) as error:
-                kind, name = "damaged", type(error).__name__
-            rows.append((content, kind, name))
-            held += len(content or b"")
-            if held >= BATCH_BYTES:
-                yield _with_content(batch.iloc[start : position + 1], rows)
-                held, start, rows = 0, position + 1, []
-        if rows:
-            yield _with_content(batch.iloc[start:], rows)
-
-
-def _with_content(batch: pd.DataFrame, rows: list[tuple]) -> pd.DataFrame:
-    content, kinds, names = zip(*rows)
-    return batch.assign(content=list(content), error_kind=list(kinds), error_name=list(names))
-
-
-def read_content(files: DataFrame) -> DataFrame:
-    """Adds (content, error_kind, error_name) to a listing; content is null if the
-    file could not be read, so it has no fingerprint.
-
-    Files are opened where their row lives. Spark's binaryFile source would drop
-    empty files and names starting with an underscore, and joining its content
-    to the listing would shuffle the corpus."""
-    schema = T.StructType(
-        files.schema.fields
-        + [
-            T.StructField("content", T.BinaryType()),
-            T.StructField("error_kind", T.StringType()),
-            T.StructField("error_name", T.StringType()),
-        ]
-    )
-    total = files.agg(F.sum("size_bytes")).first()[0] or 0
-    width = max(files.sparkSession.sparkContext.defaultParallelism, math.ceil(total / TASK_BYTES))
-    return files.repartition(width, "doc_id").mapInPandas(_read_files, schema)
+#: What opening a file costs, in bytes read: a task of tiny files ends as well.
+OPEN_BYTES = 64 << 10
+#: A Spark value holds no more; a longer text keeps its fingerprint and gets a status.
+LARGEST_TEXT = (1 << 31) - 1 - (64 << 10)
+TEXT_SUFFIXES = (".txt", ".md")
+
+
+def balanced(files: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``files`` in partitions of about ``task_bytes`` each, whatever the sizes.
+
+    Files are laid end to end and cut every ``task_bytes``: a row's place is the bytes before
+    it in its partition plus those of the partitions before, and only that list of partition
+    sums meets in one task."""
+    weight = F.greatest(F.coalesce("size_bytes", F.lit(0)), F.lit(0)) + OPEN_BYTES
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            sums = np.cumsum(batch.column("_weight").to_numpy()) + before
+            starts = np.concatenate([[before], sums[:-1]])
+            before = int(sums[-1]) if len(sums) else before
+            added = [pa.array(np.full(len(sums), part, dtype=np.int32)), pa.array(starts[: len(sums)])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "_part", "_before"])
+
+    weighed = files.withColumn("_weight", weight)
+    fields = [*weighed.schema, *T.StructType.fromDDL("_part int, _before long")]
+    placed = materialize(weighed.mapInArrow(place, T.StructType(fields)), "placed")
+    sums = placed.groupBy("_part").agg(F.sum("_weight").alias("_sum"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(sums.select("_part", "_sum", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset")), "offsets")
+    total = offsets.agg(F.sum("_sum")).first()[0] or 0
+    slots = placed.join(F.broadcast(offsets.drop("_sum")), "_part")  # a row per partition
+    cores = max(files.sparkSession.sparkContext.defaultParallelism, 1)
+    size = max(min(task_bytes, -(-total // cores)), 1)
+    slot = F.floor((F.col("_offset") + F.col("_before")) / size).cast("int")
+    return slots.withColumn("_slot", slot).repartitionById(total // size + 1, "_slot").select(*files.columns)
+
+
+class Decoder:
+    """Decodes the chunks of one file strictly; ``failed`` once the encoding does not fit or
+    the text grows beyond what a value holds."""
+
+    def __init__(self, encoding: str, largest: int):
+        self.encoding, self.decoder = encoding, codecs.getincrementaldecoder(encoding)()
+        self.parts: list[str] = []
+        self.size, self.largest = 0, largest
+        self.failed: str | None = None
+
+    def feed(self, chunk: bytes, final: bool = False) -> None:
+        if self.failed:
+            return
+        try:
+            part = self.decoder.decode(chunk, final)
+        except UnicodeDecodeError:
+            self.failed, self.parts = "encoding", []
+            return
+        self.size += len(chunk) if self.encoding == "utf-8-sig" else len(part.encode())
+        if self.size > self.largest:
+            self.failed, self.parts = "oversize", []
+        elif part:
+            self.parts.append(part)
+
+
+def read_file(opened, decode: bool, largest: int = LARGEST_TEXT) -> tuple[str, str | None, str | None]:
+    """(sha256, text, failure) of a file, read chunk by chunk; ``opened`` gives it anew for
+    every encoding that is tried. A NUL anywhere without a UTF-16 byte order mark is no text."""
+    digest, text, failure = None, None, None
+    for encoding in ("utf-8-sig", "gb18030", "utf-16") if decode else ("",):
+        hashing = hashlib.sha256() if digest is None else None
+        decoder = Decoder(encoding, largest) if encoding else None
+        first, nul = b"", False
+        with opened() as stream:
+            while chunk := stream.read(CHUNK_BYTES):
+                first = first or bytes(chunk[:2])
+                if hashing:
+                    hashing.update(chunk)
+                if decoder:
+                    nul = nul or (b"\x00" in chunk and first not in (b"\xff\xfe", b"\xfe\xff"))
+                    if nul and not decoder.failed:
+                        decoder.failed, decoder.parts = "binary", []
+                    decoder.feed(chunk)
+                    if decoder.failed and not hashing:
+                        break
+        if decoder:
+            decoder.feed(b"", final=True)
+            failure = "encoding" if decoder.failed == "binary" else decoder.failed
+        digest = digest or hashing.hexdigest()
+        if not decoder or decoder.failed != "encoding":
+            text = None if not decoder or decoder.failed else "".join(decoder.parts)
+            break
+    return digest, text, failure
+
+
+def read_documents(files: DataFrame, largest_text: int = LARGEST_TEXT, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Adds (content_sha256, text, parse_status, parse_issue) to a listing with ``path``.
+
+    Bytes stay in the reader: every file is hashed there in chunks, only ``.txt`` and ``.md``
+    files are decoded, and only their text goes on. A file that cannot be read has no
+    fingerprint; failures are statuses, never errors of the job. Files are opened where
+    their row lies, in tasks of about ``task_bytes``."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, held, rows = 0, 0, []
+            for at, path in enumerate(batch.column("path").to_pylist()):
+                digest = text = kind = name = None
+                try:
+                    if path is None:
+                        raise ValueError("no path")
+                    suffix = os.path.splitext(path)[1].lower()
+                    tree = open_file(path)
+                    digest, text, kind = read_file(lambda: tree.open(path), suffix in TEXT_SUFFIXES, largest_text)
+                    name = "FileTooLarge" if kind == "oversize" else None
+                except PermissionError as error:
+                    kind, name = "permission", type(error).__name__
+                except (OSError, ValueError) as error:
+                    kind, name = "damaged", type(error).__name__
+                rows.append((digest, text, kind, name))
+                held += len(text or "")
+                if held >= BATCH_BYTES:
+                    yield with_read(batch.slice(start, at + 1 - start), rows)
+                    start, held, rows = at + 1, 0, []
+            if rows:
+                yield with_read(batch.slice(start), rows)
+
+    added = T.StructType.fromDDL("content_sha256 string, text string, error_kind string, error_name string")
+    kept = files.drop(*added.names)
+    found = balanced(kept, task_bytes).mapInArrow(read, T.StructType([*kept.schema, *added]))
+    return with_status(found)
+
+
+def with_read(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    added = [pa.array(values, pa.string()) for values in zip(*rows)]
+    names = ["content_sha256", "text", "error_kind", "error_name"]
+    return pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
 
 
 @F.pandas_udf(T.StringType())
@@ -100,20 +196,27 @@ def decode_text(content: Column) -> Column:
     return F.when(binary, F.lit(None)).when(utf8, plain).otherwise(other)
 
 
-def read_text(files: DataFrame) -> DataFrame:
-    """Adds text, parse_status and parse_issue to rows with content. Text formats
-    are decoded here; other supported formats need their element tables and until
-    then have the status of documents whose content was not extracted."""
+def with_status(files: DataFrame) -> DataFrame:
+    """Parse status and issue from the suffix, the text and the reader's failure. Other
+    supported formats need their element tables (``operators.assemble``) and until then have
+    the status of documents whose content was not extracted."""
     suffix = paths.suffix(paths.name_of(F.col("relative_path")))
-    is_text = suffix.isin(".txt", ".md") & F.col("error_kind").isNull()
-    decoded = files.withColumn("text", decode_text(F.when(is_text, F.col("content"))))
-    failed = F.when(is_text & F.col("text").isNull(), F.lit("encoding")).otherwise(
-        F.coalesce("error_kind", F.when(~is_text, F.lit("missing")))
-    )
+    is_text = suffix.isin(*TEXT_SUFFIXES)
+    failed = F.coalesce("error_kind", F.when(~is_text, F.lit("missing")))
     status, issue = extract_dispatch(suffix, failed, F.col("error_name"))
-    return decoded.select(
-        *[c for c in decoded.columns if c not in ("text", "error_kind", "error_name")],
+    return files.select(
+        *[c for c in files.columns if c not in ("text", "parse_status", "parse_issue")],
         F.coalesce("text", F.lit("")).alias("text"),
         status.alias("parse_status"),
         issue.alias("parse_issue"),
     )
+
+
+def read_text(files: DataFrame) -> DataFrame:
+    """The same for a table that holds the bytes in ``content`` (null: not readable, see
+    ``error_kind``): decoded in the JVM where they are UTF-8."""
+    suffix = paths.suffix(paths.name_of(F.col("relative_path")))
+    is_text = suffix.isin(*TEXT_SUFFIXES) & F.col("error_kind").isNull()
+    decoded = files.withColumn("text", decode_text(F.when(is_text, F.col("content"))))
+    wrong = F.when(is_text & F.col("text").isNull(), F.lit("encoding")).otherwise(F.col("error_kind"))
+    return with_status(decoded.withColumn("error_kind", wrong)).drop("error_kind", "error_name")

@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-from datetime import datetime, timezone
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import rulepack as rp
 from ..functions import paths
 from ..session import materialize
-
-ENTRY = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("size_bytes", T.LongType()),
-        T.StructField("modified_at", T.TimestampType()),
-        T.StructField("error", T.StringType()),
-    ]
-)
+from .tree import Splits, list_tree, open_root
 
 
 def is_ignored(component: Column) -> Column:
@@ -127,58 +112,7 @@ def inventory_only(files: DataFrame) -> DataFrame:
     return record_projection(ignore_filter(files))
 
 
-# --- distributed listing ---------------------------------------------------
-
-
-def _entry(path: str, entry: os.DirEntry) -> tuple:
-    try:
-        link, is_dir = entry.is_symlink(), entry.is_dir(follow_symlinks=True)
-        if link:
-            return path, "dirlink" if is_dir else "filelink", 0, None, None
-        if is_dir:
-            return path, "dir", 0, None, None
-        stat = entry.stat(follow_symlinks=False)
-        seconds = datetime.fromtimestamp(int(stat.st_mtime), timezone.utc)
-        return path, "file", stat.st_size, seconds, None
-    except OSError as error:
-        return path, "error", 0, None, f"{path}: {error}"
-
-
-def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [f.name for f in ENTRY.fields]
-    for batch in batches:
-        for folder in batch["path"]:
-            rows = []
-            try:
-                with os.scandir(folder) as entries:
-                    for entry in entries:
-                        rows.append(_entry(f"{folder}/{entry.name}", entry))
-                        if len(rows) == 10_000:
-                            yield pd.DataFrame(rows, columns=names)
-                            rows = []
-            except OSError as error:
-                rows.append((folder, "error", 0, None, f"{folder}: {error}"))
-            yield pd.DataFrame(rows, columns=names)
-
-
-def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Every entry below ``root`` on a file system all executors mount.
-
-    Breadth first: one job per tree level lists that level's folders in
-    parallel, so a deep or lopsided branch is spread again at each level.
-    Ignored and linked folders are listed as entries and not entered."""
-    level = spark.createDataFrame([(root,)], "path string")
-    found = None
-    width = max(spark.sparkContext.defaultParallelism, 1)
-    while True:
-        entries = materialize(
-            level.repartition(width, "path").mapInPandas(_list_folders, ENTRY), "listing"
-        )
-        found = entries if found is None else found.unionByName(entries)
-        name = F.element_at(F.split("path", "/"), -1)
-        level = entries.filter((F.col("kind") == "dir") & ~is_ignored(name)).select("path")
-        if level.isEmpty():
-            return found
+# --- file trees ------------------------------------------------------------
 
 
 class Listing:
@@ -190,26 +124,27 @@ class Listing:
         self.errors = errors
 
 
-def scan_corpus(spark: SparkSession, root: str) -> Listing:
-    """Inventory of a file tree: (doc_id, root_path, root_name, path, relative_path,
-    size_bytes, modified_at) of the files, the skipped count and the errors."""
-    root = root.rstrip("/")
-    entries = list_tree(spark, root)
-    name = F.element_at(F.split("path", "/"), -1)
-    relative = F.substr("path", F.lit(len(root) + 2), F.length("path"))
+def scan_corpus(spark: SparkSession, root: str, splits: Splits = Splits()) -> Listing:
+    """Inventory of a file tree (a mounted path or the URI of a store): (doc_id, root_path,
+    root_name, path, relative_path, size_bytes, modified_at) of the files, the skipped count
+    and the errors."""
+    tree = open_root(root)
+    tree.check()
+    above, _, own = tree.root.rpartition("/")
+    entries = list_tree(spark, root, splits)
+    name = F.element_at(F.split("relative_path", "/"), -1)
     dropped = is_ignored(name) & F.col("kind").isin("file", "dir") | (F.col("kind") == "dirlink")
     files = entries.filter((F.col("kind") == "file") & ~is_ignored(name)).select(
         F.monotonically_increasing_id().alias("doc_id"),
-        F.lit(os.path.dirname(root)).alias("root_path"),
-        F.lit(os.path.basename(root)).alias("root_name"),
+        F.lit(above).alias("root_path"),
+        F.lit(own).alias("root_name"),
         "path",
-        relative.alias("relative_path"),
+        "relative_path",
         "size_bytes",
         "modified_at",
     )
     skipped = entries.filter(dropped).agg(F.count(F.lit(1)).alias("skipped_system_files"))
-    errors = entries.filter(F.col("error").isNotNull()).select("path", F.col("error").alias("message"))
-    return Listing(materialize(files, "inventory"), skipped, errors)
+    return Listing(materialize(files, "inventory"), skipped, access_errors(entries))
 
 
 def access_errors(entries: DataFrame) -> DataFrame:

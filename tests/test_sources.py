@@ -1,15 +1,19 @@
 """File trees, decoding and outputs."""
 
+import hashlib
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscope import analyze
+from corpuscope import audit_folder
 from corpuscope import rulepack as rp
 from corpuscope.sinks.writer import OutputError, check_target, write_outputs
-from corpuscope.sources.content import read_content, read_text
+from corpuscope.sources import content, tree as trees
+from corpuscope.sources.content import read_documents, read_text
 from corpuscope.sources.inventory import scan_corpus
+from corpuscope.sources.tree import Splits, Walker, Work
 
 
 @pytest.fixture()
@@ -61,7 +65,21 @@ def test_scan(spark, tree):
 
 
 def test_decoding(spark, tree):
-    docs = read_text(read_content(scan_corpus(spark, tree).files))
+    listed = scan_corpus(spark, tree).files
+    docs = read_documents(listed)
+    bytes_ = {r.relative_path: r for r in docs.collect()}
+    for path, row in bytes_.items():
+        with open(f"{tree}/{path}", "rb") as file:
+            assert row.content_sha256 == hashlib.sha256(file.read()).hexdigest()
+    # The same rows from a table that holds the bytes.
+    rows = []
+    for path in bytes_:
+        with open(f"{tree}/{path}", "rb") as file:
+            rows.append((path, bytearray(file.read()), None, None))
+    schema = "relative_path string, content binary, error_kind string, error_name string"
+    table = read_text(spark.createDataFrame(rows, schema))
+    pick = ("relative_path", "text", "parse_status", "parse_issue")
+    assert sorted(table.select(*pick).collect()) == sorted(docs.select(*pick).collect())
     got = {r.relative_path: (r.text, r.parse_status, r.parse_issue) for r in docs.collect()}
     for name in ("gb.txt", "u16.txt", "bom.txt"):
         assert got[name] == ("中文内容", rp.DIRECT, "")
@@ -75,15 +93,12 @@ def test_missing_file_becomes_a_status(spark, tree):
     files = scan_corpus(spark, tree).files.withColumn(
         "path", F.when(F.col("relative_path") == "a.txt", F.concat("path", F.lit(".gone"))).otherwise(F.col("path"))
     )
-    got = {r.relative_path: r.parse_issue for r in read_text(read_content(files)).collect()}
+    got = {r.relative_path: r.parse_issue for r in read_documents(files).collect()}
     assert got["a.txt"] == "文件可能损坏或格式异常（FileNotFoundError）"
 
 
 def test_full_run_from_a_folder(spark, tree, tmp_path):
-    listing = scan_corpus(spark, tree)
-    docs = read_text(read_content(listing.files)).withColumn("root_name", F.lit("公司资料"))
-    audit = analyze(docs, "2030-01-01 00:00:00")
-    audit.skipped, audit.errors = listing.skipped, listing.errors
+    audit = audit_folder(spark, tree, "2030-01-01 00:00:00")
     got = {r.relative_path: r for r in audit.table().collect()}
     assert len(got) == 13
     assert got["sub/zero.txt"].issues.startswith("没有读取到有效内容")
@@ -102,3 +117,99 @@ def test_target_inside_source_is_rejected(spark, tree):
         with pytest.raises(OutputError):
             check_target(bad, tree)
     check_target(tree + "-results", tree)
+
+
+def wide_tree(tmp_path):
+    """600 files in one folder, a deep branch, an ignored and an unreadable entry."""
+    root = tmp_path / "wide"
+    deep = root.joinpath(*[f"d{i}" for i in range(12)])
+    deep.mkdir(parents=True)
+    (root / "many").mkdir()
+    (root / ".git").mkdir()
+    for i in range(600):
+        (root / "many" / f"f {i}.txt").write_text(str(i))
+    for i in range(12):
+        root.joinpath(*[f"d{j}" for j in range(i + 1)], f"x{i}.md").write_text("x")
+    (root / ".git" / "gone.txt").write_text("x")
+    return str(root)
+
+
+def plain_tree(root):
+    found = {}
+    for folder, dirs, files in os.walk(root):
+        dirs[:] = [d for d in dirs if not d.startswith(".")]
+        found |= {os.path.relpath(os.path.join(folder, f), root): os.path.getsize(os.path.join(folder, f)) for f in files}
+    return found
+
+
+def test_a_tree_is_split_by_names_and_handed_on(spark, tmp_path):
+    root = wide_tree(tmp_path)
+    for splits in (Splits(), Splits(split_names=50), Splits(split_names=50, planned_folders=1, folders_per_task=1, walked_folders=2)):
+        entries = trees.list_tree(spark, root, splits)
+        files = [(r.relative_path, r.size_bytes) for r in entries.filter("kind = 'file'").collect()]
+        assert Counter(files) == Counter(plain_tree(root).items())
+        assert entries.filter("kind = 'dir' and relative_path = '.git'").count() == 1
+    tasks = Walker(root, Splits(split_names=50)).plan()
+    assert len(tasks) > 600 / 50 and all(len(task.ranges) <= 64 for task in tasks)
+    spark_rows = spark.read.format("corpus_tree").option("split_names", 50).load(root)
+    assert spark_rows.rdd.getNumPartitions() == len(tasks)
+
+
+def test_uris_and_stores_give_the_same_entries(spark, tmp_path):
+    root = wide_tree(tmp_path)
+    want = sorted((r.relative_path, r.size_bytes, r.modified_at) for r in scan_corpus(spark, root).files.collect())
+    for uri in ("file://" + root, "file:" + root):
+        listing = scan_corpus(spark, uri)
+        assert sorted((r.relative_path, r.size_bytes, r.modified_at) for r in listing.files.collect()) == want
+        assert listing.skipped.first()[0] == 1
+        assert {r.text for r in read_documents(listing.files).collect()} == {str(i) for i in range(600)} | {"x"}
+    store = trees.Store("file://" + root)  # a mount looked at as a store
+    walker = Walker(root, Splits())
+    walker.tree = store
+    rows = [r for batch in walker.run(Work(branches=("",))) for r in batch.to_pylist() if r["kind"] == "file"]
+    assert sorted((r["relative_path"], r["size_bytes"]) for r in rows) == [x[:2] for x in want]
+    assert rows[0]["path"].startswith("file://" + root) and store.open(rows[0]["path"]).read()
+
+
+def test_missing_roots_and_folders(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        scan_corpus(spark, str(tmp_path / "none"))
+    (tmp_path / "file").write_text("x")
+    with pytest.raises(NotADirectoryError):
+        scan_corpus(spark, str(tmp_path / "file"))
+    work = spark.createDataFrame([("gone", None, None), ("away", "", None)], "relative_path string, low string, high string")
+    rows = trees.list_folders(work, str(tmp_path)).collect()
+    assert {r.kind for r in rows} == {"error"} and all("No such file" in r.error for r in rows) and len(rows) == 2
+
+
+def test_large_files_are_hashed_in_chunks_and_too_large_texts_get_a_status(spark, tmp_path):
+    root = tmp_path / "large"
+    root.mkdir()
+    with open(root / "sparse.bin", "wb") as file:
+        file.truncate(3 << 30)
+    (root / "big.txt").write_text("a" * (3 << 20) + "é" * 10)
+    (root / "odd.txt").write_bytes(b"a" * (2 << 20) + "中".encode("gb18030"))
+    (root / "late.txt").write_bytes(b"a" * (2 << 20) + b"\x00")
+    (root / "fits.md").write_bytes(b"\xef\xbb\xbf" + ("ab中" * 400_000).encode())
+    files = scan_corpus(spark, str(root)).files
+    got = {r.relative_path: r for r in read_documents(files, largest_text=(3 << 20) + 19).collect()}
+    zeros = hashlib.sha256()
+    for _ in range(3 << 10):
+        zeros.update(bytes(1 << 20))
+    assert got["sparse.bin"].content_sha256 == zeros.hexdigest() and got["sparse.bin"].text == ""
+    assert got["big.txt"].parse_issue == "文件读取异常（FileTooLarge）" and got["big.txt"].text == ""
+    assert got["big.txt"].content_sha256 == hashlib.sha256((root / "big.txt").read_bytes()).hexdigest()
+    assert got["odd.txt"].text == "a" * (2 << 20) + "中" and got["odd.txt"].parse_status == rp.DIRECT
+    assert got["late.txt"].parse_issue == rp.ISSUE_ENCODING
+    assert got["fits.md"].text == "ab中" * 400_000
+
+
+def test_tasks_are_filled_by_bytes(spark):
+    sizes = [1 << 20] * 100 + [200 << 20] * 5 + [0] * 3_000 + [None]
+    files = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "doc_id long, size_bytes long").repartition(7)
+    dealt = content.balanced(files, 32 << 20)
+    parts = dealt.groupBy(F.spark_partition_id().alias("p")).agg(
+        F.sum(F.coalesce("size_bytes", F.lit(0)) + content.OPEN_BYTES).alias("bytes"), F.max("size_bytes").alias("most")
+    )
+    assert dealt.count() == len(sizes)
+    assert all(r.bytes - (r.most or 0) <= (32 << 20) + content.OPEN_BYTES for r in parts.collect())
