@@ -7,9 +7,17 @@ or blank cases are rows of their own, made from ``supplier``, ``nation`` and ``e
 
 from __future__ import annotations
 
+import os
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpuscope.operators.assemble import Elements
+from corpuscope.session import scratch_root
 from corpuscope.sources.tables import read_table
+from corpuscope.sources.tree import open_root
 
 AS_OF = "2024-01-01 00:00:00"
 
@@ -109,6 +117,40 @@ SELECT event_id AS doc_id,
 FROM {events}
 """
 
+#: Files whose elements are the tables above, their ids told apart by a last digit.
+OFFICE = """
+SELECT doc_id, '公司资料' AS root_name, CASE doc_id % 3 WHEN 0 THEN '销售/' WHEN 1 THEN '人资/' ELSE '财经/' END ||
+  'memo-' || translate(CAST(doc_id AS STRING), '0123456789', 'abcdefghij') || extension AS relative_path,
+  'memo-' || translate(CAST(doc_id AS STRING), '0123456789', 'abcdefghij') || extension AS file_name, extension,
+  1000 + doc_id AS size_bytes, CAST(DATE '2024-01-01' - CAST((doc_id * 37) % 2600 AS INT) AS TIMESTAMP) AS modified_at
+FROM (
+  SELECT DISTINCT CAST(conv_id AS BIGINT) * 10 + 1 AS doc_id, '.docx' AS extension FROM {conversations}
+  UNION ALL SELECT DISTINCT CAST(conv_id AS BIGINT) * 10 + 2, '.pdf' FROM {conversations}
+  UNION ALL SELECT CAST(1000000000 + n_nationkey AS BIGINT) * 10 + 2, '.pdf' FROM {nation}
+  UNION ALL SELECT DISTINCT CAST(l_orderkey AS BIGINT) * 10 + 3, '.xlsx' FROM {lineitem}
+  UNION ALL SELECT DISTINCT CAST(user_id AS BIGINT) * 10 + 4, '.pptx' FROM {events}
+  UNION ALL SELECT CAST(s_suppkey AS BIGINT) * 10 + 5, CASE s_suppkey % 3 WHEN 0 THEN '.docx' WHEN 1 THEN '.doc' ELSE '.pptx' END
+  FROM {supplier}) f
+"""
+
+#: Files of a tree written from the documents: some ignored, some in ignored folders.
+TREE = """
+SELECT source || '/' || CASE WHEN doc_id % 50 = 7 THEN '.git/' ELSE '' END || coalesce(lang, 'none') || '/' ||
+  CASE WHEN doc_id % 50 = 8 THEN '~$' ELSE '' END || 'doc ' || CAST(doc_id AS STRING) ||
+  CASE WHEN doc_id % 5 = 0 THEN '.md' WHEN doc_id % 5 = 1 THEN '.pdf' ELSE '.txt' END AS relative_path,
+  coalesce(text, '') AS text
+FROM {documents}
+"""
+
+#: Rows of a manifest that no audit takes: ignored, hidden, or not to be looked at.
+REFUSED = """
+SELECT 4000000000 + s_suppkey AS doc_id, CASE s_suppkey % 3
+    WHEN 0 THEN 'sub' || CAST(s_suppkey AS STRING) || '/.git/hooks/pre.txt'
+    WHEN 1 THEN 'locked/' || CAST(s_suppkey AS STRING) || '.pdf' ELSE 'hidden/' || CAST(s_suppkey AS STRING) || '.txt' END AS relative_path,
+  s_suppkey % 3 = 2 AS is_hidden, CASE WHEN s_suppkey % 3 = 1 THEN 'Permission denied' END AS error
+FROM {supplier}
+"""
+
 SPARK_CONTENT = "CAST(d.body AS BINARY) AS content"
 DUCK_CONTENT = "encode(d.body) AS content"
 
@@ -120,9 +162,42 @@ _SOURCES = {
     "shapes": (SHAPES, ("events",)),
     "elements": (ELEMENTS, ("conversations",)),
     "manifest": (MANIFEST, ("events",)),
+    "office": (OFFICE, ("conversations", "nation", "lineitem", "events", "supplier")),
+    "tree": (TREE, ("documents",)),
+    "refused": (REFUSED, ("supplier",)),
 }
 
 
+def office_elements(spark: SparkSession, folder: str) -> Elements:
+    """The element tables under the ids of the files of ``office``."""
+
+    def of(name: str, digit: int) -> DataFrame:
+        rows = table(spark, folder, name)
+        return rows.withColumn("doc_id", F.col("doc_id").cast("long") * 10 + digit)
+
+    return Elements(
+        texts=of("elements", 1), pages=of("pages", 2), cells=of("cells", 3), merges=of("merges", 3), shapes=of("shapes", 4)
+    )
+
+
+def write_tree(spark: SparkSession, folder: str) -> str:
+    """Writes the files of ``tree`` below the scratch folder; returns their root."""
+    root = f"{scratch_root(spark)}/corpuscope/tree-{uuid.uuid4().hex}"
+
+    def write(batches):
+        mount = open_root(root)
+        for batch in batches:
+            for path, text in zip(batch["relative_path"], batch["text"]):
+                full = mount.full(path)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                with open(full, "w", encoding="utf-8", newline="") as file:
+                    file.write(text)
+            yield pd.DataFrame({"files": [len(batch)]})
+
+    table(spark, folder, "tree").mapInPandas(write, "files long").agg(F.sum("files")).collect()
+    return root
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """The rows over all cores: the given tables are files of one row group, which no
     scan can split as it splits a table of real size."""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope import analyze, extract_features
+from corpuscope import analyze, assemble_documents, audit_manifest, extract_features
 from corpuscope import rulepack as rp
 from corpuscope.functions import display, normalize, paths, risks, text
 from corpuscope.operators import elements, findings, groups, topics
@@ -26,10 +26,11 @@ from corpuscope.rulepack import DEFAULT_PACK as PACK
 from corpuscope.session import materialize, pin_session, scratch_root
 from corpuscope.sinks.writer import write_outputs
 from corpuscope.sources import content, inventory
+from corpuscope.sources import tree as trees
 from corpuscope.sources.tables import read_table
 
 from . import oracle as o
-from .fixtures import AS_OF, dealt, table
+from .fixtures import AS_OF, dealt, office_elements, table, write_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -186,6 +187,59 @@ def _(spark, folder):
     return inventory.access_errors(entries)
 
 
+_TREE_KEPT = f"SELECT *, CAST(strlen(text) AS BIGINT) AS size_bytes FROM tree WHERE {_CLEAN}"
+_TREE_SKIPPED = f"""(SELECT count(DISTINCT array_to_string(parts[1:list_position(flags, true)], '/')) FROM (
+  SELECT string_split(relative_path, '/') AS parts,
+    list_transform(string_split(relative_path, '/'), lambda p: {_BAD}) AS flags FROM tree) WHERE list_contains(flags, true))"""
+
+
+@query(
+    "scan_corpus",
+    o.table_sql(
+        "tree",
+        f"SELECT relative_path, size_bytes, {_TREE_SKIPPED} AS skipped, CAST(0 AS BIGINT) AS errors FROM kept",
+        f", kept AS ({_TREE_KEPT})",
+    ),
+)
+def _(spark, folder):
+    listing = inventory.scan_corpus(spark, write_tree(spark, folder))
+    return listing.files.select(
+        "relative_path",
+        "size_bytes",
+        listing.skipped.scalar().alias("skipped"),
+        listing.errors.agg(F.count(F.lit(1))).scalar().alias("errors"),
+    )
+
+
+@query(
+    "read_documents",
+    o.table_sql(
+        "tree",
+        "SELECT relative_path, sha256(text) AS content_sha256, "
+        "CASE WHEN ends_with(relative_path, '.pdf') THEN sha256('') ELSE sha256(text) END AS text_sha256, "
+        "CASE WHEN ends_with(relative_path, '.pdf') THEN '需特殊处理' ELSE '可直接解析' END AS parse_status FROM kept",
+        f", kept AS ({_TREE_KEPT})",
+    ),
+)
+def _(spark, folder):
+    listing = inventory.scan_corpus(spark, write_tree(spark, folder))
+    docs = content.read_documents(listing.files)
+    return docs.select("relative_path", "content_sha256", F.sha2("text", 256).alias("text_sha256"), "parse_status")
+
+
+@query(
+    "folder_errors",
+    "SELECT 'gone-' || n_name AS path, true AS told FROM nation",
+)
+def _(spark, folder):
+    names = read_table(spark, folder, "nation").select(F.concat(F.lit("gone-"), "n_name").alias("relative_path"))
+    work = names.select("relative_path", F.lit("").alias("low"), F.lit(None).cast("string").alias("high"))
+    root = scratch_root(spark)
+    errors = inventory.access_errors(trees.list_folders(work, root))
+    told = c("message").contains("No such file or directory")
+    return errors.select(F.replace("path", F.lit(f"{root}/"), F.lit("")).alias("path"), told.alias("told"))
+
+
 # --- extraction ------------------------------------------------------------------
 
 
@@ -349,6 +403,61 @@ def _(spark, folder):
     return _layouts(spark, folder).withColumn("layout_warnings", F.array_join("layout_warnings", "|"))
 
 
+def _office_text(name: str, order: str, digit: int, value: str = "text", where: str = "true") -> str:
+    return f"SELECT doc_id * 10 + {digit} AS doc_id, text FROM ({_joined_sql(name, order, value, where)})"
+
+
+_OFFICE = f"""pages AS ({o.fixtures.duck_sql('pages')}), elements AS ({o.fixtures.duck_sql('elements')}),
+office AS ({o.fixtures.duck_sql('office')}), {_PAGE_RULES}, {_WARNED}{_SHEET_PARTS},
+office_text AS (
+  {_office_text('elements', "kind <> 'paragraph', pos", 1)}
+  UNION ALL {_office_text('pages', 'page_no', 2, "CASE WHEN failed THEN '' ELSE text END")}
+  UNION ALL {_office_text('parts', 'sheet_no, row_no, col_no, value', 3, 'value')}
+  UNION ALL SELECT f.doc_id * 10 + 4, coalesce(t.text, '') FROM decks f
+    LEFT JOIN ({_joined_sql('shapes', 'slide_no, shape_no', 'text', "kind IN ('text', 'table')")}) t ON t.doc_id = f.doc_id),
+sheet_n AS (SELECT doc_id, count(DISTINCT sheet) AS sheets FROM cells GROUP BY doc_id),
+office_facts AS (
+  SELECT doc_id * 10 + 1 AS doc_id, 0 AS scale, '' AS unit, '可直接解析' AS status, '' AS issue, NULL AS w1, NULL AS w2, NULL AS w3
+  FROM (SELECT DISTINCT doc_id FROM elements)
+  UNION ALL SELECT doc_id * 10 + 2, document_scale, scale_unit, parse_status, parse_issue, NULL, NULL, NULL FROM page_rules
+  UNION ALL SELECT w.doc_id * 10 + 3, sheets, '个工作表', '可直接解析', '', w1, w2, w3
+    FROM warned w JOIN sheet_n USING (doc_id) WHERE suffix = '.xlsx'
+  UNION ALL SELECT w.doc_id * 10 + 4, slides, '页', '可直接解析', '', w1, w2, w3
+    FROM warned w JOIN decks USING (doc_id) WHERE suffix = '.pptx'),
+assembled AS (
+  SELECT o.*, CASE WHEN f.issue = {o.q(rp.ISSUE_ENCRYPTED)} THEN '' ELSE coalesce(t.text, '') END AS text,
+    coalesce(status, '需特殊处理') AS given_status,
+    coalesce(issue, CASE extension WHEN '.doc' THEN {o.q(rp.ISSUE_LEGACY)} ELSE {o.q(rp.ISSUE_NOT_EXTRACTED)} END) AS given_issue,
+    CAST(coalesce(scale, 0) AS BIGINT) AS given_scale, coalesce(unit, '') AS given_unit, w1, w2, w3
+  FROM office o LEFT JOIN office_facts f USING (doc_id) LEFT JOIN office_text t USING (doc_id))"""
+
+
+def _assembled(spark, folder) -> DataFrame:
+    return assemble_documents(table(spark, folder, "office"), office_elements(spark, folder))
+
+
+@query(
+    "assemble_documents",
+    o.table_sql(
+        "shapes",
+        "SELECT doc_id, relative_path, given_status AS parse_status, given_issue AS parse_issue, given_scale AS document_scale, "
+        "given_unit AS scale_unit, concat_ws('|', w1, w2, w3) AS layout_warnings, sha256(text) AS text_sha256 FROM assembled",
+        ", " + _OFFICE,
+    ),
+)
+def _(spark, folder):
+    return _assembled(spark, folder).select(
+        "doc_id",
+        "relative_path",
+        "parse_status",
+        "parse_issue",
+        "document_scale",
+        "scale_unit",
+        F.array_join("layout_warnings", "|").alias("layout_warnings"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 @query(
     "extract_dispatch",
     o.table_sql(
@@ -649,6 +758,45 @@ def _(spark, folder):
     return finalize_verdicts(docs, groups.cross_document_marks(docs, PACK)).select(*_RECORD, stamp("modified_at"))
 
 
+_LAYOUT_FINDINGS = """
+  UNION ALL SELECT doc_id, 4.5 AS seq, 'Excel表头前有标题或说明（' || w2 || '）' AS issue, '' AS advice, 1 AS status_rank, 1 AS priority_rank
+  FROM named WHERE suffix = '.xlsx' AND w2 IS NOT NULL
+  UNION ALL SELECT doc_id, 4.6, 'Excel排版较复杂（' || concat_ws('、', w1, w3) || '）', '', 1, 2
+  FROM named WHERE suffix = '.xlsx' AND (w1 IS NOT NULL OR w3 IS NOT NULL)
+  UNION ALL SELECT doc_id, 4.7, 'PPT排版较复杂（' || concat_ws('、', w1, w2, w3) || '）', '', 1, 2
+  FROM named WHERE suffix = '.pptx' AND (w1 IS NOT NULL OR w2 IS NOT NULL OR w3 IS NOT NULL)"""
+
+
+def _elements_audit_sql() -> str:
+    """The chain of the corpus audit over the assembled documents."""
+    whole = o.sql("verdicts", "SELECT * FROM verdicts")
+    head, rest = whole.split(f"corpus AS ({o.fixtures.duck_sql('corpus')})")
+    shapes = f"shapes AS ({o.fixtures.duck_sql('shapes')})"
+    rest = rest.replace("CASE WHEN size_bytes > 0 THEN sha256(content) END AS binary_fp", "CAST(NULL AS VARCHAR) AS binary_fp")
+    for name, end in (("given_status", "END AS parse_status"), ("given_issue", "END AS parse_issue")):
+        first = rest.index("CASE WHEN extension IN ('.doc'")
+        last = rest.index(end) + len(end)
+        rest = rest[:first] + f"{name} AS {end.split()[-1]}" + rest[last:]
+    rest = rest.replace("SELECT * FROM base_findings", "SELECT * FROM base_findings" + _LAYOUT_FINDINGS)
+    rest = rest.replace("'b' || binary_fp AS signature FROM named WHERE size_bytes > 0", "'b' AS signature FROM named WHERE false")
+    body = rest.removesuffix("SELECT * FROM verdicts")
+    select = (
+        "SELECT doc_id, parse_status, parse_issue, CAST(content_length AS BIGINT) AS content_length, given_scale AS document_scale, "
+        "given_unit AS scale_unit, use_status, issues, priority, duplicate_group, version_group, sensitive_risks "
+        "FROM verdicts JOIN assembled USING (doc_id)"
+    )
+    return f"{head}{shapes}, {_OFFICE}, corpus AS (SELECT * FROM assembled){body}{select}"
+
+
+@query("audit_elements", _elements_audit_sql())
+def _(spark, folder):
+    done = analyze(_assembled(spark, folder), AS_OF)
+    return done.records.select(
+        *"doc_id parse_status parse_issue content_length document_scale scale_unit use_status issues priority".split(),
+        "duplicate_group", "version_group", "sensitive_risks",
+    )
+
+
 # --- groups ------------------------------------------------------------------------
 
 
@@ -927,13 +1075,15 @@ def _json_counts(column: str) -> str:
     o.sql(
         "records",
         f"""SELECT total AS total_files, bytes AS total_size_bytes, {_json_counts('parse_status')} AS parse_counts,
-          {_json_counts('use_status')} AS use_counts, CAST(0 AS BIGINT) AS skipped_system_files,
-          CAST(0 AS BIGINT) AS access_errors_count FROM facts""",
+          {_json_counts('use_status')} AS use_counts,
+          (SELECT count(*) FROM supplier WHERE s_suppkey % 3 IN (0, 2)) AS skipped_system_files,
+          (SELECT count(*) FROM supplier WHERE s_suppkey % 3 = 1) AS access_errors_count FROM facts""",
         "facts",
     ),
 )
 def _(spark, folder):
-    done = audit(spark, folder)
+    manifest = corpus(spark, folder).unionByName(table(spark, folder, "refused"), allowMissingColumns=True)
+    done = audit_manifest(manifest, AS_OF)
     summary = reports.run_summary(done.records, done.skipped, done.errors)
     for name in ("parse_counts", "use_counts"):
         summary = summary.withColumn(name, F.to_json(name))
