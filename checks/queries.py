@@ -24,6 +24,7 @@ from corpuscope.plans.audit import (
 )
 from corpuscope.rulepack import DEFAULT_PACK as PACK
 from corpuscope.session import materialize, pin_session, scratch_root
+from corpuscope.sinks import writer
 from corpuscope.sinks.writer import write_outputs
 from corpuscope.sources import content, inventory
 from corpuscope.sources import tree as trees
@@ -1147,3 +1148,31 @@ def _(spark, folder):
     target = f"{scratch_root(spark)}/corpuscope/outputs-{uuid.uuid4().hex}"
     rows = write_outputs(done, target, folder)
     return spark.createDataFrame(sorted(rows.items()), "output string, n long")
+
+
+@query(
+    "verify_outputs",
+    """SELECT x.ord, x.copy, n - CAST(x.ord = 3 AS INT) AS n, x.verdict FROM (SELECT count(*) AS n FROM documents),
+    (VALUES (1, 'same', 'kept'), (2, 'one value changed', 'values'), (3, 'one row missing', 'rows')) AS x(ord, copy, verdict)""",
+)
+def _(spark, folder):
+    docs = read_table(spark, folder, "documents")
+    last = docs.agg(F.max("doc_id")).scalar()
+    base = f"{scratch_root(spark)}/corpuscope/verified-{uuid.uuid4().hex}"
+    written = writer.write_staged(docs, f"{base}/same")
+    copies = {
+        "same": docs,
+        "one value changed": docs.withColumn("text", F.when(c("doc_id") == last, F.concat("text", F.lit("."))).otherwise(c("text"))),
+        "one row missing": docs.filter(c("doc_id") < last),
+    }
+    rows = []
+    for number, (name, copy) in enumerate(copies.items(), 1):
+        path = f"{base}/{name}"
+        count = written.rows if name == "same" else writer.write_staged(copy, path).rows
+        verdict = "kept"
+        try:
+            writer.verify_output(docs, path, written)
+        except writer.OutputError as error:
+            verdict = "rows" if "rows read back" in str(error) else "values"
+        rows.append((number, name, count, verdict))
+    return spark.createDataFrame(rows, "ord int, copy string, n long, verdict string")

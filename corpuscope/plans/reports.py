@@ -66,10 +66,6 @@ def rollup(records: DataFrame, pack: RulePack = DEFAULT_PACK) -> DataFrame:
     direct = parse == rp.DIRECT
     scanned = F.col("display_type").startswith("PDF") & F.col("parse_issue").contains("疑似扫描文件")
 
-    def top(column: str) -> Column:
-        number = F.regexp_extract(column, r"(\d+)$", 1).cast("long")
-        return F.coalesce(F.max(F.when(F.col(column) != "", number)), F.lit(0))
-
     counts = {
         "direct": direct,
         "special": parse == rp.SPECIAL,
@@ -88,19 +84,25 @@ def rollup(records: DataFrame, pack: RulePack = DEFAULT_PACK) -> DataFrame:
     }
     counts |= {f"p{i}": _any_marker(issues, p.markers) for i, p in enumerate(pack.problems)}
     votes = [(i, _any_marker(issues, x.markers)) for i, x in enumerate(pack.main_issues)]
-    return records.groupBy(F.col("suggested_knowledge_base").alias("topic")).agg(
+    by_topic = records.groupBy(F.col("suggested_knowledge_base").alias("topic")).agg(
         F.count(F.lit(1)).alias("total"),
         F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"),
         F.coalesce(F.sum(F.when(scanned, F.col("document_scale"))), F.lit(0)).alias("pages"),
         F.min(place).alias("first"),
-        # Groups are numbered 1…n, so their largest number is their count.
-        top("duplicate_group").alias("duplicate_groups"),
-        top("version_group").alias("version_groups"),
         *[F.count_if(test).alias(name) for name, test in counts.items()],
         *[F.count_if(hit).alias(f"n{i}") for i, hit in votes],
         *[F.min(F.when(hit, place)).alias(f"f{i}") for i, hit in votes],
     )
 
+    def groups_of(column: str) -> Column:
+        """Groups seen in these records, whatever their numbers; topics may share one."""
+        named = records.select(column).filter(F.col(column) != "")
+        return named.agg(F.countDistinct(column)).scalar()
+
+    return by_topic.withColumns(
+        {"duplicate_groups": groups_of("duplicate_group"), "version_groups": groups_of("version_group")}
+    )
+
 
 def _topics(data: DataFrame | Rollup, pack: RulePack) -> DataFrame:
     return data.table if isinstance(data, Rollup) else rollup(data, pack)

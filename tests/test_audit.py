@@ -280,3 +280,15 @@ def test_odd_text_and_names_go_through_the_udf(spark):
     assert got[1].text_fp == got[2].text_fp
     assert (got[1].version_key, got[1].version_marker) == ("报告", True)
     assert (got[3].topic, got[4].topic) == ("合同与法务知识库", "合同与法务知识库")
+
+
+def test_groups_are_counted_in_any_subset(spark):
+    rows = [(i, f"a/制度{i}v{v}.txt", 10, "正文" * 30 + str(v) + "x" * i) for i in (1, 2, 3) for v in (1, 2)]
+    docs = spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(rows)], "doc_id long, relative_path string, size_bytes long, text string")
+    records = analyze(docs.withColumn("modified_at", F.lit("2023-01-01").cast("timestamp")), "2024-01-01 00:00:00").records
+    names = sorted({r.version_group for r in records.collect()} - {""})
+    assert len(names) == 3
+    for kept in (names, names[2:], names[::2], []):
+        part = records.filter(F.col("version_group").isin(kept))
+        note = {r.metric: r.note for r in reports.key_metrics(part).collect()}
+        assert any(f"涉及{len(kept)}组" in text for text in note.values())

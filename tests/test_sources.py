@@ -1,7 +1,9 @@
 """File trees, decoding and outputs."""
 
 import hashlib
+import json
 import os
+import uuid
 from collections import Counter
 
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuscope import audit_folder
 from corpuscope import rulepack as rp
+from corpuscope.sinks import writer
 from corpuscope.sinks.writer import OutputError, check_target, write_outputs
 from corpuscope.sources import content, tree as trees
 from corpuscope.sources.content import read_documents, read_text
@@ -112,11 +115,41 @@ def test_full_run_from_a_folder(spark, tree, tmp_path):
     assert write_outputs(audit, target, tree, overwrite=True) == rows
 
 
-def test_target_inside_source_is_rejected(spark, tree):
-    for bad in (tree, tree + "/", tree + "/out", tree + "/sub/../out", "file:" + tree + "/x", "file://" + tree):
+def test_target_inside_source_is_rejected(spark, tree, tmp_path, monkeypatch):
+    os.symlink(tree, tmp_path / "link")
+    monkeypatch.chdir(tree)
+    link = str(tmp_path / "link")
+    inside = (tree, tree + "/", tree + "/out", tree + "/sub/../out", "file:" + tree + "/x", "file://" + tree, link, link + "/new/x")
+    for bad in inside:
+        for source in (tree, "file://" + tree + "/", link):
+            with pytest.raises(OutputError):
+                check_target(bad, source, spark)
+    check_target(tree + "-results", tree, spark)
+    check_target(str(tmp_path / "out"), link, spark)
+    check_target("anywhere", None)
+
+
+def test_outputs_are_verified_before_they_are_committed(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(1, "a", {"x": 1}), (2, None, None), (2, None, None)], "i long, s string, m map<string,int>")
+    target = str(tmp_path / "out")
+    assert writer.commit({"one": rows, "none": rows.limit(0)}, target) == {"one": 3, "none": 0}
+    facts = json.loads((tmp_path / "out" / writer.MANIFEST).read_text())
+    assert facts["one"]["rows"] == 3
+    assert {n for n in os.listdir(target) if not n.endswith(".crc")} == {"one", "none", writer.MANIFEST}
+    written = writer.Written(3, int(facts["one"]["checksum"]))
+    assert writer.verify_output(rows, f"{target}/one", written) == 3
+    for changed in (rows.limit(2), rows.withColumn("s", F.lit("a")), rows.withColumn("m", F.when(F.col("i") == 1, F.col("m")).otherwise(F.create_map())), rows.unionByName(rows.limit(1))):
+        path = str(tmp_path / f"changed-{uuid.uuid4().hex}")
+        changed.write.parquet(path)
         with pytest.raises(OutputError):
-            check_target(bad, tree)
-    check_target(tree + "-results", tree)
+            writer.verify_output(rows, path, written)
+    with pytest.raises(OutputError, match="already holds"):
+        writer.commit({"one": rows}, target)
+    monkeypatch.setattr(writer, "verify_output", lambda *a: (_ for _ in ()).throw(OutputError("odd")))
+    with pytest.raises(OutputError, match="odd"):
+        writer.commit({"one": rows.limit(1)}, target, overwrite=True)
+    assert spark.read.parquet(f"{target}/one").count() == 3
+    assert not [n for n in os.listdir(target) if n.startswith("_staging")]
 
 
 def wide_tree(tmp_path):
