@@ -84,4 +84,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     folder = Scratch._open[-1].folder if Scratch._open else f"{scratch_root(spark)}/corpuscope"
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more, before their folder goes."""
+    for table in tables:
+        path = getattr(table, "_scratch_path", None)
+        if path:
+            jvm = table.sparkSession._jvm
+            hadoop = jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
