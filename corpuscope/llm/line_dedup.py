@@ -110,7 +110,8 @@ def dedup_lines(docs: DataFrame, p: Spread = Spread()) -> DataFrame:
     parted = docs.select(
         *[F.split("text", "\n", -1).alias("_parts") if c == "text" else F.col(c) for c in docs.columns]
     )
-    found = parted.join(gone, "doc_id", "left")
+    # The same join at every size: what loses lines grows with the input and is never broadcast.
+    found = parted.join(gone.hint("merge"), "doc_id", "left")
     size, removed = F.coalesce(F.size("_parts"), F.lit(0)), F.coalesce("removed", F.array().cast("array<int>"))
     found = found.withColumns({"lines": F.greatest(size, F.lit(0)), "removed_lines": F.size(removed), "removed": removed})
     bounds = F.concat(F.array(F.lit(-1)), "removed", F.array("lines"))
