@@ -14,7 +14,11 @@ Two documents link when the Jaccard similarity of their sets of word shingles is
 The boundary between light and heavy is the size class at which the cost of both sides
 together is least (Deng, Tao, Li, "Overlap Set Similarity Joins with Theoretical Guarantees",
 2018): a light set costs its keys, a heavy one its list entries and the pairs met in them,
-both counted over all sets.
+both counted over all sets. Nothing else decides, whatever the size.
+
+Keys are made from the texts once and move once, to be sorted by key; what holds the key of
+another set goes on. Keys that a part of the ids, chosen by hash, shows to be held by
+``hot_rows`` sets or more do not move: their holders combine where they are.
 
 Sets that share a key form a bucket. No bucket is expanded into all pairs: each set is
 first compared with the hub of its buckets, the member that shares most keys with others,
@@ -48,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import star_components
-from ..session import Scratch, materialize
+from ..session import Scratch, materialize, release
 from .spans import LOWER, NOT_SPACE, SpanHasher, mix64, text_slices, word_spans
 
 
@@ -63,8 +67,8 @@ class Similarity:
     #: Pairs per set that may be compared in tiles, at some 50 ns each.
     few: int = 4_096
     tile: int = 1_024
-    #: Smaller sets are light whatever the cost.
-    heavy_least: int = 1_024
+    #: Keys of more sets than that are known before keys are moved.
+    hot_rows: int = 1_000_000
 
     def links(self, overlap, union):
         return 100 * overlap >= self.percent * union
@@ -84,9 +88,16 @@ class Similarity:
     def parts(self, low: int, high: int) -> tuple[int, int]:
         """(parts, slack) of the class of sizes low to high - 1."""
         most = 2 * (high - 1) * (100 - self.percent) // (100 + self.percent)
-        slack = 1 if most < 20 else 2
+        slack = 1 if most < 20 else 4
         return most + 1 + slack, slack
 
+    def light_classes(self, bounds: np.ndarray, n: int) -> range:
+        """The classes a light set has keys in: its own, and those of its larger partners."""
+        if n < bounds[0]:
+            return range(0)
+        own, last = np.searchsorted(bounds, [n, self.largest_partner(n)], side="right") - 1
+        return range(int(own), int(last) + 1)
+
 
 class Shingler:
     """Sorted distinct 64-bit shingle hashes of whole texts."""
@@ -122,8 +133,9 @@ def set_digest(grams: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def part_keys(grams: np.ndarray, at: int, low: int, high: int, sim: Similarity) -> np.ndarray:
-    """The light keys of a set in the size class number ``at``."""
+def part_keys(grams: np.ndarray, at: int, low: int, high: int, sim: Similarity) -> tuple[np.ndarray, int]:
+    """The light keys of a set in the size class number ``at``, and how many of them a linked
+    set has as well."""
     parts, slack = sim.parts(low, high)
     mixed = mix64(grams + np.uint64(at + 1))
     part = ((mixed >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
@@ -133,37 +145,51 @@ def part_keys(grams: np.ndarray, at: int, low: int, high: int, sim: Similarity)
     sizes = np.diff(np.append(first, len(grams)))
     sums[sizes == 0] = 0
     keys = mix64(sums + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(at << 40))
-    return keys if (sizes == 0).sum() > slack else keys[sizes > 0]
+    empty = int((sizes == 0).sum())
+    return (keys, slack + 1) if empty > slack else (keys[sizes > 0], slack + 1 - empty)
+
+
+def prefix_keys(grams: np.ndarray, sim: Similarity) -> np.ndarray:
+    """The heavy keys: of two linked sets' shingles of smallest hash one is common."""
+    prefix = len(grams) - -(-sim.percent * len(grams) // 100) + 1
+    return mix64(np.sort(mix64(grams))[:prefix] ^ np.uint64(0xE7037ED1A0B428DB))
+
+
+PROBED = 64  # of so many ids one shows its keys before all are made
 
 
 def sketch_sets(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """doc_id, n, digest (a, b) and the keys of every document: light and, as lists, heavy."""
+    """doc_id, n, digest (a, b), bitmap, number of light keys, a sixteenth of the heavy keys
+    (all entries of the lists kept) and, of some ids, all keys (probe) of every document."""
     bounds = np.array(sim.classes(1 << 40))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(sim.words)
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for grams in shingle(batch.column("text")):
-                n = len(grams)
-                light = heavy = np.empty(0, np.uint64)
-                if n >= bounds[0]:
-                    own = int(np.searchsorted(bounds, n, side="right")) - 1
-                    last = int(np.searchsorted(bounds, sim.largest_partner(n), side="right")) - 1
-                    # the smaller of two sets also enters the class of the larger
-                    light = np.concatenate(
-                        [part_keys(grams, c, int(bounds[c]), int(bounds[c + 1]), sim) for c in range(own, last + 1)]
-                    )
-                    if sim.largest_partner(n) >= sim.heavy_least:
-                        prefix = n - -(-sim.percent * n // 100) + 1
-                        heavy = mix64(np.sort(mix64(grams))[:prefix] ^ np.uint64(0xE7037ED1A0B428DB))
-                for store, value in zip(out, (n, *set_digest(grams), light.view(np.int64), heavy.view(np.int64)), strict=True):
+            out: list[list] = [[] for _ in range(7)]
+            probed = batch.column("probed").to_pylist()
+            for grams, probe in zip(shingle(batch.column("text")), probed, strict=True):
+                n, none = len(grams), np.empty(0, np.uint64)
+                classes = sim.light_classes(bounds, n)
+                heavy = prefix_keys(grams, sim) if classes else none
+                if probe and classes:
+                    light = [part_keys(grams, c, int(bounds[c]), int(bounds[c + 1]), sim)[0] for c in classes]
+                    probe = np.concatenate([*light, heavy])
+                else:
+                    probe = none
+                count = sum(sim.parts(int(bounds[c]), int(bounds[c + 1]))[0] for c in classes)
+                some = heavy[heavy & np.uint64(15) == 0]
+                row = (n, *set_digest(grams), count, some.view(np.int64), probe.view(np.int64), parity_bits(grams) if n else None)
+                for store, value in zip(out, row, strict=True):
                     store.append(value)
-            arrays = [pa.array(x, pa.int64()) for x in out[:3]] + [int_lists(x) for x in out[3:]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n", "a", "b", "light", "heavy"])
+            arrays = [pa.array(x, pa.int64()) for x in out[:4]] + [int_lists(x) for x in out[4:6]] + [pa.array(out[6], pa.binary())]
+            names = ["doc_id", "n", "a", "b", "light", "heavy", "probe", "bits"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names)
 
-    schema = "doc_id long, n long, a long, b long, light array<long>, heavy array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketched, schema)
+    schema = "doc_id long, n long, a long, b long, light long, heavy array<long>, probe array<long>, bits binary"
+    own = F.col("doc_id").cast("long")
+    probed = F.coalesce(F.pmod(F.xxhash64(own), F.lit(PROBED)) == 0, F.lit(False)).alias("probed")
+    return docs.select(own.alias("doc_id"), "text", probed).mapInArrow(sketched, schema)
 
 
 def int_lists(values: list[np.ndarray]) -> pa.Array:
@@ -179,10 +205,10 @@ def boundary(sets: DataFrame, sim: Similarity) -> int:
     size_class = F.lit(0)
     for i, low in enumerate(bounds):
         size_class = F.when(F.col("n") >= low, F.lit(i)).otherwise(size_class)
-    sized = sets.filter(F.col("n") >= bounds[0]).select(size_class.alias("class"), F.size("light").alias("keys"), "heavy")
-    light = {r[0]: r[1] for r in sized.groupBy("class").agg(F.sum("keys")).collect()}
+    sized = sets.filter(F.col("n") >= bounds[0]).select(size_class.alias("class"), "light", "heavy")
+    light = {r[0]: r[1] for r in sized.groupBy("class").agg(F.sum("light")).collect()}
     # List lengths from the keys of one in 16 lists, all entries of each of these lists.
-    lists = sized.select("class", F.explode(F.filter("heavy", lambda k: k.bitwiseAND(F.lit(15)) == 0)).alias("key"))
+    lists = sized.select("class", F.explode("heavy").alias("key"))
     lengths = lists.groupBy("class", "key").agg(F.count(F.lit(1)).cast("double").alias("entries"))
     cost = F.sum(F.col("entries") + F.col("entries") * (F.col("entries") - 1) / 2 * sim.pair_cost)
     heavy = {r[0]: 16 * r[1] for r in lengths.groupBy("class").agg(cost).collect()}
@@ -190,21 +216,96 @@ def boundary(sets: DataFrame, sim: Similarity) -> int:
         sum(light.get(c, 0) for c in range(x)) + sum(heavy.get(c, 0) for c in range(x, len(bounds)))
         for x in range(len(bounds) + 1)
     ]
-    open_ = [x for x in range(len(totals)) if x == len(bounds) or bounds[x] >= sim.heavy_least]
-    best = min(open_, key=lambda x: (totals[x], -x))  # light if equal
+    best = min(range(len(totals)), key=lambda x: (totals[x], -x))  # light if equal
     return bounds[best] if best < len(bounds) else 1 << 62
 
 
-def shared_keys(sets: DataFrame, heavy_from: int, sim: Similarity) -> DataFrame:
-    """(key, id, n, c): the keys that c > 1 sets hold, with their holders."""
-    n = F.col("n")
-    none = F.array().cast("array<long>")
-    # A light set that may link to a heavy one has entries in the lists as well.
-    listed = F.floor(n * 100 / sim.percent) >= heavy_from
-    keys = F.concat(F.when(n < heavy_from, F.col("light")).otherwise(none), F.when(listed, F.col("heavy")).otherwise(none))
-    rows = sets.select(F.explode(keys).alias("key"), "id", n.cast("int").alias("n"))
-    common = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1)
-    return rows.join(common, "key")
+def key_rows(docs: DataFrame, heavy_from: int, sim: Similarity) -> DataFrame:
+    """(key, a, id, n, class, need): every key of every set; ``need`` of its keys of that
+    class a set shares with each set it links to. Heavy keys are class -1."""
+    bounds = np.array(sim.classes(1 << 40))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(sim.words)
+        for batch in batches:
+            keys, rows = [], []
+            for doc_id, grams in zip(batch.column("id").to_pylist(), shingle(batch.column("text")), strict=True):
+                n = len(grams)
+                found = []
+                if n < heavy_from:
+                    classes = sim.light_classes(bounds, n)
+                    found = [(*part_keys(grams, c, int(bounds[c]), int(bounds[c + 1]), sim), c) for c in classes]
+                # A light set that may link to a heavy one has entries in the lists as well.
+                if n >= bounds[0] and sim.largest_partner(n) >= heavy_from:
+                    found.append((prefix_keys(grams, sim), 1, -1))
+                digest = set_digest(grams)[0] if found else 0
+                for own, need, c in found:
+                    keys.append(own)
+                    rows.append((digest, doc_id, n, c, need))
+            sizes = [len(k) for k in keys]
+            columns = np.repeat(np.array(rows, dtype=np.int64).reshape(-1, 5), sizes, axis=0).T
+            key = np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64)
+            types = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()
+            arrays = [pa.array(key)] + [pa.array(x.astype(t.to_pandas_dtype())) for x, t in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "a", "id", "n", "class", "need"])
+
+    named = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(F.col("id").isNotNull())
+    return named.mapInArrow(made, "key long, a long, id long, n int, class int, need int")
+
+
+def several_holders(rows: DataFrame) -> DataFrame:
+    """The rows whose key several sets hold, one per key and set: that of the smallest id.
+
+    Rows come sorted by key, set and id and stream through; of a key's sets only the first
+    waits for a second."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key = last_set = waiting = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, own = (np.asarray(batch.column(c)) for c in ("key", "a"))
+            new_key = np.r_[last_key is None or key[0] != last_key, key[1:] != key[:-1]]
+            new_set = new_key | np.r_[last_set is None or own[0] != last_set, own[1:] != own[:-1]]
+            at = np.flatnonzero(new_set)  # the first row of every set of a key
+            heads = np.flatnonzero(new_key[at])
+            second = np.zeros(len(at) + 1, dtype=bool)
+            second[:-1] = ~new_key[at]
+            keep = second[:-1] | (new_key[at] & second[1:])
+            out = [batch.take(pa.array(at[keep]))]
+            if len(at) and second[0] and waiting is not None:
+                out.insert(0, waiting)
+            # The last set's row waits if its key has no other set so far.
+            if len(at):
+                waiting = batch.slice(int(at[-1]), 1) if len(heads) and heads[-1] == len(at) - 1 else None
+            last_key, last_set = key[-1], own[-1]
+            yield from (b for b in out if b.num_rows)
+
+    return rows.mapInArrow(kept, rows.schema)
+
+
+def shared_keys(docs: DataFrame, sets: DataFrame, heavy_from: int, sim: Similarity) -> DataFrame:
+    """(key, id, n, c): the keys that c > 1 sets hold, with their holders, of the sets that
+    share enough keys for a link."""
+    probe = sets.select(F.explode("probe").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("k"))
+    # At most rows / hot_rows keys, give or take what the choice of ids does.
+    hot = materialize(probe.filter(F.col("k") >= max(1, sim.hot_rows // PROBED)).select("key", F.lit(True).alias("hot")), "hot")
+    rows = key_rows(docs, heavy_from, sim)
+    if hot.isEmpty():
+        moved = several_holders(rows.repartition("key").sortWithinPartitions("key", "a", "id"))
+    else:
+        marked = rows.join(F.broadcast(hot), "key", "left")
+        cold = marked.filter(F.col("hot").isNull()).drop("hot")
+        cold = several_holders(cold.repartition("key").sortWithinPartitions("key", "a", "id"))
+        own = [F.min("id").alias("id"), *[F.max(c).alias(c) for c in ("n", "class", "need")]]
+        moved = cold.unionByName(marked.filter("hot").groupBy("key", "a").agg(*own))
+    shared = materialize(moved.drop("a"), "keys")
+    enough = shared.groupBy("id", "class").agg(F.count(F.lit(1)).alias("k"), F.max("need").alias("need"))
+    enough = materialize(enough.filter(F.col("k") >= F.col("need")).select("id", "class"), "enough")
+    rest = materialize(shared.join(enough, ["id", "class"], "left_semi").select("key", "id", "n"), "rest")
+    release(shared)
+    common = rest.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1)
+    return rest.join(common, "key")
 
 
 def similar_sizes(a: Column, b: Column, sim: Similarity) -> Column:
@@ -232,16 +333,24 @@ def parity_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def pairs_with(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """``pairs`` (id, other) with the column of both sets as x and y, and their sizes n, m."""
-    left = sets.select("id", F.col(column).alias("x"), "n")
-    right = sets.select(F.col("id").alias("other"), F.col(column).alias("y"), F.col("n").alias("m"))
+def pairs_with(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` (id, other) with the first column of both sets as x and y, a second as n, m."""
+    left = sets.select("id", *[F.col(c).alias(x) for c, x in zip(columns, "xn")])
+    right = sets.select(F.col("id").alias("other"), *[F.col(c).alias(y) for c, y in zip(columns, "ym")])
     return pairs.select("id", "other").join(left, "id").join(right, "other")
 
 
-def linked_pairs(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
-    """The pairs (id, other) that link, by bitmaps and then by whole sets; ``sets`` has
-    id, n, bits, text."""
+@dataclass(frozen=True)
+class Held:
+    """What pairs are compared by: marks (id, n, bits) and texts (id, text), a row of each for
+    every set of an id."""
+
+    marks: DataFrame
+    texts: DataFrame
+
+
+def linked_pairs(pairs: DataFrame, held: Held, sim: Similarity) -> DataFrame:
+    """The pairs (id, other) that link, by bitmaps and then by whole sets."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,11 +361,11 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFram
             yield batch.select(["id", "other"]).filter(pa.array(keep))
 
     schema = "id long, other long"
-    likely = materialize(pairs_with(pairs, sets, "bits").mapInArrow(near, schema), "likely")
-    return exact_pairs(likely, sets, sim)
+    likely = materialize(pairs_with(pairs, held.marks, "bits", "n").mapInArrow(near, schema), "likely")
+    return exact_pairs(likely, held.texts, sim)
 
 
-def exact_pairs(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
+def exact_pairs(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
     """The pairs (id, other) that link, by their whole sets, made anew from the texts: a
     text in a shuffle takes about a third of the bytes of its shingle hashes."""
 
@@ -269,7 +378,7 @@ def exact_pairs(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame
                 keep[i] = sim.links(overlap, len(x) + len(y) - overlap)
             yield batch.select(["id", "other"]).filter(pa.array(keep))
 
-    return pairs_with(pairs, sets, "text").mapInArrow(equal, "id long, other long")
+    return pairs_with(pairs, texts, "text").mapInArrow(equal, "id long, other long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -278,7 +387,7 @@ def components(edges: DataFrame) -> DataFrame:
     return star_components(ordered.filter("lo < hi")).select(F.col("hi").alias("id"), F.col("lo").alias("component"))
 
 
-def connect(buckets: DataFrame, held: DataFrame, sim: Similarity) -> DataFrame:
+def connect(buckets: DataFrame, held: Held, sim: Similarity) -> DataFrame:
     """Edges (id, other) that connect all sets linked in the buckets (key, id, n, c)."""
     spark = buckets.sparkSession
     popularity = materialize(buckets.groupBy("id").agg(F.sum("c").alias("weight")), "popularity")
@@ -303,7 +412,7 @@ def connect(buckets: DataFrame, held: DataFrame, sim: Similarity) -> DataFrame:
         if not turn:  # first, every set meets only the hub it shares most keys with
             best = pairs.groupBy("id").agg(F.max(F.struct("shared", (-F.col("other")).alias("minus"))).alias("b"))
             pairs = best.select("id", (-F.col("b.minus")).alias("other"))
-        edges = materialize(edges.unionByName(linked_pairs(pairs, held, sim)), "edges")
+        before, edges = edges, materialize(edges.unionByName(linked_pairs(pairs, held, sim)), "edges")
         label = components(edges)
         # Later rounds have compared every member with the hub of its bucket, which leaves it.
         rest = current.join(hubs, "key").filter(F.col("id") != F.col("other")) if turn else current
@@ -311,9 +420,10 @@ def connect(buckets: DataFrame, held: DataFrame, sim: Similarity) -> DataFrame:
         rest = materialize(rest.withColumn("component", F.coalesce("component", "id")), "rest")
         mixed = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
         mixed = mixed.filter(F.col("x") != F.col("y")).select("key")
-        current = materialize(rest.join(mixed, "key", "left_semi"), "buckets")
-    pairs = materialize(pairs_in_tiles(current, held, sim).distinct(), "pairs")
-    return edges.unionByName(exact_pairs(pairs, held, sim))
+        last, current = current, materialize(rest.join(mixed, "key", "left_semi"), "buckets")
+        release(before, hubs, rest, last)
+    pairs = materialize(pairs_in_tiles(current, held.marks, sim).distinct(), "pairs")
+    return edges.unionByName(exact_pairs(pairs, held.texts, sim))
 
 
 def tiled_rows(buckets: DataFrame, sim: Similarity) -> DataFrame:
@@ -404,24 +514,28 @@ def components_of(docs: DataFrame, sim: Similarity) -> DataFrame:
     # Nodes are distinct sets, named by the smallest id that holds them.
     nodes = materialize(some.groupBy("a", "b").agg(F.min("doc_id").alias("id")), "nodes")
     holders = some.filter(F.col("n") >= sim.classes(0)[0]).withColumnRenamed("doc_id", "id")
-    holders = materialize(holders.join(nodes, ["id", "a", "b"], "left_semi"), "holders")
-    buckets = materialize(shared_keys(holders, boundary(holders, sim), sim), "shared")
-    wanted = buckets.select("id").distinct().join(holders.select("id", "a", "b"), "id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(materialize(wanted, "wanted"), "id")
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    holders = holders.join(nodes, ["id", "a", "b"], "left_semi")
+    # Keys are those of all rows, copies included; what several sets share names nodes only.
+    buckets = shared_keys(docs, holders, boundary(holders, sim), sim).join(nodes.select("id"), "id", "left_semi")
+    buckets = materialize(buckets, "shared")
+    marks = holders.join(buckets.select("id").distinct(), "id", "left_semi")
+    marks = materialize(marks.groupBy("id", "n", "a", "b").agg(F.first("bits").alias("bits")), "marks")
+    # The same join at every size: wanted ids grow with the input, so they are never broadcast.
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = texts.join(marks.select("id", "a", "b").hint("merge"), "id")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Only the text whose set is the node's; ids may repeat with other texts."""
         shingle = Shingler(sim.words)
         for batch in batches:
             digests = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)
-            found = [g if set_digest(g) == d else None for g, d in zip(shingle(batch.column("text")), digests, strict=True)]
-            sizes = pa.array([0 if g is None else len(g) for g in found], pa.int64())
-            bits = pa.array([None if g is None else parity_bits(g) for g in found], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), sizes, bits, batch.column("text")], ["id", "n", "bits", "text"]
-            )
+            keep = [set_digest(g) == d for g, d in zip(shingle(batch.column("text")), digests, strict=True)]
+            yield batch.select(["id", "a", "b", "text"]).filter(pa.array(keep, pa.bool_()))
 
-    held = texts.mapInArrow(listed, "id long, n long, bits binary, text string").filter(F.col("n") > 0)
-    links = connect(buckets, materialize(held, "texts"), sim).unionByName(same_ids(some, nodes))
+    texts = texts.select("id", "a", "b", "text").mapInArrow(own, "id long, a long, b long, text string")
+    texts = texts.groupBy("id", "a", "b").agg(F.first("text").alias("text"))  # repeated rows count once
+    held = Held(marks, materialize(texts, "texts"))
+    links = connect(buckets, held, sim).unionByName(same_ids(some, nodes))
     label = materialize(components(materialize(links, "links")), "components")
     return result_rows(sets, nodes, label)
 

@@ -144,7 +144,7 @@ def test_components_equal_all_pairs(spark, k, percent, seed):
 @pytest.mark.parametrize("cost", [0.0, 1e9])
 def test_heavy_and_light_sides_agree(spark, cost):
     rows = near_copies(5, groups=14, copies=6)
-    sim = ngram_join.Similarity(heavy_least=12, pair_cost=cost, few=0)
+    sim = ngram_join.Similarity(pair_cost=cost, few=0)
     got = ngram_join.ngram_components(table(spark, rows), sim).collect()
     assert sorted(map(tuple, got)) == brute_components(rows, 3, 90)
 
@@ -264,3 +264,32 @@ def test_parity_distance_never_exceeds_the_difference():
         a, b = np.unique(a), np.unique(b)
         distance = ngram_join.parity_distance(ngram_join.parity_bits(a), ngram_join.parity_bits(b))
         assert distance <= len(np.setxor1d(a, b))
+
+
+def test_hot_keys_are_combined_where_they_are(spark):
+    """A third of all rows near copies of one text, some of them exact, and small groups."""
+    base = prose(50, 90).split()
+    rows = [" ".join(base[: i % 40] + [f"x{i % 40}"] + base[i % 40 + 1 :]) for i in range(120)]
+    rows = list(enumerate(rows + [t for _, t in near_copies(9, groups=6, copies=5)]))
+    want = brute_components(rows, 3, 90)
+    for hot_rows in (64, 1_000_000):
+        got = ngram_join.ngram_components(table(spark, rows), ngram_join.Similarity(hot_rows=hot_rows)).collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_keys_of_one_set_only_go(spark):
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(60), rng.randrange(4), rng.randrange(50)) for _ in range(300))
+    data = [(k, a, i, 9, 0, 1) for k, a, i in rows]
+    table_ = spark.createDataFrame(data, "key long, a long, id long, n int, class int, need int")
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = ngram_join.several_holders(table_.coalesce(1).sortWithinPartitions("key", "a", "id")).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        first = {}
+        for k, a, i in rows:
+            first.setdefault(k, {}).setdefault(a, i)
+        want = sorted((k, a, i) for k, own in first.items() if len(own) > 1 for a, i in own.items())
+        assert sorted((r.key, r.a, r.id) for r in got) == want
