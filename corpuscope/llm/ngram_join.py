@@ -25,8 +25,9 @@ first compared with the hub of its buckets, the member that shares most keys wit
 and linked sets become one component. Only buckets that still hold several components are
 looked at again, against a new hub, until the pairs across components that remain are
 fewer than ``few`` times the sets in buckets, so that the work stays in proportion to the
-input; these are then compared tile by tile of at most ``tile`` x ``tile`` sets. Every
-candidate pair is thus compared, or its two sets are already known to be connected.
+input; these are then listed tile by tile of at most ``tile`` x ``tile`` sets, and those that
+have too few keys in common fall out. Every candidate pair is thus compared, or its two
+sets are already known to be connected.
 
 A pair is compared in two steps. Each set has a bitmap of 2 to 4 bits per shingle, in which a
 shingle flips one bit; two bitmaps differ in no more bits than the sets in shingles, so a pair
@@ -64,8 +65,8 @@ class Similarity:
     step: float = 1.5
     #: Cost of a pair met in an inverted list, in units of a key written and read.
     pair_cost: float = 4.0
-    #: Pairs per set that may be compared in tiles, at some 50 ns each.
-    few: int = 4_096
+    #: Pairs per set that may be listed in tiles, at some 10 bytes each.
+    few: int = 512
     tile: int = 1_024
     #: Keys of more sets than that are known before keys are moved.
     hot_rows: int = 1_000_000
@@ -88,7 +89,7 @@ class Similarity:
     def parts(self, low: int, high: int) -> tuple[int, int]:
         """(parts, slack) of the class of sizes low to high - 1."""
         most = 2 * (high - 1) * (100 - self.percent) // (100 + self.percent)
-        slack = 1 if most < 20 else 4
+        slack = 1 if most < 20 else max(4, most // 8)
         return most + 1 + slack, slack
 
     def light_classes(self, bounds: np.ndarray, n: int) -> range:
@@ -146,7 +147,8 @@ def part_keys(grams: np.ndarray, at: int, low: int, high: int, sim: Similarity)
     sums[sizes == 0] = 0
     keys = mix64(sums + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(at << 40))
     empty = int((sizes == 0).sum())
-    return (keys, slack + 1) if empty > slack else (keys[sizes > 0], slack + 1 - empty)
+    # With more empty parts than slack all keys count; a partner with fewer leaves its empty ones out.
+    return (keys, 1) if empty > slack else (keys[sizes > 0], slack + 1 - empty)
 
 
 def prefix_keys(grams: np.ndarray, sim: Similarity) -> np.ndarray:
@@ -285,8 +287,8 @@ def several_holders(rows: DataFrame) -> DataFrame:
 
 
 def shared_keys(docs: DataFrame, sets: DataFrame, heavy_from: int, sim: Similarity) -> DataFrame:
-    """(key, id, n, c): the keys that c > 1 sets hold, with their holders, of the sets that
-    share enough keys for a link."""
+    """(key, id, n, class, need, c): the keys that c > 1 sets hold, with their holders, of the
+    sets that share enough keys for a link."""
     probe = sets.select(F.explode("probe").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("k"))
     # At most rows / hot_rows keys, give or take what the choice of ids does.
     hot = materialize(probe.filter(F.col("k") >= max(1, sim.hot_rows // PROBED)).select("key", F.lit(True).alias("hot")), "hot")
@@ -299,13 +301,22 @@ def shared_keys(docs: DataFrame, sets: DataFrame, heavy_from: int, sim: Similari
         cold = several_holders(cold.repartition("key").sortWithinPartitions("key", "a", "id"))
         own = [F.min("id").alias("id"), *[F.max(c).alias(c) for c in ("n", "class", "need")]]
         moved = cold.unionByName(marked.filter("hot").groupBy("key", "a").agg(*own))
-    shared = materialize(moved.drop("a"), "keys")
-    enough = shared.groupBy("id", "class").agg(F.count(F.lit(1)).alias("k"), F.max("need").alias("need"))
-    enough = materialize(enough.filter(F.col("k") >= F.col("need")).select("id", "class"), "enough")
-    rest = materialize(shared.join(enough, ["id", "class"], "left_semi").select("key", "id", "n"), "rest")
-    release(shared)
-    common = rest.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1)
-    return rest.join(common, "key")
+    return several_sets(enough_keys(materialize(moved.drop("a"), "keys")))
+
+
+def enough_keys(buckets: DataFrame) -> DataFrame:
+    """The rows of (key, id, n, class, need) of the sets that have ``need`` of them in a class:
+    with fewer a set links to no other of these."""
+    counted = buckets.groupBy("id", "class").agg(F.count(F.lit(1)).alias("k"), F.max("need").alias("most"))
+    enough = counted.filter(F.col("k") >= F.col("most")).select("id", "class")
+    return buckets.join(enough, ["id", "class"], "left_semi").select(*buckets.columns)
+
+
+def several_sets(buckets: DataFrame) -> DataFrame:
+    """The rows of keys that c > 1 sets hold, with that number."""
+    rows = materialize(buckets, "rest")
+    common = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1)
+    return rows.join(common, "key")
 
 
 def similar_sizes(a: Column, b: Column, sim: Similarity) -> Column:
@@ -388,7 +399,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def connect(buckets: DataFrame, held: Held, sim: Similarity) -> DataFrame:
-    """Edges (id, other) that connect all sets linked in the buckets (key, id, n, c)."""
+    """Edges (id, other) that connect all sets linked in the buckets (key, id, n, class, need, c)."""
     spark = buckets.sparkSession
     popularity = materialize(buckets.groupBy("id").agg(F.sum("c").alias("weight")), "popularity")
     current = materialize(buckets.join(popularity, "id"), "buckets").withColumn("component", F.col("id"))
@@ -418,12 +429,16 @@ def connect(buckets: DataFrame, held: Held, sim: Similarity) -> DataFrame:
         rest = current.join(hubs, "key").filter(F.col("id") != F.col("other")) if turn else current
         rest = rest.drop("component", "other", "hub_n", "hub_component").join(label, "id", "left")
         rest = materialize(rest.withColumn("component", F.coalesce("component", "id")), "rest")
-        mixed = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        mixed = mixed.filter(F.col("x") != F.col("y")).select("key")
-        last, current = current, materialize(rest.join(mixed, "key", "left_semi"), "buckets")
+        # Sets that still link to another component share all keys that takes in mixed buckets.
+        last, current = current, materialize(mixed_buckets(enough_keys(mixed_buckets(rest))), "buckets")
         release(before, hubs, rest, last)
-    pairs = materialize(pairs_in_tiles(current, held.marks, sim).distinct(), "pairs")
-    return edges.unionByName(exact_pairs(pairs, held.texts, sim))
+    return edges.unionByName(linked_pairs(materialize(pairs_in_tiles(current, sim), "pairs"), held, sim))
+
+
+def mixed_buckets(buckets: DataFrame) -> DataFrame:
+    """The rows of the keys that several components hold."""
+    mixed = buckets.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    return buckets.join(mixed.filter(F.col("x") != F.col("y")).select("key"), "key", "left_semi")
 
 
 def tiled_rows(buckets: DataFrame, sim: Similarity) -> DataFrame:
@@ -434,26 +449,27 @@ def tiled_rows(buckets: DataFrame, sim: Similarity) -> DataFrame:
     the pairs across components."""
     parts = buckets.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
     parts = parts.groupBy("key").agg(F.sum("k").alias("all"), F.max(F.struct("k", "component")).alias("top"))
-    rows = buckets.select("key", "id", "n", "component").join(parts, "key").filter(F.col("all") > F.col("top.k"))
+    own = [c for c in ("class", "need") if c in buckets.columns]
+    rows = buckets.select("key", "id", "n", "component", *own).join(parts, "key").filter(F.col("all") > F.col("top.k"))
     large = F.col("all") > sim.tile
     main = large & (F.col("component") == F.col("top.component"))
     others = F.when(large, F.ceil((F.col("all") - F.col("top.k")) / sim.tile)).otherwise(1).cast("int")
     mains = F.when(large, F.ceil(F.col("top.k") / sim.tile)).otherwise(0).cast("int")
-    rows = rows.select("key", "id", "n", "component", main.alias("main"), others.alias("others"), mains.alias("mains"))
+    rows = rows.select("key", "id", "n", "component", *own, main.alias("main"), others.alias("others"), mains.alias("mains"))
     number = F.xxhash64("id")
     block = F.when(F.col("main"), F.col("others") + F.pmod(number, F.col("mains"))).otherwise(F.pmod(number, F.col("others")))
     last = F.when(F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
     rows = rows.withColumn("block", block.cast("int")).withColumn("facing", F.explode(F.sequence(F.lit(0), last)))
     tile = [F.least("block", "facing").alias("low"), F.greatest("block", "facing").alias("high")]
-    return rows.select("key", "id", "n", "component", "block", *tile)
+    return rows.select("key", "id", "n", "component", *own, "block", *tile)
 
 
-def pairs_in_tiles(buckets: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
-    """The pairs (id, other) of one bucket and two components that sizes and bitmaps allow.
+def pairs_in_tiles(buckets: DataFrame, sim: Similarity) -> DataFrame:
+    """The pairs (id, other) of two components that share enough keys and that sizes allow.
 
-    A bucket above ``tile`` rows is dealt into blocks, and pairs of blocks are tiles."""
-    rows = tiled_rows(buckets, sim).join(sets.select("id", "bits"), "id")
-    rows = rows.select("key", "low", "high", "block", "id", "n", "component", "bits")
+    A bucket above ``tile`` rows is dealt into blocks, and pairs of blocks are tiles. A pair
+    comes from every bucket that holds both, so the times it comes are its common keys."""
+    rows = tiled_rows(buckets, sim).select("key", "low", "high", "block", "id", "n", "component", "class", "need")
     rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,33 +484,32 @@ def pairs_in_tiles(buckets: DataFrame, sets: DataFrame, sim: Similarity) -> Data
             yield from compared(held, np.array([0, held.num_rows]))
 
     def compared(table: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
-        low, block, ids, sizes, parts = (
-            np.asarray(table.column(c)) for c in ("low", "block", "id", "n", "component")
+        low, block, ids, sizes, parts, kinds, needs = (
+            np.asarray(table.column(c)) for c in ("low", "block", "id", "n", "component", "class", "need")
         )
-        bits, found = table.column("bits"), []
+        found = []
         for start, end in zip(first[:-1], first[1:], strict=True):
             at = np.arange(start, end)
             if len(np.unique(parts[at])) < 2:
                 continue
-            maps = folded([bits[int(i)].as_py() for i in at])
             same = block[at] == low[at]
             one, two = np.flatnonzero(same), np.flatnonzero(~same)
             for k, i in enumerate(one):
                 j = two if len(two) else one[k + 1 :]
                 n, m = sizes[at[i]], sizes[at[j]]
                 ok = (parts[at[i]] != parts[at[j]]) & (100 * np.minimum(n, m) >= sim.percent * np.maximum(n, m))
-                j, m = j[ok], m[ok]
+                j = j[ok]
                 if len(j):
-                    apart = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64)
-                    j = j[apart <= (n + m) * (100 - sim.percent) // (100 + sim.percent)]
-                    found.append(np.stack([np.full(len(j), ids[at[i]]), ids[at[j]]]))
+                    same_key = np.full((2, len(j)), [[ids[at[i]]], [kinds[at[i]]]], dtype=np.int64)
+                    found.append(np.stack([*same_key, ids[at[j]], np.maximum(needs[at[i]], needs[at[j]])]))
         if found:
-            left, right = np.concatenate(found, axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["id", "other"]
-            )
+            left, kind, right, need = np.concatenate(found, axis=1)
+            arrays = [np.minimum(left, right), np.maximum(left, right), kind, need]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["id", "other", "class", "need"])
 
-    return rows.mapInArrow(compare, "id long, other long")
+    met = rows.mapInArrow(compare, "id long, other long, class long, need long").groupBy("id", "other", "class")
+    met = met.agg(F.count(F.lit(1)).alias("k"), F.max("need").alias("need")).filter(F.col("k") >= F.col("need"))
+    return met.select("id", "other").distinct()
 
 
 def ngram_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
