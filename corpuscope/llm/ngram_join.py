@@ -66,7 +66,7 @@ class Similarity:
     #: Cost of a pair met in an inverted list, in units of a key written and read.
     pair_cost: float = 4.0
     #: Pairs per set that may be listed in tiles, at some 10 bytes each.
-    few: int = 512
+    few: int = 2_048
     tile: int = 1_024
     #: Keys of more sets than that are known before keys are moved.
     hot_rows: int = 1_000_000
