@@ -113,7 +113,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_url_rules")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     pages = read_table(spark, folder, "pages").select("page_id", "url")
-    return url_rules.judge_urls(pages, read_table(spark, folder, "labels"), SITE_RULES)
+    # The number in a page's path is the id of the document, and so of the label.
+    key = url_rules.path_number(F.col("url"))
+    return url_rules.judge_urls(pages, read_table(spark, folder, "labels"), SITE_RULES, label_key=key)
 
 
 @query("op7_best_fit")

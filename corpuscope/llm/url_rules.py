@@ -1,19 +1,23 @@
 """URL filters: given site rules, then association rules mined from labelled URLs.
 
 A URL is a set of tokens: its host suffixes, path parts with digits folded, the words of
-its query and fragment. Association rules from token sets to a label are mined level by
-level, sets of one token first. A rule needs ``least_pages`` labelled pages that bear it out,
-a count that does not rise with the table, and the confidence; rules are pruned to those
-that no shorter rule with at least their confidence covers. That leaves sets unextended
-whose pages all bear one label or are the pages of a smaller set, so tokens that always occur
-together (the suffixes of a host) do not multiply. Rules match
-through an inverted index: (token, rule, length of the rule); a rule fires when all its
-tokens are found. The firing rule with the highest confidence, then support, then fewest
-tokens gives the verdict, ``allow`` if none fires.
-
-Everything is column expressions, joins and aggregates. URLs with the same token set are
-counted and decided once. The index is broadcast up to ``index_rows``; above, a shuffled
-join takes over.
+its query and fragment. Spark's FP-growth mines the frequent combinations of tokens and
+the label, which is one more item of the basket. A rule needs ``least_pages`` labelled
+pages that bear it out, a count that does not rise with the table, and the confidence;
+rules are pruned to those that no shorter rule with at least their confidence covers.
+
+What such pruning would remove anyway is kept from FP-growth: tokens that stand on the
+same pages (the suffixes of a host) are one item, and items whose pages all bear one
+label, or that every page holds, are rules by themselves and in no combination. Items on
+nearly, but not quite, the same pages still combine.
+
+Rules match through an inverted index on the rarest item of each; the others are verified.
+The firing rule with the highest confidence, then support, then fewest items gives the
+verdict, ``allow`` if none fires.
+
+Everything is column expressions, joins, aggregates and Spark's FP-growth. URLs with the
+same token set are decided once. The index is broadcast up to ``index_rows``; above, a
+shuffled join takes over.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, no rule and
 is decided by its tokens (none: allow). Rows repeat in the output as in the input; labels
@@ -22,8 +26,10 @@ ignored."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +47,9 @@ class Mining:
     index_rows: int = 100_000
 
 
+#: The label as an item of a basket, and the verdict; tokens have a colon and never equal it.
+BLOCK, ALLOW = "block", "allow"
+
 
 def host_of(url: Column) -> Column:
     rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
@@ -51,6 +60,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def path_number(url: Column) -> Column:
+    """The first number of the path, null without one or beyond a long."""
+    return F.regexp_extract(path_of(url), r"([0-9]+)", 1).try_cast("long")
+
+
 def suffixes(host: Column) -> Column:
     """a.b.c, b.c and c of host a.b.c."""
     labels = F.split(host, r"\.")
@@ -92,118 +106,152 @@ def site_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple
     return rule, verdict
 
 
-def frequent_sets(held: DataFrame, least: float) -> DataFrame:
-    """(first, last, n, bad) of the token sets in ``held`` with ``least`` pages of one label;
-    a set is its tokens in order, ``first`` without ``last``."""
-    sets = held.groupBy("first", "last").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    return sets.filter(F.greatest("bad", F.col("n") - F.col("bad")) >= least)
+def token_items(usable: DataFrame, least: float) -> DataFrame:
+    """(token, item, n, bad) of the tokens that ``least`` pages of one label hold.
 
+    ``item`` is the smallest of the tokens that stand on the very same pages, told by two
+    64-bit digests of the page numbers beside the two counts."""
+    held = usable.select("page", "blocked", F.explode(F.array_distinct("tokens")).alias("token"))
+    counts = held.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("blocked").cast("long")).alias("bad"),
+        F.bit_xor(F.xxhash64("page")).alias("one"),
+        F.bit_xor(F.xxhash64(F.lit("again"), "page")).alias("two"),
+    )
+    counts = materialize(counts.filter(F.greatest("bad", F.col("n") - F.col("bad")) >= least), "token-counts")
+    pages = ["n", "bad", "one", "two"]
+    firsts = counts.groupBy(*pages).agg(F.min("token").alias("item"))
+    return materialize(counts.join(firsts, pages).select("token", "item", "n", "bad"), "token-items")
+
+
+def frequent_sets(usable: DataFrame, items: DataFrame, pages: int, least: float) -> DataFrame:
+    """(items, verdict, hits, n) of the combinations of two items or more that ``least``
+    pages of the verdict hold, by FP-growth over baskets of items and the label."""
+    # An item of one label, or on all pages, is a rule of its own that covers all it is part of.
+    open_ = items.filter((F.col("bad") > 0) & (F.col("bad") < F.col("n")) & (F.col("n") < pages))
+    held = usable.select("page", "blocked", F.explode("tokens").alias("token")).join(open_.select("token", "item"), "token")
+    label = F.when(F.col("blocked"), BLOCK).otherwise(ALLOW)
+    baskets = held.groupBy("page", "blocked").agg(F.collect_set("item").alias("items"))
+    baskets = materialize(baskets.select(F.array_append("items", label).alias("items")), "baskets")
+    # Half a page below the count, so that no rounding of the share asks for one page more.
+    share = (math.ceil(least) - 0.5) / max(baskets.count(), 1)
+    if share > 1:
+        schema = "items array<string>, verdict string, hits long, n long"
+        return usable.sparkSession.createDataFrame([], schema)
+    found = FPGrowth(itemsCol="items", minSupport=max(share, 0.0)).fit(baskets).freqItemsets
+    labels = F.array(F.lit(BLOCK), F.lit(ALLOW))
+    sets = found.select(
+        F.array_sort(F.array_except("items", labels)).alias("items"),
+        F.array_join(F.array_intersect("items", labels), "").alias("verdict"),
+        "freq",
+    )
+    sets = materialize(sets.filter(F.size("items") > 1), "item-sets")
+    whole = sets.filter(F.col("verdict") == "").select("items", F.col("freq").alias("n"))
+    marked = sets.filter(F.col("verdict") != "").withColumnRenamed("freq", "hits")
+    return marked.join(whole, "items").select("items", "verdict", "hits", "n")
 
-def extendable(sets: DataFrame, smaller: DataFrame | None) -> DataFrame:
-    """The sets whose extensions can be rules that no shorter one covers: pages of both
-    labels, and fewer of them than every set with one token less, each itself extendable."""
-    sets = sets.filter((F.col("bad") > 0) & (F.col("bad") < F.col("n")))
-    if smaller is None:
-        return sets
-    tokens = F.array_append("first", F.col("last"))
-    parts = sets.select("first", "last", "n", F.explode(tokens).alias("out"))
-    parts = parts.withColumn("tokens", F.array_except(tokens, F.array("out")))
-    known = smaller.select(F.array_append("first", F.col("last")).alias("tokens"), F.col("n").alias("m"))
-    good = parts.join(known, "tokens").filter(F.col("n") < F.col("m")).groupBy("first", "last")
-    good = good.agg(F.count(F.lit(1)).alias("parts")).filter(F.col("parts") == F.size("first") + 1)
-    return sets.join(good, ["first", "last"], "left_semi")
 
+def keyed(rules: DataFrame, items: DataFrame) -> DataFrame:
+    """``rules`` with ``key``, the item of each that the fewest pages hold: what is looked up
+    in the index, so that a common item leads to the rules that have no rarer one only."""
+    sizes = items.filter(F.col("token") == F.col("item")).select("item", F.col("n").alias("pages"))
+    parts = rules.select("items", "verdict", F.explode("items").alias("item")).join(sizes, "item")
+    keys = parts.groupBy("items", "verdict").agg(F.min(F.struct("pages", "item"))["item"].alias("key"))
+    return rules.join(keys, ["items", "verdict"])
 
-def mine(labelled: DataFrame, p: Mining = Mining()) -> DataFrame:
-    """(tokens, verdict, confidence, support) of the kept rules; ``labelled`` has tokens, blocked."""
-    bad = F.sum(F.col("blocked").cast("long")).alias("bad")
+
+def mine_items(labelled: DataFrame, p: Mining = Mining()) -> tuple[DataFrame, DataFrame]:
+    """(items, verdict, confidence, support, key) of the kept rules, and (token, item, n, bad)
+    of the tokens; ``labelled`` has tokens, blocked."""
     usable = labelled.filter(F.col("blocked").isNotNull() & F.col("tokens").isNotNull())
-    baskets = usable.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), bad)
-    baskets = materialize(baskets.withColumn("basket", F.monotonically_increasing_id()), "baskets")
-    pages = baskets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    held = baskets.select("basket", "n", "bad", F.explode("tokens").alias("last"), F.array().cast("array<string>").alias("first"))
-    levels = []
-    while True:
-        sets = materialize(frequent_sets(held, max(p.least_pages, p.support * pages)), "token-sets")
-        open_ = materialize(extendable(sets, levels[-1] if levels else None), "open-sets")
-        levels.append(sets)
-        if open_.isEmpty():
-            break
-        held = materialize(held.join(open_.select("first", "last"), ["first", "last"], "left_semi"), "held")
-        # Two sets of a basket that differ in their last token only make one of the next level.
-        more = held.select("basket", "first", F.col("last").alias("next"))
-        held = held.join(more, ["basket", "first"]).filter(F.col("last") < F.col("next"))
-        held = held.select("basket", "n", "bad", F.col("next").alias("last"), F.array_append("first", F.col("last")).alias("first"))
-    rules = None
-    for sets in levels:
-        for verdict, hits in (("block", F.col("bad")), ("allow", F.col("n") - F.col("bad"))):
-            found = sets.select(
-                F.array_append("first", F.col("last")).alias("tokens"),
-                F.lit(verdict).alias("verdict"),
-                (hits / F.col("n")).alias("confidence"),
-                (hits / F.lit(max(pages, 1))).alias("support"),
-                hits.alias("hits"),
-            ).filter((F.col("hits") >= max(p.least_pages, p.support * pages)) & (F.col("confidence") >= p.confidence))
-            rules = found if rules is None else rules.unionByName(found)
-    rules = materialize(rules.drop("hits"), "rules")
-    # A rule goes if one with fewer of its tokens, the same verdict and no less confidence stays.
-    parts = rules.select(
-        "tokens", "verdict", "confidence", F.explode("tokens").alias("token"), F.size("tokens").alias("n")
-    )
-    short = parts.select(
-        F.col("tokens").alias("of"), F.col("token"), "verdict", F.col("confidence").alias("c"), F.col("n").alias("m")
-    )
-    covered = (
-        parts.join(short, ["token", "verdict"])
-        .filter((F.col("m") < F.col("n")) & (F.col("c") >= F.col("confidence")))
-        .groupBy("tokens", "verdict", "of", "m")
-        .agg(F.count(F.lit(1)).alias("hits"))
-        .filter(F.col("hits") == F.col("m"))
-        .select("tokens", "verdict")
-        .distinct()
+    usable = usable.select("tokens", "blocked", F.monotonically_increasing_id().alias("page"))
+    usable = materialize(usable, "labelled-urls")
+    pages = usable.count()
+    least = max(p.least_pages, p.support * pages, 1)
+    items = token_items(usable, least)
+    sets = frequent_sets(usable, items, pages, least)
+    for verdict, hits in ((BLOCK, F.col("bad")), (ALLOW, F.col("n") - F.col("bad"))):
+        single = items.filter(F.col("token") == F.col("item"))
+        sets = sets.unionByName(single.select(F.array("item").alias("items"), F.lit(verdict).alias("verdict"), hits.alias("hits"), "n"))
+    rules = sets.select(
+        "items", "verdict", "hits",
+        (F.col("hits") / F.col("n")).alias("confidence"),
+        (F.col("hits") / F.lit(max(pages, 1))).alias("support"),
+    )
+    rules = rules.filter((F.col("hits") >= least) & (F.col("confidence") >= p.confidence)).drop("hits")
+    rules = materialize(keyed(rules, items), "rules")
+    # A rule goes if one with fewer of its items, the same verdict and no less confidence stays.
+    parts = rules.select("items", "verdict", "confidence", F.explode("items").alias("key"))
+    short = rules.select("key", "verdict", F.col("items").alias("of"), F.col("confidence").alias("c"))
+    covered = parts.join(short, ["key", "verdict"]).filter(
+        (F.size("of") < F.size("items")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("of", "items")) == 0)
     )
-    return materialize(rules.join(covered, ["tokens", "verdict"], "left_anti"), "pruned")
+    kept = rules.join(covered.select("items", "verdict").distinct(), ["items", "verdict"], "left_anti")
+    return materialize(kept, "pruned"), items
 
 
-def match(token_sets: DataFrame, rules: DataFrame, p: Mining = Mining()) -> DataFrame:
-    """(tokens, mined) for every distinct token set on which a rule fires."""
-    goodness = F.struct("confidence", "support", (-F.size("tokens")).alias("short"), F.array_join("tokens", " ").alias("name"), "verdict")
-    index = rules.select(
-        F.array_join("tokens", " ").alias("rule"), F.size("tokens").alias("need"), goodness.alias("worth"),
-        F.explode("tokens").alias("token"),
-    )
-    if index.limit(p.index_rows + 1).count() <= p.index_rows:
-        index = F.broadcast(index)
-    fired = (
-        token_sets.select("tokens", F.explode("tokens").alias("token"))
-        .join(index, "token")
-        .groupBy("tokens", "rule", "need")
-        .agg(F.count(F.lit(1)).alias("found"), F.max("worth").alias("worth"))
-        .filter(F.col("found") == F.col("need"))
+def mine(labelled: DataFrame, p: Mining = Mining()) -> DataFrame:
+    """(tokens, verdict, confidence, support): the kept rules spelt out, one for every choice
+    of a token for each item. For reading; matching works on the items."""
+    rules, items = mine_items(labelled, p)
+    members = items.groupBy("item").agg(F.collect_set("token").alias("members"))
+    parts = rules.select("*", F.explode("items").alias("item")).join(members, "item")
+    parts = parts.groupBy("items", "verdict", "confidence", "support").agg(F.collect_list("members").alias("choices"))
+    spelt = F.aggregate(
+        "choices",
+        F.array(F.array().cast("array<string>")),
+        lambda done, more: F.flatten(F.transform(done, lambda x: F.transform(more, lambda y: F.array_append(x, y)))),
     )
+    parts = parts.select(F.explode(spelt).alias("tokens"), "verdict", "confidence", "support")
+    return parts.withColumn("tokens", F.array_sort("tokens"))
+
+
+def match(token_sets: DataFrame, rules: DataFrame, items: DataFrame, p: Mining = Mining()) -> DataFrame:
+    """(tokens, mined) for every distinct token set on which a rule fires: one with all its
+    items among those of the set. A rule is looked up by its key alone and then verified."""
+    used = rules.select(F.explode("items").alias("item")).distinct()
+    names = items.select("token", "item").join(used, "item")
+    worth = F.struct("confidence", "support", (-F.size("items")).alias("short"), F.array_join("items", " ").alias("name"), "verdict")
+    index = rules.select("key", F.col("items").alias("need"), worth.alias("worth"))
+
+    def bounded(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if table.limit(p.index_rows + 1).count() <= p.index_rows else table
+
+    held = token_sets.select("tokens", F.explode("tokens").alias("token")).join(bounded(names), "token")
+    held = held.groupBy("tokens").agg(F.collect_set("item").alias("items"))
+    fired = held.select("tokens", "items", F.explode("items").alias("key")).join(bounded(index), "key")
+    fired = fired.filter(F.size(F.array_except("need", "items")) == 0)
     return fired.groupBy("tokens").agg(F.max("worth")["verdict"].alias("mined"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], p: Mining = Mining()) -> DataFrame:
+def judge_urls(
+    pages: DataFrame,
+    labels: DataFrame,
+    rules: list[tuple[str, str]],
+    p: Mining = Mining(),
+    label_key: Column | None = None,
+) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of ``pages`` (page_id, url).
 
-    ``labels`` (doc_id, quality, toxic) marks pages by id; one of poor quality or toxic is
-    an example for blocking."""
+    ``labels`` (doc_id, quality, toxic) marks the pages whose ``label_key`` (by default the
+    page_id) is its id; one of poor quality or toxic is an example for blocking."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, given = site_rule(F.col("host"), F.col("path"), rules)
-    judged = pages.select("page_id", "url", host.alias("host"), path.alias("path"), url_tokens(F.col("url")).alias("tokens"))
+    judged = pages.select(
+        "page_id", host.alias("host"), path.alias("path"), url_tokens(F.col("url")).alias("tokens"),
+        (F.col("page_id") if label_key is None else label_key).alias("label_key"),
+    )
     judged = judged.select(
         "page_id", "host", "path", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"),
-        rule.alias("rule"), given.alias("given"),
+        "label_key", rule.alias("rule"), given.alias("given"),
     )
     judged = materialize(judged, "urls")
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
-    known = known.groupBy(F.col("doc_id").alias("page_id")).agg(
+    known = known.groupBy(F.col("doc_id").alias("label_key")).agg(
         F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked")
     )
-    mined = mine(judged.select("page_id", "tokens").join(known, "page_id"), p)
-    verdicts = match(judged.select("tokens").distinct(), mined, p)
+    mined, items = mine_items(judged.select("label_key", "tokens").join(known, "label_key"), p)
+    verdicts = match(judged.select("tokens").distinct(), mined, items, p)
     return judged.join(verdicts, "tokens", "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("given", "mined", F.lit("allow")).alias("verdict")
+        "page_id", "host", "path", "rule", F.coalesce("given", "mined", F.lit(ALLOW)).alias("verdict")
     )
-

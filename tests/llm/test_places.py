@@ -189,6 +189,34 @@ def test_tokens_that_occur_together_do_not_multiply(spark):
     assert sorted((r.tokens, r.verdict) for r in rules.collect()) == [([t], "allow") for t in tokens]
 
 
+def test_rules_match_through_their_rarest_item_and_all_of_the_rest(spark):
+    """Two tokens that only together are bad, with repeated rows, null and repeated labels."""
+    urls = [(i, f"http://a{i % 5}.net/{'x' if i % 2 else 'y'}/{'u' if i % 3 else 'v'}/{i}") for i in range(1200)]
+    labels = [(i, int(not (i % 2 and i % 3)), 0) for i in range(900)] + [(1, 0, 0), (2, None, 0), (None, 0, 1)]
+    rows = [(i, u, "h", "r") for i, u in urls + urls[:50]]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, rule string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = url_rules.judge_urls(pages, marks, []).collect()
+    assert len(got) == 1250
+    assert all((r.verdict == "block") == bool(r.page_id % 2 and r.page_id % 3) for r in got)
+    rules = url_rules.mine(spark.createDataFrame([(sorted(tokens_of(u)), bool(i % 2 and i % 3)) for i, u in urls], "tokens array<string>, blocked boolean"))
+    assert [sorted(r.tokens) for r in rules.collect() if r.verdict == "block"] == [["path:u", "path:x"]]
+
+
+def test_labels_are_met_by_the_given_key(spark):
+    """The number of the path names the label: beyond a long, none, or absent, there is none."""
+    urls = [(i, f"http://{'bad' if i < 40 else 'good'}.net/p/{5000 + i}.html?id=7") for i in range(80)]
+    urls += [(90, "http://bad.net/" + "9" * 30), (91, "http://bad.net/"), (92, None), (93, "http://bad.net/" + "a/" * 20_000)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    marks = spark.createDataFrame([(5000 + i, int(i >= 40), 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    verdicts = {
+        r.page_id: r.verdict
+        for r in url_rules.judge_urls(pages, marks, [], label_key=url_rules.path_number(F.col("url"))).collect()
+    }
+    assert verdicts == {**{i: "block" if i < 40 else "allow" for i in range(80)}, 90: "block", 91: "block", 92: "allow", 93: "block"}
+    assert {v for *_, v in judged(spark, [(i, u) for i, u in urls if u])} == {"allow"}  # without labels
+
+
 # --- packing
 
 
