@@ -9,9 +9,10 @@ For a vocabulary of ranked merges with an end-of-word mark (a ``tokenizers`` JSO
    not met before is merged once and remembered.
 3. Only words with an incompatible pair are merged exactly, lowest rank first.
 
-Words are kept with their tokens in two generations of at most ``CACHED_WORDS`` and the
-words of one slice; a full generation becomes the older one and words in use move back from
-it, so memory is bounded and every text is encoded whole.
+Words are kept with their tokens in two generations of at most ``CACHED_WORDS``,
+``CACHED_LETTERS`` and the words of one slice; a full generation becomes the older one and
+words in use move back from it. Known pairs are forgotten beyond ``KNOWN_PAIRS``. So memory
+is bounded and every text is encoded whole; a word of n letters takes n log n steps.
 
 Defined results: null text counts as empty; an empty text has no tokens and decodes to the
 empty string; special tokens written in a text become their ids; rows repeat in the output
@@ -19,6 +20,7 @@ as in the input; extra columns are carried along."""
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -32,6 +34,10 @@ from pyspark.sql import DataFrame
 from .spans import text_slices, with_fields
 
 CACHED_WORDS = 300_000
+CACHED_LETTERS = 1 << 24
+KNOWN_PAIRS = 1 << 22
+#: Words of more symbols keep their pairs in a heap; a scan of a short list is faster.
+SCANNED = 64
 UNRANKED = 1 << 62
 SLICE_BYTES = 1 << 20
 
@@ -71,6 +77,7 @@ class Encoder:
         }
         self.final = {t.removesuffix(suffix): i for t, i in vocab.items() if t.endswith(suffix)}
         self.inner = {t: i for t, i in vocab.items() if not t.endswith(suffix)}
+        self.last_reach = max(map(len, self.final), default=0)
         self.reach: dict[str, int] = {}  # the longest entry that begins with two given letters
         for t in self.inner:
             self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 1))
@@ -85,9 +92,12 @@ class Encoder:
         self.good, self.bad = np.empty(0, np.int64), np.empty(0, np.int64)
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.cached_letters = 0
 
     def merged(self, symbols: list[int]) -> list[int]:
         """Exact merging: the pair of lowest rank first, from the left."""
+        if len(symbols) > SCANNED:
+            return self.merged_by_heap(symbols)
         out = list(symbols)
         rank = self.merge.get
         ranks = [rank(pair, UNRANKED) for pair in zip(out, out[1:])]
@@ -101,11 +111,31 @@ class Encoder:
                 ranks[at] = rank((out[at], out[at + 1]), UNRANKED)
         return out
 
+    def merged_by_heap(self, symbols: list[int]) -> list[int]:
+        """As ``merged``, in n log n steps: pairs wait by rank and place, symbols are linked."""
+        size, rank = len(symbols), self.merge.get
+        out, after, before = list(symbols), list(range(1, size + 1)), list(range(-1, size - 1))
+        waiting = [(best, at) for at, pair in enumerate(zip(out, out[1:])) if (best := rank(pair)) is not None]
+        heapq.heapify(waiting)
+        while waiting:
+            best, at = heapq.heappop(waiting)
+            gone = after[at]
+            if gone >= size or rank((out[at], out[gone])) != best:
+                continue  # one of the two has been merged since
+            out[at], out[gone] = best & 0xFFFFFFFF, -1
+            after[at] = after[gone]
+            if after[at] < size:
+                before[after[at]] = at
+            for left in (before[at], at):
+                if left >= 0 and after[left] < size and (pair := rank((out[left], out[after[left]]))) is not None:
+                    heapq.heappush(waiting, (pair, left))
+        return [x for x in out if x >= 0]
+
     def proposed(self, word: str) -> list[int]:
         """Longest vocabulary entry first; the last one carries the end mark."""
         tokens, at, size = [], 0, len(word)
         final, inner, reach = self.final, self.inner, self.reach
-        while (last := final.get(word[at:])) is None:
+        while size - at > self.last_reach or (last := final.get(word[at:])) is None:
             for end in range(min(at + reach.get(word[at : at + 2], 1), size - 1), at, -1):
                 token = inner.get(word[at:end])
                 if token is not None:
@@ -117,6 +147,8 @@ class Encoder:
 
     def incompatible(self, pairs: np.ndarray) -> np.ndarray:
         """Which of the pairs (left << 32 | right) do not stand; (-1, t) is t alone."""
+        if len(self.good) + len(self.bad) > KNOWN_PAIRS:
+            self.good, self.bad = np.empty(0, np.int64), np.empty(0, np.int64)
         distinct, where = np.unique(pairs, return_inverse=True)
         new = distinct[~(np.isin(distinct, self.good) | np.isin(distinct, self.bad))]
         if len(new):
@@ -162,12 +194,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
-        if len(self.cache) > CACHED_WORDS:
-            self.cache, self.older = {}, self.cache
+        if len(self.cache) > CACHED_WORDS or self.cached_letters > CACHED_LETTERS:
+            self.cache, self.older, self.cached_letters = {}, self.cache, 0
         split = list(map(self.words, texts))
         for token, number in self.special.items():
             self.cache[token] = np.array([number], dtype="<u4").tobytes()
         new = set(chain.from_iterable(split)).difference(self.cache)
+        self.cached_letters += sum(map(len, new))
         known = new.intersection(self.older)
         self.cache.update(zip(known, map(self.older.__getitem__, known)))
         if len(new) > len(known):

@@ -298,3 +298,42 @@ def test_verified_cuts_are_the_exact_merges(monkeypatch):
         spelt = [w.encode().decode("latin-1").translate(encoder.letters) for w in encoder.words(text)]
         exact = [t for w in spelt for t in encoder.merged([*(encoder.inner[c] for c in w[:-1]), encoder.final[w[-1]]])]
         assert np.frombuffer(ids, "<u4").tolist() == exact
+
+
+@needs_vocabulary
+def test_long_words_and_forgotten_pairs(monkeypatch):
+    """Words of 200,000 letters in seconds, equal to the library's; caches stay small."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices(letters, k=200_000)) for letters in ("etaoinshrdlu", "abcdefghijklmnopqrstuvwxyz", "éèa", "!?.-")]
+    words.append("ab" * 100_000)
+    encoder, library = bpe.Encoder(bpe.load_vocabulary(VOCABULARY)), Tokenizer.from_file(VOCABULARY)
+    started = time.monotonic()
+    ids = encoder.encode(words)
+    assert time.monotonic() - started < 5 * len(words)
+    for word, got in zip(words, ids, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(word, add_special_tokens=False).ids
+    for word in words[:2]:
+        symbols = [encoder.inner[c] for c in word[:300]]
+        heap = encoder.merged_by_heap(symbols)
+        monkeypatch.setattr(bpe, "SCANNED", 1_000)
+        assert encoder.merged(symbols) == heap
+    monkeypatch.setattr(bpe, "CACHED_LETTERS", 1_000)
+    monkeypatch.setattr(bpe, "KNOWN_PAIRS", 200)
+    texts = odd_texts()[11:]
+    again = [x for i in range(0, len(texts), 20) for x in encoder.encode(texts[i : i + 20])]
+    assert len(encoder.good) + len(encoder.bad) < 5_000 and len(encoder.cache) < 2_000
+    for text, got in zip(texts, again, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@needs_vocabulary
+def test_a_column_named_decoded_is_replaced(spark):
+    docs = spark.createDataFrame([(1, "Word", "mine", "x")], "doc_id long, text string, decoded string, other string")
+    tables = bpe.load_vocabulary(VOCABULARY)
+    row = bpe.encode_texts(docs, tables, decode=True).first()
+    assert row.other == "x" and row.decoded == "word</w>"
+    assert bpe.encode_texts(docs, tables).first().decoded == "mine"
