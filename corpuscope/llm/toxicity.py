@@ -2,13 +2,13 @@
 (McMahan et al., "Ad Click Prediction: a View from the Trenches", 2013).
 
 Features of a text, each present or absent: its lower-cased words, pairs of neighbours
-and pairs with one word between them, hashed to 2^bits coordinates. Every coordinate has
-a learning rate of its own, and the L1 term keeps a weight at exactly zero until its
+and pairs with one word between them, hashed to 2^bits coordinates; beside a word its
+beginnings of ``STEMS`` bytes. Every coordinate has a learning rate of its own, and the L1 term keeps a weight at exactly zero until its
 gradients add up, so the fitted model is a short list of (coordinate, weight), bounded by
 2^bits and in practice some thousand, which every task receives.
 
 Fitting uses at most ``Ftrl.sample`` labelled rows, those with the smallest hashes of
-their ids; everything else reads all rows.
+their ids, and of rows that share an id the smallest text; everything else reads all rows.
 
 Defined results: null text counts as empty; an empty text gets the score of the bias
 alone; rows repeat in the output as they do in the input; no usable label gives 0.5 to
@@ -29,14 +29,18 @@ from pyspark.sql import functions as F
 from .spans import LETTERS, LOWER, SpanHasher, mix64, text_slices, with_fields, word_spans
 
 
+#: Bytes of the beginnings of longer words that are features like the words themselves.
+STEMS = (4, 6, 8)
+
+
 @dataclass(frozen=True)
 class Ftrl:
     bits: int = 22
     sample: int = 16_000
     epochs: int = 4
-    alpha: float = 1.0
+    alpha: float = 0.7
     beta: float = 1.0
-    l1: float = 6.0
+    l1: float = 10.0
     l2: float = 0.0
     positive_weight: float = 2.0
 
@@ -46,8 +50,16 @@ def text_features(column: pa.Array, bits: int) -> Iterator[tuple[int, np.ndarray
     hasher, shift = SpanHasher(), np.uint64(64 - bits)
     for first, data, offsets in text_slices(column):
         starts, ends, text = word_spans(data, offsets, LETTERS)
-        words = hasher(LOWER[data], starts, ends)
-        grams, owners = [words], [text]
+        # The beginnings of a word stand for it in other forms: inflected, or part of a compound.
+        longer = [np.flatnonzero(ends - starts > size) for size in STEMS]
+        first_bytes = [starts[at] + size for at, size in zip(longer, STEMS, strict=True)]
+        hashes = hasher(
+            LOWER[data],
+            np.concatenate([starts, *(starts[at] for at in longer)]),
+            np.concatenate([ends, *first_bytes]),
+        )
+        words = hashes[: len(starts)]
+        grams, owners = [hashes], [np.concatenate([text, *(text[at] for at in longer)])]
         for gap, factor in ((1, 0xD6E8FEB86659FD93), (2, 0xA0761D6478BD642F)):
             if len(words) > gap:
                 grams.append(mix64(words[:-gap] * np.uint64(factor) + words[gap:]))
@@ -83,11 +95,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     """(doc_id, label, text) of at most ``rows`` labelled documents.
 
     The ids with the smallest hashes are taken before any text is read, so what is
-    broadcast to the scan of the documents is ``rows`` ids at most."""
+    broadcast to the scan of the documents is ``rows`` ids at most. Rows that share an id
+    count as one, so that an id with many rows does not fill the fitting task."""
     known = labels.filter(usable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    held = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return held.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, p: Ftrl = Ftrl(), label: str = "toxic") -> DataFrame:

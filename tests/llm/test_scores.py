@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,54 @@ def test_ftrl_weights_are_sparse(spark):
 def test_hash_of_the_id_is_the_zlib_one(spark):
     ids = spark.range(500).select(F.col("id"), held_out(F.col("id")).alias("out")).collect()
     assert all(r.out == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in ids)
+
+
+def test_a_repeated_id_teaches_once(spark):
+    docs, labels = corpus(rows=60)
+    again = [(0, "zzz later text", "1", "a")] + [docs[0]] * 300
+    sample = toxicity.labelled_sample(
+        spark.createDataFrame(docs + again, DOCS), spark.createDataFrame(labels, LABELS), "toxic", F.lit(True), 1_000
+    ).collect()
+    assert sorted((r.doc_id, r.label) for r in sample) == [(i, t) for i, t, *_ in labels]
+    assert next(r.text for r in sample if r.doc_id == 0) == docs[0][1]
+
+
+def test_fit_equals_ftrl_coordinate_by_coordinate():
+    """The update rule in plain Python, one coordinate at a time."""
+    from math import exp, sqrt
+
+    rng = random.Random(3)
+    p = Ftrl(bits=6, l1=0.3, l2=0.1, epochs=3)
+    examples = [sorted(rng.sample(range(64), rng.randint(0, 12))) for _ in range(80)]
+    marks = [int(any(x < 9 for x in e)) for e in examples]
+    z, n = [0.0] * 65, [0.0] * 65
+
+    def weight(i):
+        l1 = 0.0 if i == 64 else p.l1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - l1 * (1 if z[i] > 0 else -1)) / ((p.beta + sqrt(n[i])) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for grams, mark in zip(examples, marks):
+            at = [*grams, 64]
+            w = [weight(i) for i in at]
+            g = (1 / (1 + exp(-sum(w))) - mark) * (p.positive_weight if mark else 1)
+            for i, wi in zip(at, w):
+                z[i] += g - (sqrt(n[i] + g * g) - sqrt(n[i])) / p.alpha * wi
+                n[i] += g * g
+    bias, kept, weights = toxicity.fit_ftrl([np.array(e, dtype=np.int64) for e in examples], np.array(marks), p)
+    assert bias == pytest.approx(weight(64))
+    assert kept.tolist() == [i for i in range(64) if weight(i)]
+    assert weights.tolist() == pytest.approx([weight(i) for i in kept])
+
+
+def test_beginnings_of_words_are_features():
+    """A word has its first 4, 6 and 8 bytes as features, those of the word they spell."""
+    import pyarrow as pa
+
+    def grams(text):
+        return {g for _, _, gram, _ in toxicity.text_features(pa.array([text]), 22) for g in gram.tolist()}
+
+    assert grams("compounded") == grams("comp") | grams("compou") | grams("compound") | grams("compounded")
+    assert len(grams("compounded")) == 4 and len(grams("comp")) == 1 and not grams("") and not grams(None)
