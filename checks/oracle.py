@@ -58,11 +58,11 @@ SECRECY = (
     r"|^\s*(?:内部机密|仅限内部使用|仅限内部传阅|禁止外传|严禁外传)\s*$'))"
 )
 SALARY = (
-    "len(regexp_extract_all(text, '(?:" + "|".join(rp.SALARY_TERMS) + ")"
+    "len(regexp_extract_all(text, '(?:" + rp.SALARY_TERMS + ")"
     r"[^\n。；;]{0,20}(?:\d[\d,.]*\s*(?:元|万元|人民币|(?i:RMB)|￥|¥))'))"
 )
 CONTRACT = (
-    "len(regexp_extract_all(text, '(?:" + "|".join(rp.CONTRACT_TERMS) + ")"
+    "len(regexp_extract_all(text, '(?:" + rp.CONTRACT_TERMS + ")"
     r"\s*(?:为|是|[:：=])\s*(?:人民币\s*)?(?:(?i:RMB)\s*)?[￥¥]?\s*"
     r"(?:\d[\d,.]*\s*(?:万元|元)|[￥¥]\s*\d[\d,.]*)'))"
 )
@@ -103,7 +103,7 @@ measured AS (
   FROM corpus c LEFT JOIN cards k USING (doc_id)
 )"""
 
-_WORDS = "|".join(rp.VERSION_WORDS)
+_WORDS = rp.VERSION_WORDS
 _OPEN = r"[\s_\-（(\[]*"
 VERSION = (
     "(?:" + rf"{_OPEN}(?:{_WORDS})\s*\d*"

@@ -16,7 +16,7 @@ _S = f"[{SPACE_CLASS}]*"
 # Version markers inside a folded title: a version word, v1.2, a date or year, "3版".
 VERSION_MARKER = (
     "(?U)(?:"
-    + rf"{_OPEN}(?:{'|'.join(VERSION_WORDS)}){_S}\d*"
+    + rf"{_OPEN}(?:{VERSION_WORDS}){_S}\d*"
     + rf"|{_OPEN}v(?:er(?:sion)?)?\.?{_S}\d+(?:\.\d+)*"
     + rf"|{_OPEN}(?:19|20)\d{{2}}(?:[-_.年]\d{{1,2}})?(?:[-_.月]\d{{1,2}})?日?版?"
     + rf"|{_OPEN}第?\d+(?:\.\d+)*版"

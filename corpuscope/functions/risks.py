@@ -29,7 +29,7 @@ from .normalize import SPACE_CLASS
 PHONE = r"(?U)(?<!\d)1[3-9]\d{9}(?!\d)"
 ID_NUMBER = r"(?U)(?<!\d)(?:\d{17}[0-9Xx]|\d{15})(?!\d)"
 BANK_CARD = r"(?U)(?<!\d)(?:\d[ -]?){15,19}(?!\d)"
-CARD_WORDS = "|".join(CARD_CONTEXT)
+CARD_WORDS = CARD_CONTEXT
 CARD_WINDOW = 18
 
 # The letters a case-insensitive [A-Z] accepts in Unicode text.
@@ -45,19 +45,19 @@ _LINE_S = "[" + SPACE_CLASS.replace(r"\t-\r", r"\t\x0b-\r") + "]*"
 _LEVEL = f"(?:{'|'.join(SECRECY_LEVELS)})"
 SECRECY = (
     "(?Udm)"
-    + f"(?:{'|'.join(SECRECY_LABELS)}){_S}[:：]{_S}{_LEVEL}"
+    + f"(?:{SECRECY_LABELS}){_S}[:：]{_S}{_LEVEL}"
     + rf"|^{_LINE_S}[【\[]?{_LEVEL}[】\]]?{_S}[★☆]{_S}(?:\d+年)?{_S}$"
-    + f"|^{_LINE_S}(?:{'|'.join(DISTRIBUTION_BANS)}){_S}$"
+    + f"|^{_LINE_S}(?:{DISTRIBUTION_BANS}){_S}$"
 )
 _RMB = "[Rr][Mm][Bb]"
 SALARY = (
-    f"(?U)(?:{'|'.join(SALARY_TERMS)})"
+    f"(?U)(?:{SALARY_TERMS})"
     + rf"[^\n。；;]{{0,20}}(?:\d[\d,.]*{_S}(?:元|万元|人民币|{_RMB}|￥|¥))"
 )
 # Possessive white space: neighbouring runs would otherwise retry each other.
 _P = _S + "+"
 CONTRACT = (
-    f"(?U)(?:{'|'.join(CONTRACT_TERMS)})"
+    f"(?U)(?:{CONTRACT_TERMS})"
     + rf"{_P}(?:为|是|[:：=]){_P}(?:人民币{_P})?(?:{_RMB}{_P})?[￥¥]?{_P}"
     + rf"(?:\d[\d,.]*{_P}(?:万元|元)|[￥¥]{_P}\d[\d,.]*)"
 )

@@ -61,10 +61,7 @@ BAD_STEMS = (
     r"(最终|最新版|新版本|final)(版)?\s*\d*",
 )
 COPY_MARKERS = ("副本", "复件", "备份", "copy", "旧版", "历史版", "废弃")
-VERSION_WORDS = (
-    "最终", "最新版", "新版本", "修订版?", "更新版", "定稿", "草稿", "送审稿", "发布版", "正式版",
-    "旧版", "历史版", "废弃版", "备份", "副本", "复件", "copy", "final",
-)
+VERSION_WORDS = "最终|最新版|新版本|修订版?|更新版|定稿|草稿|送审稿|发布版|正式版|旧版|历史版|废弃版|备份|副本|复件|copy|final"
 ATTACHMENT_PATTERN = "附件|模[板版]"
 
 PHONE = "手机号码"
@@ -77,15 +74,12 @@ CONTRACT = "合同金额"
 RISK_ORDER = (PHONE, ID_NUMBER, BANK_CARD, EMAIL, SECRECY, SALARY, CONTRACT)
 HIGH_IMPACT = (ID_NUMBER, BANK_CARD, SECRECY, SALARY, CONTRACT)
 
-CARD_CONTEXT = ("银行卡号?", "银行账号", "银行账户", "卡号", "账户号码", "收款账号")
+CARD_CONTEXT = "银行卡号?|银行账号|银行账户|卡号|账户号码|收款账号"
 SECRECY_LEVELS = ("绝密", "机密", "秘密")
-SECRECY_LABELS = ("(?:文件)?密级", "保密级别")
-DISTRIBUTION_BANS = ("内部机密", "仅限内部使用", "仅限内部传阅", "禁止外传", "严禁外传")
-SALARY_TERMS = (
-    "基本工资", "岗位工资", "月工资", "月薪", "年薪", "应发工资", "实发工资", "税前工资", "税后工资",
-    "工资标准", "薪资标准", "薪酬标准", "工资明细", "薪资明细", "薪酬明细",
-)
-CONTRACT_TERMS = ("本合同(?:总)?金额", "本协议(?:总)?金额", "本合同总价", "双方约定的合同金额")
+SECRECY_LABELS = "(?:文件)?密级|保密级别"
+DISTRIBUTION_BANS = "内部机密|仅限内部使用|仅限内部传阅|禁止外传|严禁外传"
+SALARY_TERMS = "基本工资|岗位工资|月工资|月薪|年薪|应发工资|实发工资|税前工资|税后工资|工资标准|薪资标准|薪酬标准|工资明细|薪资明细|薪酬明细"
+CONTRACT_TERMS = "本合同(?:总)?金额|本协议(?:总)?金额|本合同总价|双方约定的合同金额"
 ID_WEIGHTS = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
 ID_CHECKS = "10X98765432"
 
