@@ -25,11 +25,12 @@ first compared with the hub of its buckets, the member that shares most keys wit
 and linked sets become one component. Only buckets that still hold several components are
 looked at again, against a new hub, until the pairs across components that remain are
 fewer than ``few`` times the sets in buckets, so that the work stays in proportion to the
-input; these are then listed tile by tile of at most ``tile`` x ``tile`` sets, and those that
-have too few keys in common fall out. Every candidate pair is thus compared, or its two
-sets are already known to be connected.
+input; these are then compared tile by tile of at most ``tile`` x ``tile`` sets, a bounded number
+at a time, by ``MARK_BITS`` bits a set. What these bits allow is listed, and pairs with too few
+keys in common fall out. Every candidate pair is thus compared, or its two sets are already
+known to be connected.
 
-A pair is compared in two steps. Each set has a bitmap of 2 to 4 bits per shingle, in which a
+A pair that is left is compared in two steps. Each set has a bitmap of 2 to 4 bits per shingle, in which a
 shingle flips one bit; two bitmaps differ in no more bits than the sets in shingles, so a pair
 whose bitmaps differ in more than the threshold allows cannot link. Only the others bring
 their whole texts together for the exact count.
@@ -65,7 +66,7 @@ class Similarity:
     step: float = 1.5
     #: Cost of a pair met in an inverted list, in units of a key written and read.
     pair_cost: float = 4.0
-    #: Pairs per set that may be listed in tiles, at some 10 bytes each.
+    #: Pairs per set that may be compared in tiles, by some 20 ns each.
     few: int = 2_048
     tile: int = 1_024
     #: Keys of more sets than that are known before keys are moved.
@@ -157,18 +158,22 @@ def prefix_keys(grams: np.ndarray, sim: Similarity) -> np.ndarray:
     return mix64(np.sort(mix64(grams))[:prefix] ^ np.uint64(0xE7037ED1A0B428DB))
 
 
+#: Bits of a set that pairs in tiles are compared by, and such pairs at a time.
+MARK_BITS = 512
+TILE_PAIRS = 1 << 17
+
 PROBED = 64  # of so many ids one shows its keys before all are made
 
 
 def sketch_sets(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """doc_id, n, digest (a, b), bitmap, number of light keys, a sixteenth of the heavy keys
+    """doc_id, n, digest (a, b), bitmaps (bits, mark), number of light keys, a sixteenth of the heavy keys
     (all entries of the lists kept) and, of some ids, all keys (probe) of every document."""
     bounds = np.array(sim.classes(1 << 40))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(sim.words)
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             probed = batch.column("probed").to_pylist()
             for grams, probe in zip(shingle(batch.column("text")), probed, strict=True):
                 n, none = len(grams), np.empty(0, np.uint64)
@@ -181,14 +186,16 @@ def sketch_sets(docs: DataFrame, sim: Similarity) -> DataFrame:
                     probe = none
                 count = sum(sim.parts(int(bounds[c]), int(bounds[c + 1]))[0] for c in classes)
                 some = heavy[heavy & np.uint64(15) == 0]
-                row = (n, *set_digest(grams), count, some.view(np.int64), probe.view(np.int64), parity_bits(grams) if n else None)
+                maps = (parity_bits(grams), parity_bits(grams, MARK_BITS)) if n else (None, None)
+                row = (n, *set_digest(grams), count, some.view(np.int64), probe.view(np.int64), *maps)
                 for store, value in zip(out, row, strict=True):
                     store.append(value)
-            arrays = [pa.array(x, pa.int64()) for x in out[:4]] + [int_lists(x) for x in out[4:6]] + [pa.array(out[6], pa.binary())]
-            names = ["doc_id", "n", "a", "b", "light", "heavy", "probe", "bits"]
+            arrays = [pa.array(x, pa.int64()) for x in out[:4]] + [int_lists(x) for x in out[4:6]]
+            arrays += [pa.array(x, pa.binary()) for x in out[6:]]
+            names = ["doc_id", "n", "a", "b", "light", "heavy", "probe", "bits", "mark"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names)
 
-    schema = "doc_id long, n long, a long, b long, light long, heavy array<long>, probe array<long>, bits binary"
+    schema = "doc_id long, n long, a long, b long, light long, heavy array<long>, probe array<long>, bits binary, mark binary"
     own = F.col("doc_id").cast("long")
     probed = F.coalesce(F.pmod(F.xxhash64(own), F.lit(PROBED)) == 0, F.lit(False)).alias("probed")
     return docs.select(own.alias("doc_id"), "text", probed).mapInArrow(sketched, schema)
@@ -323,9 +330,9 @@ def similar_sizes(a: Column, b: Column, sim: Similarity) -> Column:
     return 100 * F.least(a, b) >= sim.percent * F.greatest(a, b)
 
 
-def parity_bits(grams: np.ndarray) -> bytes:
+def parity_bits(grams: np.ndarray, size: int | None = None) -> bytes:
     """A bit per residue of the shingles: whether an odd number of them have it."""
-    size = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    size = size or max(64, 1 << (2 * len(grams) - 1).bit_length())
     flips = np.bincount((grams >> np.uint64(7)).astype(np.int64) & (size - 1), minlength=size)
     return np.packbits((flips & 1).astype(np.uint8)).tobytes()
 
@@ -353,8 +360,8 @@ def pairs_with(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Held:
-    """What pairs are compared by: marks (id, n, bits) and texts (id, text), a row of each for
-    every set of an id."""
+    """What pairs are compared by: marks (id, n, bits, mark) and texts (id, text), a row of each
+    for every set of an id."""
 
     marks: DataFrame
     texts: DataFrame
@@ -432,7 +439,9 @@ def connect(buckets: DataFrame, held: Held, sim: Similarity) -> DataFrame:
         # Sets that still link to another component share all keys that takes in mixed buckets.
         last, current = current, materialize(mixed_buckets(enough_keys(mixed_buckets(rest))), "buckets")
         release(before, hubs, rest, last)
-    return edges.unionByName(linked_pairs(materialize(pairs_in_tiles(current, sim), "pairs"), held, sim))
+    # Marks grow with the input, so they are never broadcast.
+    marked = current.join(held.marks.select("id", "n", "mark").hint("merge"), ["id", "n"])
+    return edges.unionByName(linked_pairs(materialize(pairs_in_tiles(marked, sim), "pairs"), held, sim))
 
 
 def mixed_buckets(buckets: DataFrame) -> DataFrame:
@@ -449,7 +458,7 @@ def tiled_rows(buckets: DataFrame, sim: Similarity) -> DataFrame:
     the pairs across components."""
     parts = buckets.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
     parts = parts.groupBy("key").agg(F.sum("k").alias("all"), F.max(F.struct("k", "component")).alias("top"))
-    own = [c for c in ("class", "need") if c in buckets.columns]
+    own = [c for c in ("class", "need", "mark") if c in buckets.columns]
     rows = buckets.select("key", "id", "n", "component", *own).join(parts, "key").filter(F.col("all") > F.col("top.k"))
     large = F.col("all") > sim.tile
     main = large & (F.col("component") == F.col("top.component"))
@@ -464,13 +473,34 @@ def tiled_rows(buckets: DataFrame, sim: Similarity) -> DataFrame:
     return rows.select("key", "id", "n", "component", *own, "block", *tile)
 
 
+def facing_rows(first: np.ndarray, low: np.ndarray, high: np.ndarray, block: np.ndarray, parts: np.ndarray):
+    """Row numbers (i, j) of every pair of the tiles with bounds ``first``, about ``TILE_PAIRS``
+    at a time; rows of a tile come by block. Tiles of one component have none."""
+    starts, sizes, rows = first[:-1], np.diff(first), np.arange(first[-1])
+    lower = block == low
+    split = np.repeat(starts + np.add.reduceat(lower.astype(np.int64), starts), sizes)
+    mixed = np.minimum.reduceat(parts, starts) != np.maximum.reduceat(parts, starts)
+    # A row of the lower block faces all of the higher one; in a block, all that follow.
+    begin = np.where(low == high, rows + 1, split)
+    many = np.where(lower & np.repeat(mixed, sizes), np.repeat(first[1:], sizes) - begin, 0)
+    before = np.r_[0, np.cumsum(many)]
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(before, before[at] + TILE_PAIRS, side="right")) - 1)
+        i, each = np.repeat(rows[at:to], many[at:to]), many[at:to]
+        yield i, np.arange(len(i)) + np.repeat(begin[at:to] - (before[at:to] - before[at]), each)
+        at = to
+
+
 def pairs_in_tiles(buckets: DataFrame, sim: Similarity) -> DataFrame:
-    """The pairs (id, other) of two components that share enough keys and that sizes allow.
+    """The pairs (id, other) of two components that share enough keys and that sizes and marks
+    allow.
 
     A bucket above ``tile`` rows is dealt into blocks, and pairs of blocks are tiles. A pair
     comes from every bucket that holds both, so the times it comes are its common keys."""
-    rows = tiled_rows(buckets, sim).select("key", "low", "high", "block", "id", "n", "component", "class", "need")
-    rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    rows = tiled_rows(buckets, sim)
+    rows = rows.select("key", "low", "high", "block", "id", "n", "component", "class", "need", "mark")
+    rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "block")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -484,28 +514,24 @@ def pairs_in_tiles(buckets: DataFrame, sim: Similarity) -> DataFrame:
             yield from compared(held, np.array([0, held.num_rows]))
 
     def compared(table: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
-        low, block, ids, sizes, parts, kinds, needs = (
-            np.asarray(table.column(c)) for c in ("low", "block", "id", "n", "component", "class", "need")
+        if len(first) < 2:
+            return
+        table = table.slice(0, int(first[-1]))
+        low, high, block, ids, sizes, parts, kinds, needs = (
+            np.asarray(table.column(c)).astype(np.int64)
+            for c in ("low", "high", "block", "id", "n", "component", "class", "need")
         )
-        found = []
-        for start, end in zip(first[:-1], first[1:], strict=True):
-            at = np.arange(start, end)
-            if len(np.unique(parts[at])) < 2:
-                continue
-            same = block[at] == low[at]
-            one, two = np.flatnonzero(same), np.flatnonzero(~same)
-            for k, i in enumerate(one):
-                j = two if len(two) else one[k + 1 :]
-                n, m = sizes[at[i]], sizes[at[j]]
-                ok = (parts[at[i]] != parts[at[j]]) & (100 * np.minimum(n, m) >= sim.percent * np.maximum(n, m))
-                j = j[ok]
-                if len(j):
-                    same_key = np.full((2, len(j)), [[ids[at[i]]], [kinds[at[i]]]], dtype=np.int64)
-                    found.append(np.stack([*same_key, ids[at[j]], np.maximum(needs[at[i]], needs[at[j]])]))
-        if found:
-            left, kind, right, need = np.concatenate(found, axis=1)
-            arrays = [np.minimum(left, right), np.maximum(left, right), kind, need]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["id", "other", "class", "need"])
+        marks = np.frombuffer(b"".join(table.column("mark").to_pylist()), np.uint64).reshape(-1, MARK_BITS // 64)
+        for i, j in facing_rows(first, low, high, block, parts):
+            n, m = sizes[i], sizes[j]
+            ok = (parts[i] != parts[j]) & (100 * np.minimum(n, m) >= sim.percent * np.maximum(n, m))
+            i, j, most = i[ok], j[ok], (n + m)[ok] * (100 - sim.percent) // (100 + sim.percent)
+            ok = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int64) <= most
+            i, j = i[ok], j[ok]
+            if len(i):
+                pair = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+                arrays = [*pair, kinds[i], np.maximum(needs[i], needs[j])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["id", "other", "class", "need"])
 
     met = rows.mapInArrow(compare, "id long, other long, class long, need long").groupBy("id", "other", "class")
     met = met.agg(F.count(F.lit(1)).alias("k"), F.max("need").alias("need")).filter(F.col("k") >= F.col("need"))
@@ -534,7 +560,7 @@ def components_of(docs: DataFrame, sim: Similarity) -> DataFrame:
     buckets = shared_keys(docs, holders, boundary(holders, sim), sim).join(nodes.select("id"), "id", "left_semi")
     buckets = materialize(buckets, "shared")
     marks = holders.join(buckets.select("id").distinct(), "id", "left_semi")
-    marks = materialize(marks.groupBy("id", "n", "a", "b").agg(F.first("bits").alias("bits")), "marks")
+    marks = materialize(marks.groupBy("id", "n", "a", "b").agg(F.first("bits").alias("bits"), F.first("mark").alias("mark")), "marks")
     # The same join at every size: wanted ids grow with the input, so they are never broadcast.
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     texts = texts.join(marks.select("id", "a", "b").hint("merge"), "id")

@@ -172,6 +172,29 @@ def test_tiles_of_any_size_agree(spark, tile):
     assert sorted(map(tuple, got)) == brute_components(rows, 3, 90)
 
 
+def test_pairs_of_tiles_come_in_bounded_lots(monkeypatch):
+    """Every pair of rows of a tile's block or across its two blocks, once; none in one component."""
+    monkeypatch.setattr(ngram_join, "TILE_PAIRS", 7)
+    tiles = [(0, 0, 5, 0, 2), (0, 1, 4, 3, 2), (1, 1, 1, 0, 2), (1, 2, 3, 0, 2), (0, 0, 6, 0, 1), (0, 2, 1, 9, 3)]
+    low, high, block, parts, first, want = [], [], [], [], [0], set()
+    for a, b, ones, others, kinds in tiles:
+        start = first[-1]
+        blocks = [a] * ones + [b] * others
+        for i in range(len(blocks)):
+            for j in range(i + 1, len(blocks)):
+                if kinds > 1 and len(blocks) > 1 and (a == b or blocks[i] != blocks[j]):
+                    want.add((start + i, start + j))
+        low += [a] * len(blocks)
+        high += [b] * len(blocks)
+        block += blocks
+        parts += [i % kinds for i in range(len(blocks))]
+        first.append(start + len(blocks))
+    lots = list(ngram_join.facing_rows(*map(np.array, (first, low, high, block, parts))))
+    got = [(int(i), int(j)) for lot in lots for i, j in zip(*lot, strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert max(len(i) for i, _ in lots) <= 9
+
+
 def test_sets_of_one_id_are_one_node(spark):
     a, b, c = prose(1, 30), prose(2, 30), prose(3, 30)
     rows = [(1, a), (2, b), (2, c), (3, c + " end"), (4, c + " end"), (None, a), (None, "zz"), (2, b)]
