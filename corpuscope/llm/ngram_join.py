@@ -162,6 +162,9 @@ def prefix_keys(grams: np.ndarray, sim: Similarity) -> np.ndarray:
 MARK_BITS = 512
 TILE_PAIRS = 1 << 17
 
+#: Keys that go on together, beside those of the last set.
+KEYS_AT_ONCE = 1 << 17
+
 PROBED = 64  # of so many ids one shows its keys before all are made
 
 
@@ -237,7 +240,7 @@ def key_rows(docs: DataFrame, heavy_from: int, sim: Similarity) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(sim.words)
         for batch in batches:
-            keys, rows = [], []
+            keys, rows, waiting = [], [], 0
             for doc_id, grams in zip(batch.column("id").to_pylist(), shingle(batch.column("text")), strict=True):
                 n = len(grams)
                 found = []
@@ -251,12 +254,20 @@ def key_rows(docs: DataFrame, heavy_from: int, sim: Similarity) -> DataFrame:
                 for own, need, c in found:
                     keys.append(own)
                     rows.append((digest, doc_id, n, c, need))
-            sizes = [len(k) for k in keys]
-            columns = np.repeat(np.array(rows, dtype=np.int64).reshape(-1, 5), sizes, axis=0).T
-            key = np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64)
-            types = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()
-            arrays = [pa.array(key)] + [pa.array(x.astype(t.to_pandas_dtype())) for x, t in zip(columns, types)]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "a", "id", "n", "class", "need"])
+                    waiting += len(own)
+                if waiting >= KEYS_AT_ONCE:
+                    yield flat(keys, rows)
+                    keys, rows, waiting = [], [], 0
+            if keys:
+                yield flat(keys, rows)
+
+    def flat(keys: list[np.ndarray], rows: list[tuple]) -> pa.RecordBatch:
+        sizes = [len(k) for k in keys]
+        columns = np.repeat(np.array(rows, dtype=np.int64).reshape(-1, 5), sizes, axis=0).T
+        types = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()
+        arrays = [pa.array(np.concatenate(keys).view(np.int64))]
+        arrays += [pa.array(x.astype(t.to_pandas_dtype())) for x, t in zip(columns, types)]
+        return pa.RecordBatch.from_arrays(arrays, ["key", "a", "id", "n", "class", "need"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(F.col("id").isNotNull())
     return named.mapInArrow(made, "key long, a long, id long, n int, class int, need int")

@@ -195,6 +195,15 @@ def test_pairs_of_tiles_come_in_bounded_lots(monkeypatch):
     assert max(len(i) for i, _ in lots) <= 9
 
 
+@pytest.mark.parametrize("heavy_from", [1, 100, 1 << 62])
+def test_keys_are_the_same_in_any_lots(spark, monkeypatch, heavy_from):
+    docs = table(spark, near_copies(7, groups=8, copies=3) + [(900, None), (901, ""), (902, "one")])
+    sim = ngram_join.Similarity()
+    whole = sorted(map(tuple, ngram_join.key_rows(docs, heavy_from, sim).collect()))
+    monkeypatch.setattr(ngram_join, "KEYS_AT_ONCE", 5)
+    assert whole and sorted(map(tuple, ngram_join.key_rows(docs, heavy_from, sim).collect())) == whole
+
+
 def test_sets_of_one_id_are_one_node(spark):
     a, b, c = prose(1, 30), prose(2, 30), prose(3, 30)
     rows = [(1, a), (2, b), (2, c), (3, c + " end"), (4, c + " end"), (None, a), (None, "zz"), (2, b)]
