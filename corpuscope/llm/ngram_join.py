@@ -24,7 +24,7 @@ Sets that share a key form a bucket. No bucket is expanded into all pairs: each
 first compared with the hub of its buckets, the member that shares most keys with others,
 and linked sets become one component. Only buckets that still hold several components are
 looked at again, against a new hub, until the pairs across components that remain are
-fewer than ``few`` times the sets in buckets, so that the work stays in proportion to the
+fewer than ``few`` times the sets in buckets (``least_sets`` at least), so that the work stays in proportion to the
 input; these are then compared tile by tile of at most ``tile`` x ``tile`` sets, a bounded number
 at a time, by ``MARK_BITS`` bits a set. What these bits allow is listed, and pairs with too few
 keys in common fall out. Every candidate pair is thus compared, or its two sets are already
@@ -68,6 +68,8 @@ class Similarity:
     pair_cost: float = 4.0
     #: Pairs per set that may be compared in tiles, by some 20 ns each.
     few: int = 2_048
+    #: Fewer sets than that may have the pairs of so many: it is less work than another hub round.
+    least_sets: int = 1 << 17
     tile: int = 1_024
     #: Keys of more sets than that are known before keys are moved.
     hot_rows: int = 1_000_000
@@ -391,7 +393,7 @@ def linked_pairs(pairs: DataFrame, held: Held, sim: Similarity) -> DataFrame:
 
     schema = "id long, other long"
     likely = materialize(pairs_with(pairs, held.marks, "bits", "n").mapInArrow(near, schema), "likely")
-    return exact_pairs(likely, held.texts, sim)
+    return likely if likely.isEmpty() else exact_pairs(likely, held.texts, sim)
 
 
 def exact_pairs(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
@@ -416,12 +418,23 @@ def components(edges: DataFrame) -> DataFrame:
     return star_components(ordered.filter("lo < hi")).select(F.col("hi").alias("id"), F.col("lo").alias("component"))
 
 
+def joined_components(links: DataFrame, rows: DataFrame) -> DataFrame:
+    """(component, joined): the components of ``rows`` (id, component) that ``links`` (id, other) put
+    into one with a smaller id. Links are edges between components, so only new ones are labelled."""
+    own = rows.select("id", "component").distinct()
+    met = links.join(own.select("id", F.col("component").alias("x")), "id")
+    met = met.join(own.select(F.col("id").alias("other"), F.col("component").alias("y")), "other")
+    label = components(met.select(F.col("x").alias("id"), F.col("y").alias("other")))
+    return label.select(F.col("id").alias("component"), F.col("component").alias("joined"))
+
+
 def connect(buckets: DataFrame, held: Held, sim: Similarity) -> DataFrame:
     """Edges (id, other) that connect all sets linked in the buckets (key, id, n, class, need, c)."""
     spark = buckets.sparkSession
     popularity = materialize(buckets.groupBy("id").agg(F.sum("c").alias("weight")), "popularity")
     current = materialize(buckets.join(popularity, "id"), "buckets").withColumn("component", F.col("id"))
     edges, sets = spark.createDataFrame([], "id long, other long"), popularity.count()
+    # The links of every round are a table of their own: none is written or labelled twice.
     for turn in count():
         if current.isEmpty():
             return edges
@@ -429,7 +442,7 @@ def connect(buckets: DataFrame, held: Held, sim: Similarity) -> DataFrame:
             inner = current.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
             sizes = inner.groupBy("key").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
             total = sizes.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
-            if total[1] is None or total[1] <= sim.few * sets:
+            if total[1] is None or total[1] <= sim.few * max(sets, sim.least_sets):
                 break
         # The hub of a bucket: the set of most shared keys not yet a hub; ties to the smaller id.
         hubs = current.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), "n", "component")).alias("h"))
@@ -441,15 +454,18 @@ def connect(buckets: DataFrame, held: Held, sim: Similarity) -> DataFrame:
         if not turn:  # first, every set meets only the hub it shares most keys with
             best = pairs.groupBy("id").agg(F.max(F.struct("shared", (-F.col("other")).alias("minus"))).alias("b"))
             pairs = best.select("id", (-F.col("b.minus")).alias("other"))
-        before, edges = edges, materialize(edges.unionByName(linked_pairs(pairs, held, sim)), "edges")
-        label = components(edges)
+        links = materialize(linked_pairs(pairs, held, sim), "links")
         # Later rounds have compared every member with the hub of its bucket, which leaves it.
-        rest = current.join(hubs, "key").filter(F.col("id") != F.col("other")) if turn else current
-        rest = rest.drop("component", "other", "hub_n", "hub_component").join(label, "id", "left")
-        rest = materialize(rest.withColumn("component", F.coalesce("component", "id")), "rest")
+        rest = current.join(hubs.select("key", "other"), "key").filter(F.col("id") != F.col("other")) if turn else current
+        rest = rest.drop("other")
+        if not links.isEmpty():
+            edges = edges.unionByName(links)
+            rest = rest.join(joined_components(links, current), "component", "left")
+            rest = rest.withColumn("component", F.coalesce("joined", "component")).drop("joined")
+        rest = materialize(rest, "rest")
         # Sets that still link to another component share all keys that takes in mixed buckets.
         last, current = current, materialize(mixed_buckets(enough_keys(mixed_buckets(rest))), "buckets")
-        release(before, hubs, rest, last)
+        release(hubs, rest, last)
     # Marks grow with the input, so they are never broadcast.
     marked = current.join(held.marks.select("id", "n", "mark").hint("merge"), ["id", "n"])
     return edges.unionByName(linked_pairs(materialize(pairs_in_tiles(marked, sim), "pairs"), held, sim))

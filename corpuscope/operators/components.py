@@ -20,7 +20,7 @@ def _is_star_forest(edges: DataFrame) -> bool:
     return state.filter((F.col("h") > 1) | ((F.col("h") > 0) & (F.col("l") > 0))).isEmpty()
 
 
-def _large_star(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _large_star(edges: DataFrame, hot_rows: int | None) -> DataFrame:
     """Connect every larger neighbour of a node to the smallest of its neighbourhood."""
     both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(
         edges.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
@@ -31,7 +31,7 @@ def _large_star(edges: DataFrame, hot_rows: int) -> DataFrame:
     return joined.select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
 
 
-def _small_star(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _small_star(edges: DataFrame, hot_rows: int | None) -> DataFrame:
     """Connect a node and its smaller neighbours to the smallest of them."""
     lows = edges.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
     joined = split_join(edges, lows, ["hi"], "n", hot_rows=hot_rows)
@@ -46,7 +46,7 @@ def star_components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     each round's edges are written to the scratch area."""
     current = materialize(edges, "edges")
     while not _is_star_forest(current):
-        current = materialize(
-            _small_star(_large_star(current, hot_rows), hot_rows), "edges"
-        )
+        # No node has more edges than there are; contraction adds none.
+        hot = hot_rows if current.count() >= hot_rows else None
+        current = materialize(_small_star(_large_star(current, hot), hot), "edges")
     return current

@@ -11,13 +11,15 @@ HOT_ROWS = 1_000_000
 
 
 def split_join(
-    rows: DataFrame, keys: DataFrame, on: list[str], size: str, how: str = "inner", hot_rows: int = HOT_ROWS
+    rows: DataFrame, keys: DataFrame, on: list[str], size: str, how: str = "inner", hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Join ``rows`` to ``keys`` (unique on ``on``, ``size`` = rows per key).
 
     Keys with ``hot_rows`` rows or more number at most rows/hot_rows, so they
     are broadcast and their rows never shuffle; all other rows shuffle on the
-    key, where no key can exceed ``hot_rows`` rows. ``how`` is inner or left."""
+    key, where no key can exceed ``hot_rows`` rows. ``how`` is inner or left. Without ``hot_rows``, no key is known to be hot."""
+    if hot_rows is None:
+        return rows.join(keys, on, how)
     extra = [c for c in keys.columns if c not in on]
     hot = keys.filter(F.col(size) >= hot_rows).withColumn("_hot", F.lit(True))
     marked = rows.join(F.broadcast(hot), on, "left")
