@@ -71,6 +71,8 @@ def _outside(ranges) -> str:
 
 
 ODD_PATTERN = _outside(JVM_RANGES)
+#: White space of JVM_RANGES that few texts have.
+RARE_SPACES = r"[\t\x0b-\r\x{3000}]"
 SPACE_PATTERN = rf"[[^!-~]&&[[^\x{{3400}}-\x{{d7ff}}]&&[{SPACE_CLASS}]]]"
 _FULL_WORD = r"[\x{ff10}-\x{ff19}\x{ff21}-\x{ff3a}\x{ff41}-\x{ff5a}]"
 
@@ -90,6 +92,13 @@ def is_odd(text: Column) -> Column:
     return text.rlike(ODD_PATTERN)
 
 
+def residue(text: Column) -> Column:
+    """``text`` without its ASCII letters and spaces, most of many a text: one scan by long
+    runs. A character of another kind is in the text exactly if it is in the residue, so
+    the tests for such characters take it instead of the text."""
+    return F.regexp_replace(text, "[a-z[ A-Z]]+", "")
+
+
 def _has_full_width(text: Column) -> Column:
     """Byte search for the two UTF-8 prefixes of the full-width block, the
     ideographic space and the full-width yen sign."""
@@ -98,27 +107,36 @@ def _has_full_width(text: Column) -> Column:
     return hits[0] | hits[1] | hits[2] | hits[3]
 
 
-def to_half_width(text: Column) -> Column:
-    """Full-width forms to ASCII, one character for one."""
-    return F.when(_has_full_width(text), F.translate(text, _FULL, _HALF)).otherwise(text)
+def to_half_width(text: Column, rest: Column | None = None) -> Column:
+    """Full-width forms to ASCII, one character for one. ``rest``, here and below: the
+    text's residue, if it is known."""
+    wide = _has_full_width(text if rest is None else rest)
+    return F.when(wide, F.translate(text, _FULL, _HALF)).otherwise(text)
 
 
-def words_to_half_width(text: Column) -> Column:
+def words_to_half_width(text: Column, rest: Column | None = None) -> Column:
     """``to_half_width`` only where it matters for words: full-width letters or digits."""
-    wide = _has_full_width(text) & text.rlike(_FULL_WORD)
+    seen = text if rest is None else rest
+    wide = _has_full_width(seen) & seen.rlike(_FULL_WORD)
     return F.when(wide, F.translate(text, _FULL, _HALF)).otherwise(text)
 
 
-def spell_out(lower: Column) -> Column:
+def spell_out(lower: Column, rest: Column | None = None) -> Column:
     """The only character of JVM_RANGES whose folding is longer than one."""
-    return F.replace(lower, F.lit("ß"), F.lit("ss"))
+    spelled = F.replace(lower, F.lit("ß"), F.lit("ss"))
+    return spelled if rest is None else F.when(rest.contains("ß"), spelled).otherwise(lower)
 
 
-def drop_jvm_spaces(text: Column) -> Column:
-    """``drop_spaces`` for text inside JVM_RANGES, by byte searches."""
+def drop_jvm_spaces(text: Column, rest: Column | None = None) -> Column:
+    """``drop_spaces`` for text inside JVM_RANGES, by byte searches; with ``rest``, the
+    spaces proper are gone already."""
+    bare = text
     for space in JVM_SPACES:
-        text = F.replace(text, F.lit(space), F.lit(""))
-    return text
+        bare = F.replace(bare, F.lit(space), F.lit(""))
+    if rest is None:
+        return bare
+    usual = F.replace(text, F.lit("\n"), F.lit(""))
+    return F.when(rest.rlike(RARE_SPACES), bare).when(rest.contains("\n"), usual).otherwise(text)
 
 
 def fold_jvm(text: Column) -> Column:

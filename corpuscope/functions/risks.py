@@ -128,7 +128,7 @@ def valid_card(value: Column) -> Column:
     )
 
 
-def card_count(text: Column) -> Column:
+def card_count(text: Column, rest: Column | None = None) -> Column:
     """Valid card numbers with a card word within 18 characters on either side.
 
     The text between the numbers comes from splitting at the same pattern. A
@@ -150,37 +150,38 @@ def card_count(text: Column) -> Column:
     valid = F.filter(
         F.transform(numbers, lambda n, i: valid_card(n) & near(i)), lambda hit: hit
     )
-    guard = _any_of(text, "卡", "账") & text.rlike(CARD_WORDS) & text.rlike(BANK_CARD)
+    guard = _any_of(text if rest is None else rest, "卡", "账") & text.rlike(CARD_WORDS) & text.rlike(BANK_CARD)
     return _guarded(guard, F.size(valid))
 
 
-def email_count(text: Column) -> Column:
-    return _guarded(text.contains("@"), F.regexp_count(text, F.lit(EMAIL)))
+def email_count(text: Column, rest: Column | None = None) -> Column:
+    return _guarded(_any_of(text if rest is None else rest, "@"), F.regexp_count(text, F.lit(EMAIL)))
 
 
-def secrecy_count(text: Column) -> Column:
-    return _guarded(_any_of(text, "密", "外传", "仅限内部"), F.regexp_count(text, F.lit(SECRECY)))
+def secrecy_count(text: Column, rest: Column | None = None) -> Column:
+    return _guarded(_any_of(text if rest is None else rest, "密", "外传", "仅限内部"), F.regexp_count(text, F.lit(SECRECY)))
 
 
-def salary_count(text: Column) -> Column:
-    return _guarded(_any_of(text, "薪", "工资"), F.regexp_count(text, F.lit(SALARY)))
+def salary_count(text: Column, rest: Column | None = None) -> Column:
+    return _guarded(_any_of(text if rest is None else rest, "薪", "工资"), F.regexp_count(text, F.lit(SALARY)))
 
 
-def contract_count(text: Column) -> Column:
-    return _guarded(_any_of(text, "金额", "总价"), F.regexp_count(text, F.lit(CONTRACT)))
+def contract_count(text: Column, rest: Column | None = None) -> Column:
+    return _guarded(_any_of(text if rest is None else rest, "金额", "总价"), F.regexp_count(text, F.lit(CONTRACT)))
 
 
-def risk_counts(text: Column, digit_run: Column | None = None) -> Column:
+def risk_counts(text: Column, digit_run: Column | None = None, rest: Column | None = None) -> Column:
     """``ARRAY<INT>`` of the seven counters in report order. Pass ``has_digit_run``
-    as a column of its own to test it once."""
+    as a column of its own to test it once, and the text's residue to look for the
+    patterns' words in it: it keeps every word of the text without letters and spaces."""
     return F.array(
         phone_count(text, digit_run),
         id_count(text, digit_run),
-        card_count(text),
-        email_count(text),
-        secrecy_count(text),
-        salary_count(text),
-        contract_count(text),
+        card_count(text, rest),
+        email_count(text, rest),
+        secrecy_count(text, rest),
+        salary_count(text, rest),
+        contract_count(text, rest),
     )
 
 

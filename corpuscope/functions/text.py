@@ -41,9 +41,17 @@ def garbled_ratio(text: Column) -> Column:
 
 
 def replacement_ratio(text: Column, bare: Column) -> Column:
-    """``garbled_ratio`` of text inside JVM_RANGES, given it without white space."""
-    marks = F.length(text) - F.length(F.replace(text, F.lit(REPLACEMENT), F.lit("")))
-    return F.when(F.length(bare) > 0, marks / F.length(bare)).otherwise(F.lit(0.0))
+    """``garbled_ratio`` of text inside JVM_RANGES, given it (or its residue) and it without
+    white space."""
+    # The mark is three bytes of UTF-8, and bytes need no counting.
+    marks = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(REPLACEMENT), F.lit("")))) / 3
+    return F.when(F.octet_length(bare) > 0, marks / F.length(bare)).otherwise(F.lit(0.0))
+
+
+def content_of_residue(text: Column, rest: Column, spaces: Column) -> Column:
+    """``content_length`` by the residue: what it lacks is ASCII letters and ``spaces``."""
+    letters = F.octet_length(text) - F.octet_length(rest) - spaces
+    return letters + count_of_class(rest, r"0-9\x{3400}-\x{9fff}")
 
 
 def text_fingerprint(text: Column) -> Column:

@@ -57,17 +57,36 @@ def _keyword_pattern(words: list[str], phrases: list[str]) -> str:
         firsts = "".join(sorted({w[0] for w in words}))
         options.append(f"(?=[{firsts}])(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])")
     ordered = sorted(phrases, key=lambda k: (-len(k), k))
-    cjk = [k for k in ordered if "㐀" <= k[0] <= "鿿"]
-    rest = [k for k in ordered if not "㐀" <= k[0] <= "鿿"]
+    cjk = [k for k in ordered if _is_ideographic(k)]
     if cjk:
-        exact = "".join(sorted({k[0] for k in cjk}))
-        options.append(rf"(?=[\x{{3400}}-\x{{9fff}}&&[{exact}]])(?:{'|'.join(map(re.escape, cjk))})")
-    options += [re.escape(k) for k in rest]
+        options.append(rf"(?=[\x{{3400}}-\x{{9fff}}&&{_one_of({k[0] for k in cjk})}])(?:{'|'.join(map(re.escape, cjk))})")
+    options += [re.escape(k) for k in ordered if not _is_ideographic(k)]
     return f"(?=({'|'.join(options)}))"
 
 
-def keyword_hits(folded: Column, pack: RulePack) -> Column:
-    """``ARRAY<INT>``: per topic, how many of its keywords occur in the text.
+def _is_ideographic(phrase: str) -> bool:
+    return "㐀" <= phrase[0] <= "鿿"
+
+
+def _one_of(chars: set[str], step: int = 8) -> str:
+    """Class of the characters. The engine tests a class's members one after the other, so
+    each few of them stand behind the range they span."""
+    ordered = sorted(chars)
+    parts = [ordered[i : i + step] for i in range(0, len(ordered), step)]
+    return "[" + "".join(f"[{p[0]}-{p[-1]}&&[{''.join(p)}]]" for p in parts) + "]"
+
+
+def _word_pattern(words: list[str]) -> str:
+    """Group 1 is the word that starts at a match. One test of a character leaves most
+    positions: what precedes and follows is looked at from behind the first letter."""
+    firsts = "".join(sorted({w[0] for w in words}))
+    return f"[{firsts}](?<![a-z0-9][{firsts}])(?<=(?=({'|'.join(words)})(?![a-z0-9]))[{firsts}])"
+
+
+def keyword_hits(folded: Column, pack: RulePack, rest: Column | None = None) -> Column:
+    """``ARRAY<INT>``: per topic, how many of its keywords occur in the text. With
+    ``rest``, the residue of a text that folds without new ideographs, words and phrases
+    are looked for apart, and phrases of ideographs only in texts that have some.
 
     One scan collects, at every position, the longest keyword that starts there; a
     second one, if the pack has any, the phrases that start like a word, so that a word
@@ -77,10 +96,21 @@ def keyword_hits(folded: Column, pack: RulePack) -> Column:
     all_words = sorted({k for ks in words for k in ks})
     all_phrases = sorted({k for ks in phrases for k in ks})
     wordlike = [k for k in all_phrases if re.match("[a-z0-9]", k)]
-    scans = [(all_words, [k for k in all_phrases if k not in wordlike]), ([], wordlike)]
-    hits = [
-        F.regexp_extract_all(folded, F.lit(_keyword_pattern(*scan)), F.lit(1)) for scan in scans if any(scan)
-    ]
+    others = [k for k in all_phrases if k not in wordlike]
+
+    def scan(pattern: str) -> Column:
+        return F.regexp_extract_all(folded, F.lit(pattern), F.lit(1))
+
+    if rest is None:
+        hits = [scan(_keyword_pattern(*s)) for s in ((all_words, others), ([], wordlike)) if any(s)]
+    else:
+        hits = [scan(_word_pattern(all_words))] if all_words else []
+        hits += [scan(_keyword_pattern([], wordlike))] if wordlike else []
+        if others and all(map(_is_ideographic, others)):
+            none = F.array().cast("array<string>")
+            hits.append(F.when(rest.rlike(r"[\x{3400}-\x{9fff}]"), scan(_keyword_pattern([], others))).otherwise(none))
+        elif others:
+            hits.append(scan(_keyword_pattern([], others)))
     found = F.array_distinct(F.concat(*hits) if hits else F.array().cast("array<string>"))
 
     def count(seen: Column) -> Column:

@@ -106,27 +106,34 @@ def _measure_text(docs: DataFrame, pack: RulePack) -> DataFrame:
         F.array_join(paths.folders_of(F.col("relative_path")), "\x00"),
     )
     kept = [c for c in docs.columns if c != "text"]
-    odd = F.col("odd")
-    flagged = docs.select("*", normalize.is_odd(body).alias("odd"), names.alias("names"))
+    odd, rest = F.col("odd"), F.col("rest")
+    # Most tests look for what is neither an ASCII letter nor a space, so they scan the rest.
+    flagged = docs.select("*", normalize.residue(body).alias("rest"), names.alias("names"))
+    flagged = flagged.select("*", normalize.is_odd(rest).alias("odd"))
     # Case mapping keeps positions and counted characters; white space goes once
     # for the fingerprint, the content length and the garbled ratio.
     flagged = flagged.select(
         "*",
         F.when(~odd, F.lower(body)).alias("low"),
-        risks.has_digit_run(body, odd).alias("digit_run"),
+        # Digits on both sides of what the rest lacks may be none in a row.
+        (risks.has_digit_run(rest, odd) & risks.has_digit_run(body, odd)).alias("digit_run"),
     )
-    low, bare = F.col("low"), F.col("bare")
-    flagged = flagged.select("*", normalize.drop_jvm_spaces(low).alias("bare"))
-    words = normalize.spell_out(normalize.words_to_half_width(low))
+    low, unspaced, bare = F.col("low"), F.col("unspaced"), F.col("bare")
+    flagged = flagged.select("*", F.replace(low, F.lit(" "), F.lit("")).alias("unspaced"))
+    flagged = flagged.select("*", normalize.drop_jvm_spaces(unspaced, rest).alias("bare"))
+    words = normalize.spell_out(normalize.words_to_half_width(low, rest), rest)
+    folded_bare = normalize.spell_out(normalize.to_half_width(bare, rest), rest)
     measured = flagged.select(
         *kept,
-        F.when(odd, text.content_length(body)).otherwise(text.content_length(bare)).alias("content_length"),
+        F.when(odd, text.content_length(body))
+        .otherwise(text.content_of_residue(body, rest, F.octet_length(low) - F.octet_length(unspaced)))
+        .alias("content_length"),
         F.when(odd, text.garbled_ratio(body))
-        .otherwise(text.replacement_ratio(low, bare))
+        .otherwise(text.replacement_ratio(rest, bare))
         .alias("garbled"),
-        risks.risk_counts(body, F.col("digit_run")).alias("risk_counts"),
-        normalize.digest_of_bare(normalize.spell_out(normalize.to_half_width(bare))).alias("jvm_fp"),
-        F.when(~odd, topics.keyword_hits(words, pack)).alias("jvm_hits"),
+        risks.risk_counts(body, F.col("digit_run"), rest).alias("risk_counts"),
+        normalize.digest_of_bare(folded_bare).alias("jvm_fp"),
+        F.when(~odd, topics.keyword_hits(words, pack, rest)).alias("jvm_hits"),
         F.when(odd, body).alias("odd_text"),
         "names",
         normalize.is_odd(F.col("names")).alias("names_odd"),
