@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import uuid
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,14 +187,15 @@ def write_tree(spark: SparkSession, folder: str) -> str:
     def write(batches):
         mount = open_root(root)
         for batch in batches:
-            for path, text in zip(batch["relative_path"], batch["text"]):
-                full = mount.full(path)
+            # One text at a time is a Python value; the others stay in the Arrow batch.
+            for path, text in zip(batch.column("relative_path"), batch.column("text")):
+                full = mount.full(path.as_py())
                 os.makedirs(os.path.dirname(full), exist_ok=True)
-                with open(full, "w", encoding="utf-8", newline="") as file:
-                    file.write(text)
-            yield pd.DataFrame({"files": [len(batch)]})
+                with open(full, "wb") as file:
+                    file.write(text.as_buffer())
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
 
-    table(spark, folder, "tree").mapInPandas(write, "files long").agg(F.sum("files")).collect()
+    table(spark, folder, "tree").mapInArrow(write, "files long").agg(F.sum("files")).collect()
     return root
 
 
