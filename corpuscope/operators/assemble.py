@@ -8,7 +8,7 @@ once, by document. From there on three aggregations run on that partitioning:
 * by group (sheet, page, slide): the chunks in order, the header rule;
 * by document: the groups in order, the counts of groups, the rules of its file type.
 
-A document's parts are thus never gathered one by one: a workbook of ten million cells is
+All three read sorted rows, so no table of groups is held. A document's parts are never gathered one by one: a workbook of ten million cells is
 some ten thousand chunk texts in its task."""
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from .. import rulepack as rp
 from ..functions import paths
 from ..functions.normalize import strip
 from ..functions.text import content_length, join_text_parts
+from ..session import SORTED_GROUPS
 from . import elements as rules
 
 #: Rows of a sheet, or positions of a text, that make a chunk.
@@ -144,9 +145,12 @@ def facts_by_document(rows: DataFrame) -> DataFrame:
     """(doc_id, tag, text, counters) of tagged rows that lie together by document."""
     heads = range(1, rules.HEADER_ROWS + 1)
     part = strip(F.coalesce("part", F.lit("")))
-    trimmed = rows.withColumn("part", part)
+    group = ["doc_id", "tag", "group_no", "group_name"]
+    # One sort serves all three aggregations: each takes its groups one after the other
+    # (see SORTED_GROUPS), and the later sorts are dropped as redundant.
+    trimmed = rows.withColumn("part", part).sortWithinPartitions(*group, "chunk")
     early = rules.merge_bounds(F.col("ref"))
-    chunks = trimmed.groupBy("doc_id", "tag", "group_no", "group_name", "chunk").agg(
+    chunks = trimmed.groupBy(*group, "chunk").agg(
         _texts(_gathered("part", "k1", "k2")).alias("text"),
         F.count(F.lit(1)).alias("n"),
         F.count_if("failed").alias("failed"),
@@ -161,7 +165,7 @@ def facts_by_document(rows: DataFrame) -> DataFrame:
     )
     sums = ["n", "failed", "formulas", *[f"r{i}" for i in heads], "texts", "pictures", "header_merges"]
     flags = ["encrypted", "structured", "vertical_merge"]
-    groups = chunks.groupBy("doc_id", "tag", "group_no", "group_name").agg(
+    groups = chunks.sortWithinPartitions(*group).groupBy(*group).agg(
         _texts(_gathered("text", "chunk")).alias("text"),
         *[F.sum(c).alias(c) for c in sums],
         *[F.bool_or(c).alias(c) for c in flags],
@@ -169,7 +173,7 @@ def facts_by_document(rows: DataFrame) -> DataFrame:
     titled = F.when(F.col("tag") == CELL, join_text_parts(F.array("group_name", "text"))).otherwise(F.col("text"))
     groups = groups.withColumn("text", titled).withColumn("preheader", rules.preheader(*[F.col(f"r{i}") for i in heads]))
     mixed = (F.col("pictures") >= 2) & (F.col("texts") >= 2)
-    return groups.groupBy("doc_id", "tag").agg(
+    return groups.sortWithinPartitions("doc_id", "tag").groupBy("doc_id", "tag").agg(
         _texts(_gathered("text", "group_no", "group_name")).alias("text"),
         F.sum("n").alias("page_count"),
         F.count(F.lit(1)).alias("groups"),
@@ -224,6 +228,7 @@ def assemble_documents(files: DataFrame, elements: Elements) -> DataFrame:
     union = tables[0]
     for table in tables[1:]:
         union = union.unionByName(table)
+    files.sparkSession.conf.set(SORTED_GROUPS, "true")
     # Elements move here and only here: what follows needs rows of a document together.
     facts = facts_by_document(union.filter(F.col("doc_id").isNotNull()).repartition("doc_id"))
     rest = base.filter(~takes | F.col("doc_id").isNull())

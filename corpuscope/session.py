@@ -7,6 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Aggregate sorted rows group by group. ``assemble_documents`` turns it on, because lists of
+#: texts by millions of small groups otherwise fill a hash table and are sorted after all.
+SORTED_GROUPS = "spark.sql.execution.replaceHashWithSortAgg"
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -14,6 +18,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Batches to Python are cut by bytes, since a few of the rows may be whole texts.
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
+    SORTED_GROUPS: "false",
 }
 
 
