@@ -9,6 +9,7 @@ code point); only text with any other character goes through an Arrow UDF.
 from __future__ import annotations
 
 import hashlib
+import string
 import unicodedata
 
 import pandas as pd
@@ -74,6 +75,10 @@ ODD_PATTERN = _outside(JVM_RANGES)
 #: White space of JVM_RANGES that few texts have.
 RARE_SPACES = r"[\t\x0b-\r\x{3000}]"
 SPACE_PATTERN = rf"[[^!-~]&&[[^\x{{3400}}-\x{{d7ff}}]&&[{SPACE_CLASS}]]]"
+#: ASCII letters and the space, each on its own: the engine looks a character of such a class
+#: up in one table, while ranges are tested one by one through calls that other patterns slow down.
+PLAIN = " " + string.ascii_letters
+VISIBLE = "\\n" + "".join(rf"\x{c:02x}" for c in range(0x21, 0x7F))
 _FULL_WORD = r"[\x{ff10}-\x{ff19}\x{ff21}-\x{ff3a}\x{ff41}-\x{ff5a}]"
 
 
@@ -96,7 +101,14 @@ def residue(text: Column) -> Column:
     """``text`` without its ASCII letters and spaces, most of many a text: one scan by long
     runs. A character of another kind is in the text exactly if it is in the residue, so
     the tests for such characters take it instead of the text."""
-    return F.regexp_replace(text, "[a-z[ A-Z]]+", "")
+    return F.regexp_replace(text, f"[{PLAIN}]+", "")
+
+
+def far_residue(rest: Column) -> Column:
+    """The residue without visible ASCII and line feeds: little or nothing of most texts, so
+    that each test for any other character costs next to nothing. It is only good for
+    single characters, and to rule words out, since it joins what stood apart."""
+    return F.regexp_replace(rest, f"[{VISIBLE}]+", "")
 
 
 def _has_full_width(text: Column) -> Column:
@@ -127,16 +139,16 @@ def spell_out(lower: Column, rest: Column | None = None) -> Column:
     return spelled if rest is None else F.when(rest.contains("ß"), spelled).otherwise(lower)
 
 
-def drop_jvm_spaces(text: Column, rest: Column | None = None) -> Column:
+def drop_jvm_spaces(text: Column, rest: Column | None = None, far: Column | None = None) -> Column:
     """``drop_spaces`` for text inside JVM_RANGES, by byte searches; with ``rest``, the
-    spaces proper are gone already."""
+    spaces proper are gone already. ``far``: the far residue, if it is known."""
     bare = text
     for space in JVM_SPACES:
         bare = F.replace(bare, F.lit(space), F.lit(""))
     if rest is None:
         return bare
     usual = F.replace(text, F.lit("\n"), F.lit(""))
-    return F.when(rest.rlike(RARE_SPACES), bare).when(rest.contains("\n"), usual).otherwise(text)
+    return F.when((rest if far is None else far).rlike(RARE_SPACES), bare).when(rest.contains("\n"), usual).otherwise(text)
 
 
 def fold_jvm(text: Column) -> Column:

@@ -85,13 +85,17 @@ def _any_of(text: Column, *words: str) -> Column:
     return test
 
 
-def has_digit_run(text: Column, odd: Column | None = None) -> Column:
+def has_digit_run(text: Column, odd: Column | None = None, far: Column | None = None) -> Column:
     """Eleven digits in a row. Text that is not odd has no digits but the ASCII and
-    full-width ones, which makes a cheaper class."""
+    full-width ones, which makes a cheaper class; with ``far``, the far residue, any text
+    with a full-width digit passes the test."""
     any_script = text.rlike(r"[[^\x00-/:-\x7f]&&[[^\x{3400}-\x{9fff}]&&\p{Nd}]]{11}")
     if odd is None:
         return any_script
-    return F.when(odd, any_script).otherwise(text.rlike(r"[0-9\x{ff10}-\x{ff19}]{11}"))
+    wide = r"\x{ff10}-\x{ff19}"
+    if far is None:
+        return F.when(odd, any_script).otherwise(text.rlike(f"[0123456789{wide}]{{11}}"))
+    return F.when(odd, any_script).otherwise(text.rlike("[0123456789]{11}") | far.rlike(f"[{wide}]"))
 
 
 def phone_count(text: Column, digit_run: Column | None = None) -> Column:
@@ -170,18 +174,22 @@ def contract_count(text: Column, rest: Column | None = None) -> Column:
     return _guarded(_any_of(text if rest is None else rest, "金额", "总价"), F.regexp_count(text, F.lit(CONTRACT)))
 
 
-def risk_counts(text: Column, digit_run: Column | None = None, rest: Column | None = None) -> Column:
+def risk_counts(
+    text: Column, digit_run: Column | None = None, rest: Column | None = None, far: Column | None = None
+) -> Column:
     """``ARRAY<INT>`` of the seven counters in report order. Pass ``has_digit_run``
     as a column of its own to test it once, and the text's residue to look for the
-    patterns' words in it: it keeps every word of the text without letters and spaces."""
+    patterns' words in it: it keeps every word of the text without letters and spaces.
+    ``far``, the far residue, keeps all of those words that are not ASCII."""
+    far = rest if far is None else far
     return F.array(
         phone_count(text, digit_run),
         id_count(text, digit_run),
-        card_count(text, rest),
+        card_count(text, far),
         email_count(text, rest),
-        secrecy_count(text, rest),
-        salary_count(text, rest),
-        contract_count(text, rest),
+        secrecy_count(text, far),
+        salary_count(text, far),
+        contract_count(text, far),
     )
 
 

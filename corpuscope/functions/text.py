@@ -43,15 +43,18 @@ def garbled_ratio(text: Column) -> Column:
 def replacement_ratio(text: Column, bare: Column) -> Column:
     """``garbled_ratio`` of text inside JVM_RANGES, given it (or its residue) and it without
     white space."""
-    # The mark is three bytes of UTF-8, and bytes need no counting.
+    # The mark is three bytes of UTF-8, and bytes need no counting; few texts have one.
     marks = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(REPLACEMENT), F.lit("")))) / 3
-    return F.when(F.octet_length(bare) > 0, marks / F.length(bare)).otherwise(F.lit(0.0))
+    return F.when(text.contains(REPLACEMENT), marks / F.length(bare)).otherwise(F.lit(0.0))
 
 
-def content_of_residue(text: Column, rest: Column, spaces: Column) -> Column:
-    """``content_length`` by the residue: what it lacks is ASCII letters and ``spaces``."""
+def content_of_residue(text: Column, rest: Column, spaces: Column, far: Column | None = None) -> Column:
+    """``content_length`` by the residue: what it lacks is ASCII letters and ``spaces``. Its
+    digits are counted apart from the ideographs, which the far residue has too."""
     letters = F.octet_length(text) - F.octet_length(rest) - spaces
-    return letters + count_of_class(rest, r"0-9\x{3400}-\x{9fff}")
+    # Bytes need no counting, and a class of single characters is one look into a table.
+    digits = F.octet_length(rest) - F.octet_length(F.regexp_replace(rest, "[0123456789]+", ""))
+    return letters + digits + count_of_class(rest if far is None else far, r"\x{3400}-\x{9fff}")
 
 
 def text_fingerprint(text: Column) -> Column:

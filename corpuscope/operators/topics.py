@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,13 +81,23 @@ def _word_pattern(words: list[str]) -> str:
     """Group 1 is the word that starts at a match. One test of a character leaves most
     positions: what precedes and follows is looked at from behind the first letter."""
     firsts = "".join(sorted({w[0] for w in words}))
-    return f"[{firsts}](?<![a-z0-9][{firsts}])(?<=(?=({'|'.join(words)})(?![a-z0-9]))[{firsts}])"
+    # Single characters make one table of a class, ranges a call for each.
+    border = f"[{string.ascii_lowercase}{string.digits}]"
+    return f"[{firsts}](?<!{border}[{firsts}])(?<=(?=({'|'.join(words)})(?!{border}))[{firsts}])"
+
+
+def _phrase_pattern(phrases: list[str]) -> str:
+    """Group 1 is the longest of the ideographic phrases that starts at a match; one test of
+    a character leaves most positions, as with words."""
+    first = rf"[\x{{3400}}-\x{{9fff}}&&{_one_of({k[0] for k in phrases})}]"
+    ordered = sorted(phrases, key=lambda k: (-len(k), k))
+    return f"{first}(?<=(?=({'|'.join(map(re.escape, ordered))})){first})"
 
 
 def keyword_hits(folded: Column, pack: RulePack, rest: Column | None = None) -> Column:
     """``ARRAY<INT>``: per topic, how many of its keywords occur in the text. With
-    ``rest``, the residue of a text that folds without new ideographs, words and phrases
-    are looked for apart, and phrases of ideographs only in texts that have some.
+    ``rest``, the residue (or far residue) of a text that folds without new ideographs, words
+    and phrases are looked for apart, and phrases of ideographs only in texts that have some.
 
     One scan collects, at every position, the longest keyword that starts there; a
     second one, if the pack has any, the phrases that start like a word, so that a word
@@ -108,7 +119,7 @@ def keyword_hits(folded: Column, pack: RulePack, rest: Column | None = None) ->
         hits += [scan(_keyword_pattern([], wordlike))] if wordlike else []
         if others and all(map(_is_ideographic, others)):
             none = F.array().cast("array<string>")
-            hits.append(F.when(rest.rlike(r"[\x{3400}-\x{9fff}]"), scan(_keyword_pattern([], others))).otherwise(none))
+            hits.append(F.when(rest.rlike(r"[\x{3400}-\x{9fff}]"), scan(_phrase_pattern(others))).otherwise(none))
         elif others:
             hits.append(scan(_keyword_pattern([], others)))
     found = F.array_distinct(F.concat(*hits) if hits else F.array().cast("array<string>"))

@@ -106,34 +106,36 @@ def _measure_text(docs: DataFrame, pack: RulePack) -> DataFrame:
         F.array_join(paths.folders_of(F.col("relative_path")), "\x00"),
     )
     kept = [c for c in docs.columns if c != "text"]
-    odd, rest = F.col("odd"), F.col("rest")
-    # Most tests look for what is neither an ASCII letter nor a space, so they scan the rest.
+    odd, rest, far = F.col("odd"), F.col("rest"), F.col("far")
+    # Most tests look for what is neither an ASCII letter nor a space, so they scan the rest,
+    # and most of those for what is not ASCII at all, so they scan what is left of it then.
     flagged = docs.select("*", normalize.residue(body).alias("rest"), names.alias("names"))
-    flagged = flagged.select("*", normalize.is_odd(rest).alias("odd"))
+    flagged = flagged.select("*", normalize.far_residue(rest).alias("far"))
+    flagged = flagged.select("*", normalize.is_odd(far).alias("odd"))
     # Case mapping keeps positions and counted characters; white space goes once
     # for the fingerprint, the content length and the garbled ratio.
     flagged = flagged.select(
         "*",
         F.when(~odd, F.lower(body)).alias("low"),
         # Digits on both sides of what the rest lacks may be none in a row.
-        (risks.has_digit_run(rest, odd) & risks.has_digit_run(body, odd)).alias("digit_run"),
+        (risks.has_digit_run(rest, odd, far) & risks.has_digit_run(body, odd, far)).alias("digit_run"),
     )
     low, unspaced, bare = F.col("low"), F.col("unspaced"), F.col("bare")
     flagged = flagged.select("*", F.replace(low, F.lit(" "), F.lit("")).alias("unspaced"))
-    flagged = flagged.select("*", normalize.drop_jvm_spaces(unspaced, rest).alias("bare"))
-    words = normalize.spell_out(normalize.words_to_half_width(low, rest), rest)
-    folded_bare = normalize.spell_out(normalize.to_half_width(bare, rest), rest)
+    flagged = flagged.select("*", normalize.drop_jvm_spaces(unspaced, rest, far).alias("bare"))
+    words = normalize.spell_out(normalize.words_to_half_width(low, far), far)
+    folded_bare = normalize.spell_out(normalize.to_half_width(bare, far), far)
     measured = flagged.select(
         *kept,
         F.when(odd, text.content_length(body))
-        .otherwise(text.content_of_residue(body, rest, F.octet_length(low) - F.octet_length(unspaced)))
+        .otherwise(text.content_of_residue(body, rest, F.octet_length(low) - F.octet_length(unspaced), far))
         .alias("content_length"),
         F.when(odd, text.garbled_ratio(body))
-        .otherwise(text.replacement_ratio(rest, bare))
+        .otherwise(text.replacement_ratio(far, bare))
         .alias("garbled"),
-        risks.risk_counts(body, F.col("digit_run"), rest).alias("risk_counts"),
+        risks.risk_counts(body, F.col("digit_run"), rest, far).alias("risk_counts"),
         normalize.digest_of_bare(folded_bare).alias("jvm_fp"),
-        F.when(~odd, topics.keyword_hits(words, pack, rest)).alias("jvm_hits"),
+        F.when(~odd, topics.keyword_hits(words, pack, far)).alias("jvm_hits"),
         F.when(odd, body).alias("odd_text"),
         "names",
         normalize.is_odd(F.col("names")).alias("names_odd"),
