@@ -54,7 +54,10 @@ def content_of_residue(text: Column, rest: Column, spaces: Column, far: Column |
     letters = F.octet_length(text) - F.octet_length(rest) - spaces
     # Bytes need no counting, and a class of single characters is one look into a table.
     digits = F.octet_length(rest) - F.octet_length(F.regexp_replace(rest, "[0123456789]+", ""))
-    return letters + digits + count_of_class(rest if far is None else far, r"\x{3400}-\x{9fff}")
+    # Each ideograph is three bytes.
+    seen = rest if far is None else far
+    others = F.regexp_replace(seen, r"[\x{3400}-\x{9fff}]+", "")
+    return letters + digits + ((F.octet_length(seen) - F.octet_length(others)) / 3).cast("int")
 
 
 def text_fingerprint(text: Column) -> Column:

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.normalize import python_fold
 from ..rulepack import PENDING, RulePack
 
+#: Bits of a keyword's place in its topic's list; more than a rule pack needs.
+_PLACE_BITS = 16
+
+
 def _is_word(keyword: str) -> bool:
     return keyword.isascii() and keyword.isalnum()
 
@@ -24,8 +28,22 @@ def _literals(values) -> Column:
     return F.expr(_sql_array(values)).cast("array<string>")
 
 
-def _nested_literals(lists) -> Column:
-    return F.expr("array(" + ", ".join(_sql_array(v) for v in lists) + ")").cast("array<array<string>>")
+def _places_of(words: list[list[str]], phrases: list[list[str]]) -> Column:
+    """Constant map: a collected keyword to the places (topic number and place in its list, as
+    one number) of the keywords that occur where it does: a word itself, and all phrases in it."""
+    lists = [[(w, w) for w in dict.fromkeys(ws)] + [(None, k) for k in ks] for ws, ks in zip(words, phrases)]
+    entries = []
+    for seen in sorted({key for ks in lists for _, key in ks}):
+        places = [
+            (topic << _PLACE_BITS) + i
+            for topic, ks in enumerate(lists)
+            for i, (word, key) in enumerate(ks)
+            if (seen == word if word else key in seen)
+        ]
+        entries.append((seen, places))
+    keys = _literals([seen for seen, _ in entries])
+    values = F.expr("array(" + ", ".join(f"array({', '.join(map(str, p))})" for _, p in entries) + ")")
+    return F.map_from_arrays(keys, values.cast("array<array<int>>"))
 
 
 def _bind(value: Column, body) -> Column:
@@ -78,12 +96,14 @@ def _one_of(chars: set[str], step: int = 8) -> str:
 
 
 def _word_pattern(words: list[str]) -> str:
-    """Group 1 is the word that starts at a match. One test of a character leaves most
-    positions: what precedes and follows is looked at from behind the first letter."""
-    firsts = "".join(sorted({w[0] for w in words}))
+    """Group 1 is the word that starts at a match. Tests of one or two characters leave most
+    positions: what precedes and follows is looked at from behind the first letters. No word
+    starts at the second of them, as the first precedes it."""
+    taken = min(2, *map(len, words))
+    start = "".join("[" + "".join(sorted({w[i] for w in words})) + "]" for i in range(taken))
     # Single characters make one table of a class, ranges a call for each.
     border = f"[{string.ascii_lowercase}{string.digits}]"
-    return f"[{firsts}](?<!{border}[{firsts}])(?<=(?=({'|'.join(words)})(?!{border}))[{firsts}])"
+    return f"{start}(?<!{border}{start})(?<=(?=({'|'.join(words)})(?!{border})){start})"
 
 
 def _phrase_pattern(phrases: list[str]) -> str:
@@ -102,7 +122,7 @@ def keyword_hits(folded: Column, pack: RulePack, rest: Column | None = None) ->
     One scan collects, at every position, the longest keyword that starts there; a
     second one, if the pack has any, the phrases that start like a word, so that a word
     and a phrase at one place are both seen. A keyword occurs exactly if one of the
-    collected ones contains it."""
+    collected ones contains it; which ones each contains is looked up in a constant map."""
     words, phrases = _split_keywords(pack)
     all_words = sorted({k for ks in words for k in ks})
     all_phrases = sorted({k for ks in phrases for k in ks})
@@ -124,17 +144,16 @@ def keyword_hits(folded: Column, pack: RulePack, rest: Column | None = None) ->
             hits.append(scan(_keyword_pattern([], others)))
     found = F.array_distinct(F.concat(*hits) if hits else F.array().cast("array<string>"))
 
+    places = _places_of(words, phrases)
+    occurring = F.array_distinct(F.flatten(F.transform(found, lambda s: F.element_at(places, s))))
+    numbers = F.array(*[F.lit(i) for i in range(len(words))]).cast("array<int>")
+
     def count(seen: Column) -> Column:
-        per_word = F.transform(
-            _nested_literals(words), lambda ws: F.size(F.array_intersect(ws, seen))
-        )
-        per_phrase = F.transform(
-            _nested_literals(phrases),
-            lambda ks: F.size(F.filter(ks, lambda k: F.exists(seen, lambda s: F.contains(s, k)))),
+        return F.transform(
+            numbers, lambda topic: F.size(F.filter(seen, lambda place: F.shiftright(place, _PLACE_BITS) == topic))
         )
-        return F.zip_with(per_word, per_phrase, lambda a, b: a + b)
 
-    return _bind(found, count)
+    return _bind(occurring, count)
 
 
 def anchor_of(root: Column, folded_root: Column, parts: Column, pack: RulePack) -> Column:
