@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch, materialize
-from .packing import word_count
 
 
 @dataclass(frozen=True)
@@ -39,6 +38,8 @@ class Spread:
 
 
 BLANKS = " \t\r\x0b\x0c"
+#: What ends a word, as in ``packing.word_count``; lines begin with a word.
+WHITE = BLANKS + "\n"
 RESULT = ("lines", "removed_lines", "removed")
 
 
@@ -48,9 +49,11 @@ def lines_of(docs: DataFrame, p: Spread = Spread()) -> DataFrame:
     rows = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
     rows = rows.withColumn("line", F.trim("line", F.lit(BLANKS))).filter(F.col("line") != "")
     if p.least_words > 1:
-        # Words are counted only in lines with enough bytes for them and the blanks between.
+        # Words are counted only in lines with enough bytes for them and the blanks between, and
+        # not beyond ``least_words``.
         roomy = F.octet_length("line") >= 2 * p.least_words - 1
-        rows = rows.filter(F.when(roomy, word_count(F.col("line")) >= p.least_words).otherwise(False))
+        wordy = F.col("line").rlike(f"^(?:[^{WHITE}]++[{WHITE}]*+){{{p.least_words}}}")
+        rows = rows.filter(F.when(roomy, wordy).otherwise(False))
     hashes = F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b")
     return rows.select("doc_id", "source", "n", *hashes)
 

@@ -8,13 +8,17 @@ Two documents link when the Jaccard similarity of their sets of word shingles is
   of the size class can have, so linked sets agree on some part. A key is the content of one
   part, about six shingles, which sets that only share a passage practically never have in
   common (Arasu, Ganti, Kaushik, "Efficient Exact Set-Similarity Joins", 2006).
-* Heavy (large) sets are scanned in inverted lists: linked sets share one of their n - o + 1
-  shingles of smallest hash, o being the least overlap that size allows.
+* Heavy (large) sets are scanned in inverted lists: linked sets share k of their first n - o + k
+  shingles in any order common to all, o being the least overlap that size allows; k grows with n, so
+  that a shingle or two met by chance are no candidates. The order is by
+  hash, but shingles that ``common_from`` or more of the sets of a part of the ids hold come last,
+  the commonest at the very end (Chaudhuri, Ganti, Kaushik, "A Primitive Operator for Similarity
+  Joins", 2006): a passage that more and more texts quote would else be a list of all of them.
 
 The boundary between light and heavy is the size class at which the cost of both sides
 together is least (Deng, Tao, Li, "Overlap Set Similarity Joins with Theoretical Guarantees",
-2018): a light set costs its keys, a heavy one its list entries and the pairs met in them,
-both counted over all sets. Nothing else decides, whatever the size.
+2018): a light set costs its keys, a heavy one its list entries, both the pairs met in them
+(small light sets have empty parts, which many sets share). Nothing else decides, whatever the size.
 
 Keys are made from the texts once and move once, to be sorted by key; what holds the key of
 another set goes on. Keys that a part of the ids, chosen by hash, shows to be held by
@@ -73,6 +77,10 @@ class Similarity:
     tile: int = 1_024
     #: Keys of more sets than that are known before keys are moved.
     hot_rows: int = 1_000_000
+    #: Shingles that so many sets of one in ``COUNTED`` ids hold come last in the order of heavy
+    #: keys, and how many may. They only order: whatever they are, the links are the same.
+    common_from: int = 3
+    most_common: int = 1 << 16
 
     def links(self, overlap, union):
         return 100 * overlap >= self.percent * union
@@ -80,6 +88,13 @@ class Similarity:
     def largest_partner(self, n: int) -> int:
         return 100 * n // self.percent
 
+    def prefix(self, n: int) -> tuple[int, int]:
+        """How many heavy keys a set of n shingles has, and how many of them a linked set has as
+        well: in prefixes of n - o + k two sets of overlap o >= k share k. Larger partners want
+        more, and the larger of two needs is the one that both meet."""
+        least = -(-self.percent * n // 100)
+        return n - least + min(least, 1 + self.largest_partner(n) // 50), 1 + n // 50
+
     def classes(self, limit: int) -> list[int]:
         """Lower bounds of the size classes, from the smallest size at which sets can
         link without being equal."""
@@ -120,7 +135,8 @@ class Shingler:
             for first, last in zip(bounds[:-1], bounds[1:], strict=True):
                 count = last - first
                 if count >= self.words:
-                    yield np.unique(grams[first : last - self.words + 1])
+                    own = np.sort(grams[first : last - self.words + 1])
+                    yield own[np.r_[True, own[1:] != own[:-1]]]  # np.unique takes ten times as long
                 elif count:
                     whole = np.array([count], dtype=np.uint64)
                     for at in range(first, last):
@@ -154,10 +170,68 @@ def part_keys(grams: np.ndarray, at: int, low: int, high: int, sim: Similarity)
     return (keys, 1) if empty > slack else (keys[sizes > 0], slack + 1 - empty)
 
 
-def prefix_keys(grams: np.ndarray, sim: Similarity) -> np.ndarray:
-    """The heavy keys: of two linked sets' shingles of smallest hash one is common."""
-    prefix = len(grams) - -(-sim.percent * len(grams) // 100) + 1
-    return mix64(np.sort(mix64(grams))[:prefix] ^ np.uint64(0xE7037ED1A0B428DB))
+@dataclass(frozen=True)
+class Order:
+    """What comes last among shingles: sorted hashes, and the rank of each (larger is later)."""
+
+    last: np.ndarray
+    rank: np.ndarray
+
+    def first(self, grams: np.ndarray, many: int) -> np.ndarray:
+        """The mixed hashes of the ``many`` first of some shingles."""
+        mixed = mix64(grams)
+        if not len(self.last):
+            return smallest(mixed, many)
+        at = np.minimum(np.searchsorted(self.last, grams), len(self.last) - 1)
+        late = self.last[at] == grams
+        early = mixed[~late]
+        if many <= len(early):
+            return smallest(early, many)
+        mixed, rank = mixed[late], self.rank[at[late]]
+        return np.concatenate([early, mixed[np.lexsort((mixed, rank))[: many - len(early)]]])
+
+
+BY_HASH = Order(np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def smallest(values: np.ndarray, many: int) -> np.ndarray:
+    return np.partition(values, many - 1)[:many] if many < len(values) else values
+
+
+def prefix_keys(grams: np.ndarray, sim: Similarity, order: Order = BY_HASH) -> np.ndarray:
+    """The heavy keys: the first shingles of a set."""
+    return mix64(order.first(grams, sim.prefix(len(grams))[0]) ^ np.uint64(0xE7037ED1A0B428DB))
+
+
+def one_id_in(many: int) -> Column:
+    own = F.col("doc_id").cast("long")
+    return F.coalesce(F.pmod(F.xxhash64(own), F.lit(many)) == 0, F.lit(False))
+
+
+def common_last(docs: DataFrame, sim: Similarity) -> Order:
+    """The order that puts what ``common_from`` of the counted sets hold last, by that number;
+    if this is more than ``most_common`` shingles, the ones of larger numbers."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(sim.words)
+        for batch in batches:
+            for grams in shingle(batch.column("text")):
+                if len(grams):
+                    yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["gram"])
+
+    texts = docs.filter(one_id_in(COUNTED)).select("text").distinct()  # copies are one set
+    held = texts.mapInArrow(shingles, "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("k"))
+    held = materialize(held.filter(F.col("k") >= sim.common_from), "common")
+    left, least = sim.most_common, sim.common_from
+    for k, many in sorted(held.groupBy("k").agg(F.count(F.lit(1))).collect(), reverse=True):
+        if many > left:
+            least = k + 1
+            break
+        left -= many
+    found = held.filter(F.col("k") >= least).toArrow()
+    grams, rank = (np.asarray(found.column(c)) for c in ("gram", "k"))
+    by_hash = np.argsort(grams.view(np.uint64))
+    return Order(grams.view(np.uint64)[by_hash], rank[by_hash])
 
 
 #: Bits of a set that pairs in tiles are compared by, and such pairs at a time.
@@ -168,42 +242,43 @@ TILE_PAIRS = 1 << 17
 KEYS_AT_ONCE = 1 << 17
 
 PROBED = 64  # of so many ids one shows its keys before all are made
+COUNTED = 32  # and of so many one has its shingles counted
 
 
-def sketch_sets(docs: DataFrame, sim: Similarity) -> DataFrame:
+def sketch_sets(docs: DataFrame, sim: Similarity, order: Order = BY_HASH) -> DataFrame:
     """doc_id, n, digest (a, b), bitmaps (bits, mark), number of light keys, a sixteenth of the heavy keys
-    (all entries of the lists kept) and, of some ids, all keys (probe) of every document."""
+    (all entries of the lists kept) and, of some ids, all light and heavy keys (parts, probe) of every document."""
     bounds = np.array(sim.classes(1 << 40))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(sim.words)
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(9)]
             probed = batch.column("probed").to_pylist()
             for grams, probe in zip(shingle(batch.column("text")), probed, strict=True):
                 n, none = len(grams), np.empty(0, np.uint64)
                 classes = sim.light_classes(bounds, n)
-                heavy = prefix_keys(grams, sim) if classes else none
-                if probe and classes:
+                heavy = prefix_keys(grams, sim, order) if classes else none
+                light, probe = ([none], heavy) if probe and classes else ([none], none)
+                if len(probe):
                     light = [part_keys(grams, c, int(bounds[c]), int(bounds[c + 1]), sim)[0] for c in classes]
-                    probe = np.concatenate([*light, heavy])
-                else:
-                    probe = none
+                light = np.concatenate(light)
                 count = sum(sim.parts(int(bounds[c]), int(bounds[c + 1]))[0] for c in classes)
                 some = heavy[heavy & np.uint64(15) == 0]
                 maps = (parity_bits(grams), parity_bits(grams, MARK_BITS)) if n else (None, None)
-                row = (n, *set_digest(grams), count, some.view(np.int64), probe.view(np.int64), *maps)
+                lists = [x.view(np.int64) for x in (some, light, probe)]
+                row = (n, *set_digest(grams), count, *lists, *maps)
                 for store, value in zip(out, row, strict=True):
                     store.append(value)
-            arrays = [pa.array(x, pa.int64()) for x in out[:4]] + [int_lists(x) for x in out[4:6]]
-            arrays += [pa.array(x, pa.binary()) for x in out[6:]]
-            names = ["doc_id", "n", "a", "b", "light", "heavy", "probe", "bits", "mark"]
+            arrays = [pa.array(x, pa.int64()) for x in out[:4]] + [int_lists(x) for x in out[4:7]]
+            arrays += [pa.array(x, pa.binary()) for x in out[7:]]
+            names = ["doc_id", "n", "a", "b", "light", "heavy", "parts", "probe", "bits", "mark"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names)
 
-    schema = "doc_id long, n long, a long, b long, light long, heavy array<long>, probe array<long>, bits binary, mark binary"
-    own = F.col("doc_id").cast("long")
-    probed = F.coalesce(F.pmod(F.xxhash64(own), F.lit(PROBED)) == 0, F.lit(False)).alias("probed")
-    return docs.select(own.alias("doc_id"), "text", probed).mapInArrow(sketched, schema)
+    schema = "doc_id long, n long, a long, b long, light long, heavy array<long>, parts array<long>, probe array<long>, "
+    schema += "bits binary, mark binary"
+    own = F.col("doc_id").cast("long").alias("doc_id")
+    return docs.select(own, "text", one_id_in(PROBED).alias("probed")).mapInArrow(sketched, schema)
 
 
 def int_lists(values: list[np.ndarray]) -> pa.Array:
@@ -219,13 +294,21 @@ def boundary(sets: DataFrame, sim: Similarity) -> int:
     size_class = F.lit(0)
     for i, low in enumerate(bounds):
         size_class = F.when(F.col("n") >= low, F.lit(i)).otherwise(size_class)
-    sized = sets.filter(F.col("n") >= bounds[0]).select(size_class.alias("class"), "light", "heavy")
+    sized = sets.filter(F.col("n") >= bounds[0]).select(size_class.alias("class"), "light", "heavy", "parts")
     light = {r[0]: r[1] for r in sized.groupBy("class").agg(F.sum("light")).collect()}
+
+    def lengths(keys: str) -> DataFrame:
+        lists = sized.select("class", F.explode(keys).alias("key"))
+        return lists.groupBy("class", "key").agg(F.count(F.lit(1)).cast("double").alias("entries"))
+
     # List lengths from the keys of one in 16 lists, all entries of each of these lists.
-    lists = sized.select("class", F.explode("heavy").alias("key"))
-    lengths = lists.groupBy("class", "key").agg(F.count(F.lit(1)).cast("double").alias("entries"))
-    cost = F.sum(F.col("entries") + F.col("entries") * (F.col("entries") - 1) / 2 * sim.pair_cost)
-    heavy = {r[0]: 16 * r[1] for r in lengths.groupBy("class").agg(cost).collect()}
+    pairs = F.col("entries") * (F.col("entries") - 1) / 2 * sim.pair_cost
+    cost = F.sum(F.col("entries") + pairs)
+    heavy = {r[0]: 16 * r[1] for r in lengths("heavy").groupBy("class").agg(cost).collect()}
+    # Both sets of a pair are probed in one of PROBED * PROBED cases.
+    met = lengths("parts").groupBy("class").agg(F.sum(pairs))
+    for c, some in met.collect():
+        light[c] += PROBED * PROBED * some
     totals = [
         sum(light.get(c, 0) for c in range(x)) + sum(heavy.get(c, 0) for c in range(x, len(bounds)))
         for x in range(len(bounds) + 1)
@@ -234,7 +317,7 @@ def boundary(sets: DataFrame, sim: Similarity) -> int:
     return bounds[best] if best < len(bounds) else 1 << 62
 
 
-def key_rows(docs: DataFrame, heavy_from: int, sim: Similarity) -> DataFrame:
+def key_rows(docs: DataFrame, heavy_from: int, sim: Similarity, order: Order = BY_HASH) -> DataFrame:
     """(key, a, id, n, class, need): every key of every set; ``need`` of its keys of that
     class a set shares with each set it links to. Heavy keys are class -1."""
     bounds = np.array(sim.classes(1 << 40))
@@ -251,7 +334,7 @@ def key_rows(docs: DataFrame, heavy_from: int, sim: Similarity) -> DataFrame:
                     found = [(*part_keys(grams, c, int(bounds[c]), int(bounds[c + 1]), sim), c) for c in classes]
                 # A light set that may link to a heavy one has entries in the lists as well.
                 if n >= bounds[0] and sim.largest_partner(n) >= heavy_from:
-                    found.append((prefix_keys(grams, sim), 1, -1))
+                    found.append((prefix_keys(grams, sim, order), sim.prefix(n)[1], -1))
                 digest = set_digest(grams)[0] if found else 0
                 for own, need, c in found:
                     keys.append(own)
@@ -306,13 +389,13 @@ def several_holders(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(kept, rows.schema)
 
 
-def shared_keys(docs: DataFrame, sets: DataFrame, heavy_from: int, sim: Similarity) -> DataFrame:
+def shared_keys(docs: DataFrame, sets: DataFrame, heavy_from: int, sim: Similarity, order: Order) -> DataFrame:
     """(key, id, n, class, need, c): the keys that c > 1 sets hold, with their holders, of the
     sets that share enough keys for a link."""
-    probe = sets.select(F.explode("probe").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("k"))
+    probe = sets.select(F.explode(F.concat("parts", "probe")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("k"))
     # At most rows / hot_rows keys, give or take what the choice of ids does.
     hot = materialize(probe.filter(F.col("k") >= max(1, sim.hot_rows // PROBED)).select("key", F.lit(True).alias("hot")), "hot")
-    rows = key_rows(docs, heavy_from, sim)
+    rows = key_rows(docs, heavy_from, sim, order)
     if hot.isEmpty():
         moved = several_holders(rows.repartition("key").sortWithinPartitions("key", "a", "id"))
     else:
@@ -326,10 +409,10 @@ def shared_keys(docs: DataFrame, sets: DataFrame, heavy_from: int, sim: Similari
 
 def enough_keys(buckets: DataFrame) -> DataFrame:
     """The rows of (key, id, n, class, need) of the sets that have ``need`` of them in a class:
-    with fewer a set links to no other of these."""
-    counted = buckets.groupBy("id", "class").agg(F.count(F.lit(1)).alias("k"), F.max("need").alias("most"))
-    enough = counted.filter(F.col("k") >= F.col("most")).select("id", "class")
-    return buckets.join(enough, ["id", "class"], "left_semi").select(*buckets.columns)
+    with fewer a set links to no other of these. Sets of one id and size count together."""
+    counted = buckets.groupBy("id", "n", "class").agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("least"))
+    enough = counted.filter(F.col("k") >= F.col("least")).select("id", "n", "class")
+    return buckets.join(enough, ["id", "n", "class"], "left_semi").select(*buckets.columns)
 
 
 def several_sets(buckets: DataFrame) -> DataFrame:
@@ -561,7 +644,8 @@ def pairs_in_tiles(buckets: DataFrame, sim: Similarity) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["id", "other", "class", "need"])
 
     met = rows.mapInArrow(compare, "id long, other long, class long, need long").groupBy("id", "other", "class")
-    met = met.agg(F.count(F.lit(1)).alias("k"), F.max("need").alias("need")).filter(F.col("k") >= F.col("need"))
+    # The sets of one id have needs of their own: the least holds for all.
+    met = met.agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("need")).filter(F.col("k") >= F.col("need"))
     return met.select("id", "other").distinct()
 
 
@@ -577,14 +661,15 @@ def ngram_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataFra
 
 
 def components_of(docs: DataFrame, sim: Similarity) -> DataFrame:
-    sets = materialize(sketch_sets(docs, sim), "sets")
+    order = common_last(docs, sim)
+    sets = materialize(sketch_sets(docs, sim, order), "sets")
     some = sets.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     # Nodes are distinct sets, named by the smallest id that holds them.
     nodes = materialize(some.groupBy("a", "b").agg(F.min("doc_id").alias("id")), "nodes")
     holders = some.filter(F.col("n") >= sim.classes(0)[0]).withColumnRenamed("doc_id", "id")
     holders = holders.join(nodes, ["id", "a", "b"], "left_semi")
     # Keys are those of all rows, copies included; what several sets share names nodes only.
-    buckets = shared_keys(docs, holders, boundary(holders, sim), sim).join(nodes.select("id"), "id", "left_semi")
+    buckets = shared_keys(docs, holders, boundary(holders, sim), sim, order).join(nodes.select("id"), "id", "left_semi")
     buckets = materialize(buckets, "shared")
     marks = holders.join(buckets.select("id").distinct(), "id", "left_semi")
     marks = materialize(marks.groupBy("id", "n", "a", "b").agg(F.first("bits").alias("bits"), F.first("mark").alias("mark")), "marks")
