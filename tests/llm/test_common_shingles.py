@@ -35,7 +35,7 @@ def test_quoted_passages_make_no_long_lists(spark, monkeypatch):
     rows = quoting(500)
     got = ngram_join.ngram_components(table(spark, rows), NEAR).collect()
     assert sorted(map(tuple, got)) == brute_components(rows, 5, 80)
-    assert met[0] < 20  # a passage has 250 holders
+    assert met[0] < 20  # 50 before
 
 
 @pytest.mark.parametrize(("k", "percent", "most"), [(3, 90, 30), (5, 80, 0), (5, 80, 1 << 16)])
